@@ -1,0 +1,472 @@
+import hashlib
+import heapq
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import ann, components, exact_dedup, langid, mixing, packing, pii, quality, sharding, simhash, token_counts, wordbpe
+from millrace.llm.common import crc_mod, numbered, staged
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def real(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+# Sharding
+
+
+def test_place_equals_the_heap():
+    r = random.Random(3)
+    for _ in range(200):
+        shards = r.randint(1, 9)
+        classes = sorted(((r.randint(1, 500), r.randint(1, 300)) for _ in range(r.randint(1, 8))), reverse=True)
+        classes = list({s: (s, c) for s, c in classes}.values())
+        heap, want = [(0, s) for s in range(shards)], []
+        for size, n in classes:
+            taken = [0] * shards
+            for _ in range(n):
+                load, s = heap[0]
+                heapq.heapreplace(heap, (load + size, s))
+                taken[s] += 1
+            want.append(taken)
+        assert [x[3] for x in sharding.place(classes, shards)] == want
+
+
+def test_sharding_keeps_groups_and_balances(spark, docs, real, empty):
+    for table, shards in ((docs, 3), (real, 8)):
+        rows = sharding.assign_shards(table, shards).collect()
+        texts = {r["doc_id"]: r["text"] or "" for r in table.collect()}
+        assert len(rows) == table.count()
+        where, slots, load = {}, defaultdict(list), Counter()
+        for r in rows:
+            t = texts[r["doc_id"]]
+            assert r["size"] == len(t.encode()) + 1 and r["text_crc32"] == zlib.crc32(t.encode())
+            assert where.setdefault(t, r["shard"]) == r["shard"]
+            slots[r["shard"]].append(r["slot"])
+            load[r["shard"]] += r["size"]
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        if table is real:
+            assert max(load.values()) - min(load.values()) < 0.02 * sum(load.values()) / shards
+    assert sharding.assign_shards(empty).collect() == []
+
+
+def test_numbered_is_gapless(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("x"))
+    rows = numbered(df, ["x"], "at", "t").collect()
+    assert [r["x"] for r in sorted(rows, key=lambda r: r["at"])] == sorted(r["x"] for r in rows)
+    assert sorted(r["at"] for r in rows) == list(range(1000))
+
+
+# Token counts
+
+
+def test_word_bpe_equals_the_tokenizer(real):
+    bpe = wordbpe.WordBpe(wordbpe.default_path())
+    texts = [r["text"] for r in real.collect()]
+    texts += ["a\x1cb It's <|endoftext|> x", "Ｆｕｌｌ éà é ſt'S don't, I'll. 12,5 a,b. ß. İ ﬁ ", "", " \n", "²³ abc²", "ªº ª. µ.", "a., b!, c_, d. .. e.. f ,g . h", "it, 's, don't. x"]
+    assert bpe.encode(texts) == [bpe.whole(t) for t in texts]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_word_bpe_on_random_texts(seed):
+    r = random.Random(seed)
+    bpe = wordbpe.WordBpe.of(wordbpe.default_path())
+    signs = "aBcÉßñ19.,;'!?_-  \n\t\x85\xa0Ωжé́<|>endoftext"
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(800)]
+    assert bpe.encode(texts) == [bpe.whole(t) for t in texts]
+
+
+def test_word_bpe_beyond_its_cache(monkeypatch, real):
+    monkeypatch.setattr(wordbpe, "CACHE_WORDS", 50)
+    bpe = wordbpe.WordBpe(wordbpe.default_path())
+    texts = [r["text"] for r in real.limit(40).collect()]
+    assert [bpe.encode([t])[0] for t in texts] == [bpe.whole(t) for t in texts]
+
+
+def _recount(rows):
+    bpe = wordbpe.WordBpe.of(wordbpe.default_path())
+    out = defaultdict(lambda: [0, 0])
+    for r in rows:
+        out[r["source"], r["lang"]][0] += 1
+        out[r["source"], r["lang"]][1] += len(bpe.whole(r["text"] or "")) // 4
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def test_rollup_of_deltas(spark, docs, empty):
+    rollup = token_counts.TokenRollup.open(spark)
+    assert rollup.totals().collect() == []
+    assert rollup.commit("1", inserts=docs) and not rollup.commit("1", inserts=docs)
+    got = lambda: {(r["source"], r["lang"]): (r["docs"], r["tokens"]) for r in rollup.totals().collect()}
+    rows = docs.collect()
+    assert got() == _recount(rows)
+    gone, old = docs.where("doc_id = 6"), docs.where("doc_id = 7")
+    new = old.withColumn("text", F.lit("a revised text"))
+    assert rollup.commit("2", inserts=new, deletes=gone.unionByName(old))
+    left = [r for r in rows if r["doc_id"] not in (6, 7)] + new.collect()
+    assert got() == _recount(left)
+    assert rollup.commit("3", inserts=empty) and got() == _recount(left)
+    again = token_counts.TokenRollup.open(spark, rollup.path)
+    assert not again.commit("2", deletes=docs) and got() == _recount(left)
+
+
+# Exact dedup
+
+
+def test_exact_dedup(spark, docs, empty):
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    rows = docs.collect()
+    groups = defaultdict(list)
+    for r in rows:
+        groups[norm(r["text"])].append(r["doc_id"])
+    want = sorted((r["doc_id"], min(g := groups[norm(r["text"])]), len(g), r["doc_id"] == min(g), hashlib.sha256(norm(r["text"]).encode()).hexdigest()) for r in rows)
+    assert sorted(map(tuple, exact_dedup.exact_dedup(docs).collect())) == want
+    assert exact_dedup.exact_dedup(empty).collect() == []
+
+
+def test_digest_index_persists(spark, docs):
+    index = exact_dedup.DigestIndex.open(spark)
+    first = exact_dedup.exact_dedup(docs.where("doc_id < 7"), index)
+    assert {r["doc_id"] for r in first.collect() if r["kept"]} == {0, 3, 5, 6}
+    spark.sql(f"DROP TABLE {index.name}")  # a new session knows only the files
+    index = exact_dedup.DigestIndex.open(spark, index.path, index.buckets)
+    second = exact_dedup.exact_dedup(docs.where("doc_id in (1, 6, 7, 8)"), index).collect()
+    assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in second} == {1: (0, False), 6: (6, False), 7: (7, True), 8: (8, True)}
+    assert index.read().count() == 6
+
+
+# PII
+
+
+def test_base_spans_equal_the_patterns():
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+
+    def fine(kind, s):
+        d = re.sub(r"[^0-9]", "", s)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in s.split("."))
+        if kind == "card":
+            return 16 <= len(d) <= 19 and pii.luhn(d)
+        return kind == "email" or 8 <= len(d) <= 15
+
+    r = random.Random(5)
+    for i in range(20000):
+        signs = ("a.@_1+ -25", "0123456789 -.+", "4 -1")[i % 3]
+        s = "".join(r.choice(signs) for _ in range(r.randint(1, 40)))
+        got = pii.base_spans(s)
+        for kind, p in patterns.items():
+            assert got[kind] == [m.span() for m in re.finditer(p, s) if fine(kind, m[0])], (kind, s)
+
+
+def test_pii_is_linear_on_long_runs():
+    for s in ("1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "+1" * 100_000, "a@" * 100_000, "1 " * 100_000, "a1:" * 70_000):
+        assert isinstance(pii.base_spans(s), dict) and isinstance(pii.candidates(s), list)
+
+
+def test_boosted_candidates_on_held_out_examples():
+    rows = pii.examples(2000, 123)
+    x = np.array([pii.candidate_features(*r[:4]) for r in rows])
+    y = np.array([r[4] for r in rows])
+    chosen = pii.model().probability(x) >= pii.model().threshold
+    assert y[chosen].mean() > 0.98 and chosen[y == 1].mean() > 0.95
+
+
+def test_find_pii(docs, empty):
+    rows = {r["doc_id"]: r for r in pii.find_pii(docs, redacted=True).collect()}
+    r = rows[12]
+    assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["n_added"]) == (1, 1, 0, 1, 0)
+    assert r["spans"] == "email:5:31,ip:63:71,phone:40:57" and r["base_sha256"] == hashlib.sha256(r["spans"].encode()).hexdigest()
+    assert r["text"] == "Mail <EMAIL> or call <PHONE> from <IP> now."
+    assert rows[4]["spans"] == "" and rows[4]["text"] is None
+    assert rows[8]["spans"] == "" and rows[8]["text"].startswith("lorem")
+    assert pii.find_pii(empty).collect() == []
+    text = 'the token = "18945874088f67dc02ebee7da32856e8cab6c30f" here'
+    assert [s[0] for s in pii.added_spans(text, pii.base_spans(text), pii.model())] == ["secret"]
+
+
+# Packing
+
+
+def test_first_fit_decreasing_equals_a_scan():
+    r = random.Random(1)
+    for _ in range(100):
+        lengths = sorted((r.randint(1, 64) for _ in range(r.randint(0, 80))), reverse=True)
+        used, want = [], []
+        for n in lengths:
+            b = next((i for i, u in enumerate(used) if u + n <= 64), len(used))
+            if b == len(used):
+                used.append(0)
+            want.append((b, used[b]))
+            used[b] += n
+        assert packing.first_fit_decreasing(lengths, 64) == want
+
+
+def _check_packing(rows, docs, capacity):
+    bpe = wordbpe.WordBpe.of(wordbpe.default_path())
+    ids = {r["doc_id"]: bpe.whole(r["text"] or "") + (1).to_bytes(4, "little") for r in docs}
+    copies = Counter(r["doc_id"] for r in docs)
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        x = ids[r["doc_id"]]
+        assert r["doc_tokens"] == len(x) // 4
+        assert r["ids_crc32"] == zlib.crc32(x[4 * r["start"] : 4 * (r["start"] + r["length"])])
+        by_doc[r["doc_id"]].append((r["start"], r["length"]))
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    for d, parts in by_doc.items():
+        covered = Counter(i for s, n in parts for i in range(s, s + n))
+        assert covered == {i: copies[d] for i in range(len(ids[d]) // 4)}
+    for parts in by_sequence.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    assert set(by_doc) == set(ids)
+    return sum(len(x) // 4 * copies[d] for d, x in ids.items()), len(by_sequence)
+
+
+def test_packing_round_trip(docs, real, empty):
+    _check_packing(packing.pack(docs, capacity=64, group_docs=5).collect(), docs.collect(), 64)
+    tokens, sequences = _check_packing(packing.pack(real).collect(), real.collect(), 2048)
+    assert tokens / (2048 * sequences) > 0.98
+    assert packing.pack(empty).collect() == []
+
+
+# Quality
+
+
+def test_quality_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    learn = crc_mod("doc_id", 5) != 0
+    rows = quality.score_quality(docs, labels, learn).join(labels.where(~learn), "doc_id").collect()
+    right = [(r["score"] >= 0.3) == bool(r["quality"]) for r in rows]
+    assert len(rows) > 50 and np.mean(right) > 0.95
+
+
+def test_quality_cases(spark, docs, empty, real):
+    labels = spark.createDataFrame([(0, 1), (6, 1), (7, 0), (8, 0), (None, 1), (9, None), (10, 7)], "doc_id long, quality int")
+    rows = quality.score_quality(docs, labels).collect()
+    assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 for r in rows)
+    score = {r["doc_id"]: r["score"] for r in rows}
+    assert score[3] == score[4] == score[5] == 0 and score[0] == score[1]
+    none = quality.score_quality(docs, labels.limit(0)).collect()
+    assert {r["score"] for r in none} == {0.0, 0.5}
+    assert quality.score_quality(empty, labels).collect() == []
+    kept = quality.keep_quality(docs, labels)
+    assert kept.schema == docs.schema and kept.count() == sum(r["score"] >= 0.3 for r in rows)
+
+
+# Mixing
+
+
+def test_targets_stop_at_twice_the_source():
+    got = mixing.targets({"a": 10, "b": 1000, None: 100})
+    assert got["a"] == 20 and got[None] == 200 and got["b"] == pytest.approx(1445)
+    assert mixing.targets({"x": 0}) == {"x": 0.0} and mixing.targets({}) == {}
+
+
+def test_knapsack_equals_brute_force():
+    r = random.Random(2)
+    for _ in range(200):
+        lengths = r.sample(range(1, 30), r.randint(1, 5))
+        counts = [r.randint(0, 4) for _ in lengths]
+        budget = r.randint(0, 120)
+        sums = {0}
+        for a, c in zip(lengths, counts, strict=True):
+            sums = {s + k * a for s in sums for k in range(c + 1)}
+        take = mixing.knapsack(lengths, counts, budget)
+        assert all(0 <= t <= c for t, c in zip(take, counts, strict=True))
+        assert sum(a * t for a, t in zip(lengths, take, strict=True)) == max(s for s in sums if s <= budget)
+
+
+def test_fit_meets_large_budgets():
+    r = random.Random(4)
+    for window in (64, 1 << 14):
+        for _ in range(40):
+            lengths = r.sample(range(1, 3000), r.randint(20, 300))
+            counts = [r.randint(1, 50) for _ in lengths]
+            total = sum(a * b for a, b in zip(lengths, counts, strict=True))
+            budget = r.randint(0, total)
+            take = mixing.fit(lengths, counts, budget, window)
+            assert all(0 <= t <= c for t, c in zip(take, counts, strict=True))
+            left = budget - sum(a * b for a, b in zip(lengths, take, strict=True))
+            assert 0 <= left <= max(window, 3000) if window == 64 else 0 <= left <= 60
+
+
+def test_mix(docs, real, empty):
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    for table in (docs, real):
+        rows = mixing.mix(table).collect()
+        sizes, taken = Counter(), Counter()
+        text = {r["doc_id"]: r["text"] for r in table.collect()}
+        for r in rows:
+            assert r["size"] == words(text[r["doc_id"]]) and 0 <= r["taken"] <= 2 * r["size"]
+            assert r["taken"] % max(r["size"], 1) == 0
+            sizes[r["source"]] += r["size"]
+            taken[r["source"]] += r["taken"]
+        goal = mixing.targets(dict(sizes))
+        assert {r["source"]: (r["source_size"], r["target"]) for r in rows} == {s: (sizes[s], goal[s]) for s in sizes}
+        if table is real:
+            assert all(abs(taken[s] - goal[s]) <= 0.02 * goal[s] + 60 for s in goal)
+        assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(table).collect()))
+    assert mixing.mix(empty).collect() == []
+
+
+# SimHash
+
+
+def _brute_components(fps, ids, radius=2):
+    parent = list(range(len(fps)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    x = np.array(fps, np.uint64)
+    for i in range(len(x)):
+        for j in np.flatnonzero(np.bitwise_count(x ^ x[i]) <= radius):
+            a, b = root(i), root(int(j))
+            parent[max(a, b)] = min(a, b)
+    least = {}
+    for i, d in enumerate(ids):
+        least[root(i)] = min(d, least.get(root(i), d))
+    return {d: least[root(i)] for i, d in enumerate(ids)}
+
+
+def test_allocation_is_the_cheapest():
+    from itertools import product
+
+    r = np.random.default_rng(0)
+    for m in (2, 3):
+        costs = r.random((50, m, 4)).cumsum(2)
+        for row, got in zip(costs, simhash.allocate(costs, 2), strict=True):
+            options = [t for t in product((-1, 0, 1, 2), repeat=m) if sum(t) == 2 - m + 1]
+            best = min(options, key=lambda t: sum(row[i, x + 1] for i, x in enumerate(t)))
+            assert sum(got) == 3 - m and sum(row[i, x + 1] for i, x in enumerate(got)) == pytest.approx(sum(row[i, x + 1] for i, x in enumerate(best)))
+
+
+@pytest.mark.parametrize(("bucket_rows", "three"), [(512, 1 << 22), (4, 1 << 22), (512, 0), (3, 0)])
+def test_links_of_random_fingerprints(spark, monkeypatch, bucket_rows, three):
+    monkeypatch.setattr(simhash, "THREE_UP_TO", three)
+    r = random.Random(8)
+    fps = [r.getrandbits(64) for _ in range(60)]
+    for _ in range(240):
+        f = r.choice(fps)
+        for _ in range(r.randint(1, 3)):
+            f ^= 1 << r.randrange(64)
+        fps.append(f)
+    fps = sorted(set(fps))
+    distinct = staged(spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long"), "t")
+    got = {r["node"] % (1 << 64): r["root"] for r in components.components(simhash.links(distinct, 2, bucket_rows)).collect()}
+    want = _brute_components(fps, range(len(fps)))
+    mine = {i: got.get(f, f) for i, f in enumerate(fps)}
+    assert all((want[i] == want[j]) == (mine[i] == mine[j]) for i in range(len(fps)) for j in range(i))
+
+
+def test_near_components(docs, real, empty):
+    for table in (docs, real):
+        rows = table.select("doc_id", "text").collect()
+        fps = [simhash.fingerprint_of(r["text"]) for r in rows]
+        want = _brute_components(fps, [r["doc_id"] for r in rows])
+        got = simhash.near_components(table).collect()
+        assert len(got) == len(rows) and all(r["component_id"] == want[r["doc_id"]] for r in got)
+        assert {(r["doc_id"], r["fingerprint"]) for r in got} == {(r["doc_id"], f"{f:016x}") for r, f in zip(rows, fps, strict=True)}
+    assert simhash.near_components(empty).collect() == []
+
+
+def test_fingerprint_by_hand():
+    import xxhash
+
+    words = b"a b c d a b c"
+    parts = [b"a b c", b"b c d", b"c d a", b"d a b", b"a b c"]
+    hashes = [xxhash.xxh64_intdigest(p, 42) for p in parts]
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert simhash.fingerprint_of("A b\tc d\n A B C") == want and words
+    assert simhash.fingerprint_of("One") == xxhash.xxh64_intdigest(b"one", 42) and simhash.fingerprint_of(" ") == 0
+
+
+def test_components_of_chains(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7), (900, 5)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500, 900: 0}
+
+
+# Nearest neighbours
+
+
+def _brute_nearest(rows, k):
+    out = {}
+    x = np.array([v for _, v in rows])
+    ids = np.array([i for i, _ in rows])
+    for i, v in rows:
+        if i % 20 == 0:
+            s = (x * v).sum(1)
+            keep = ids != i
+            top = np.lexsort((ids[keep], -s[keep]))[:k]
+            out[i] = list(zip(ids[keep][top].tolist(), s[keep][top].tolist(), strict=True))
+    return out
+
+
+def test_nearest_has_recall(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    want = _brute_nearest([(r["vec_id"], np.array(r["embedding"], float)) for r in table.collect()], 20)
+    got = defaultdict(list)
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0, block_rows=700).orderBy("query_id", "rank").collect():
+        assert r["rank"] == len(got[r["query_id"]]) + 1
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got.keys() == want.keys()
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_nearest_cases(spark):
+    bad = [(100, None), (101, [0.0, 0.0]), (102, [1.0, None]), (103, [float("nan"), 1.0]), (104, [float("inf"), 1.0]), (105, [1.0]), (None, [1.0, 1.0])]
+    rows = [(i, [float(i % 3 - 1), float(i % 2) + 1]) for i in range(60)] + bad
+    table = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, block int, held string")
+    want = _brute_nearest([(i, np.array(v)) for i, v in rows[:60]], 5)
+    got = defaultdict(list)
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0, k=5, block_rows=16, query_rows=2).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got == want  # ties by vec_id
+    few = ann.nearest(table.where("vec_id < 3"), F.col("vec_id") % 20 == 0).collect()
+    assert [(r["query_id"], r["rank"]) for r in few] == [(0, 1), (0, 2)]
+    assert ann.nearest(table.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+
+
+# Language
+
+
+def test_codewords_lie_apart():
+    for n in (2, 3, 4, 5, 8, 20):
+        code = langid.codewords(n)
+        apart = min((code[a] != code[b]).sum() for a in range(n) for b in range(a))
+        assert apart >= (1 if n == 2 else 2 if n <= 3 else code.shape[1] // 4)
+        assert not any(abs(code[:, j].sum()) == n for j in range(code.shape[1]))
+
+
+def test_language_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learn = crc_mod("doc_id", 3) != 1
+    rows = langid.identify(docs, learn).join(docs.where(~learn).select("doc_id", "lang"), "doc_id").collect()
+    assert len(rows) > 200 and np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_language_cases(docs, empty):
+    rows = langid.identify(docs).collect()
+    assert len(rows) == docs.count()
+    by = {r["doc_id"]: r for r in rows}
+    assert {d for d, r in by.items() if r["lang_pred"] == "und"} == {3, 4, 5, 11}
+    assert {r["lang_pred"] for r in rows} <= {"en", "de", "und"}
+    assert {r["lang_pred"] for r in langid.identify(docs, F.lit(False)).collect()} == {"und"}
+    assert langid.identify(empty).collect() == []
