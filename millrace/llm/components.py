@@ -11,7 +11,6 @@ from .common import staged
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round. edges (u, v) with u > v. Minima are aggregated map-side, so a hub is no hot group."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    both = staged(both, "star-sides")
     least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-least")
     linked = both.join(least, "u")
     if large:
