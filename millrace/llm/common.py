@@ -37,11 +37,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
+#: Rows of a narrow table that one task writes.
+NARROW_ROWS = 250_000
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    rows: about how many rows a narrow table has; it is then written by as many tasks as
+    that takes, rather than as one small file for each shuffle partition.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-rows // NARROW_ROWS)))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -50,7 +61,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
 
 
-def numbered(df: DataFrame, order: list[str | Column], column: str, name: str) -> DataFrame:
+def numbered(df: DataFrame, order: list[str | Column], column: str, name: str, about: int | None = None) -> DataFrame:
     """df in the global order, with a gapless number from 0 in `column`.
 
     The rows are range-partitioned and sorted, then written with a number inside their
@@ -60,7 +71,7 @@ def numbered(df: DataFrame, order: list[str | Column], column: str, name: str) -
     """
     spark = df.sparkSession
     mid = f"_{column}_mid"
-    rows = staged(df.orderBy(*order).withColumn(mid, F.monotonically_increasing_id()), name)
+    rows = staged(df.orderBy(*order).withColumn(mid, F.monotonically_increasing_id()), name, about)
     part = F.shiftright(F.col(mid), 33)
     counts = sorted((r[0], r[1]) for r in rows.groupBy(part.alias("p")).count().collect())
     offsets, total = [], 0

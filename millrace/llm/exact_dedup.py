@@ -80,13 +80,14 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     spark = docs.sparkSession
     index = index or DigestIndex.open(spark)
     rows = staged(docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")), "dedup-rows")
-    batch = staged(rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "dedup-batch")
+    n = rows.count()
+    batch = staged(rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "dedup-batch", n)
     known = index.read()
-    new = staged(batch.hint("merge").join(known.hint("merge"), "digest", "left_anti"), "dedup-new")
+    new = staged(batch.hint("merge").join(known.hint("merge"), "digest", "left_anti"), "dedup-new", n)
     old = batch.join(known.select("digest", F.col("keep_id").alias("_old")), "digest").select(
         "digest", F.col("_old").alias("keep_id"), "group_size", F.lit(False).alias("fresh")
     )
-    groups = staged(new.select("digest", "keep_id", "group_size", F.lit(True).alias("fresh")).unionByName(old), "dedup-groups")
+    groups = staged(new.select("digest", "keep_id", "group_size", F.lit(True).alias("fresh")).unionByName(old), "dedup-groups", n)
     index.append(new)
     return rows.join(groups, "digest").select(
         "doc_id",

@@ -130,7 +130,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     # One row per source goes to the driver.
     sizes = {r["source"]: r["words"] for r in rows.groupBy("source").agg(F.sum("size").alias("words")).collect()}
     goal = targets(sizes, weights, share, most)
-    placed = numbered(rows, ["source", "size", "draw", "doc_id"], "at", "mix-order")
+    placed = numbered(rows, ["source", "size", "draw", "doc_id"], "at", "mix-order", rows.count())
     lengths = placed.groupBy("source", "size").agg(F.count("*").alias("docs"), F.min("at").alias("begin"))
 
     def choose(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -146,6 +146,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     plan = staged(
         lengths.groupBy("source").applyInPandas(choose, "source string, size long, begin long, more long, passes long, source_size long, target double"),
         "mix-plan",
+        0,
     )
     p = plan.select(F.col("source").alias("_source"), F.col("size").alias("_size"), "begin", "more", "passes", "source_size", "target")
     return placed.join(p, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))).select(

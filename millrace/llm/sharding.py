@@ -76,8 +76,9 @@ def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
         ),
         "shard-rows",
     )
-    groups = staged(rows.groupBy("digest").agg(F.sum("size").alias("bytes")), "shard-groups")
-    groups = numbered(groups, [F.desc("bytes"), "digest"], "place", "shard-order")
+    n = rows.count()
+    groups = staged(rows.groupBy("digest").agg(F.sum("size").alias("bytes")), "shard-groups", n)
+    groups = numbered(groups, [F.desc("bytes"), "digest"], "place", "shard-order", n)
     classes = groups.groupBy("bytes").count().orderBy(F.desc("bytes"))
     path = fresh_path(spark, "shard-classes")
     schema = "bytes long, class_first long, ends array<long>"
@@ -104,8 +105,9 @@ def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
             "digest", F.expr("size(filter(ends, e -> e <= place - class_first))").cast("int").alias("shard")
         ),
         "shard-placed",
+        n,
     )
-    out = staged(rows.join(placed, "digest").select("doc_id", "size", "text_crc32", "shard"), "shard-out")
+    out = staged(rows.join(placed, "digest").select("doc_id", "size", "text_crc32", "shard"), "shard-out", n)
     firsts = dict(out.groupBy("shard").count().collect())  # one row per shard
     starts, total = [], 0
     for s in range(shards):
@@ -113,7 +115,7 @@ def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
         total += firsts.get(s, 0)
     side = spark.createDataFrame(starts, "shard int, _start long")
     return (
-        numbered(out, ["shard", "doc_id", "text_crc32"], "at", "shard-slots")
+        numbered(out, ["shard", "doc_id", "text_crc32"], "at", "shard-slots", n)
         .join(F.broadcast(side), "shard")  # one row per shard
         .select("doc_id", "size", "text_crc32", "shard", (F.col("at") - F.col("_start")).alias("slot"))
     )

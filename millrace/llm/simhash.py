@@ -271,18 +271,19 @@ def links(distinct: DataFrame, radius: int = 2, bucket_rows: int = BUCKET_ROWS)
                     [pa.array((some[:, None] ^ masks).ravel().view(np.int64)), pa.array(np.repeat(some, BITS + 1).view(np.int64))], ["mid", "fp"]
                 )
 
-    probes = staged(fp.mapInArrow(probe, "bucket long, fp long, asks boolean"), "simhash-probes")
+    probes = staged(fp.mapInArrow(probe, "bucket long, fp long, asks boolean"), "simhash-probes", 8 * n)
     sizes = probes.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    hot = staged(sizes.where(F.col("n") > bucket_rows).select("bucket"), "simhash-hot")
+    hot = staged(sizes.where(F.col("n") > bucket_rows).select("bucket"), "simhash-hot", n // bucket_rows)
     small = probes.join(hot, "bucket", "left_anti")
     near = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(verify, "u long, v long")
     if hot.isEmpty():
         return near
-    dense = staged(probes.join(hot, "bucket", "left_semi").select("fp").distinct(), "simhash-dense")
+    dense = staged(probes.join(hot, "bucket", "left_semi").select("fp").distinct(), "simhash-dense", n)
     meets = staged(dense.mapInArrow(midpoints, "mid long, fp long"), "simhash-midpoints")
     least = staged(
         meets.groupBy("mid").agg(F.min("fp").alias("v"), F.max("fp").alias("_top")).where(F.col("v") != F.col("_top")).select("mid", "v"),
         "simhash-stars",
+        n,
     )
     stars = meets.join(least, "mid").where(F.col("fp") != F.col("v")).select(F.col("fp").alias("u"), "v").distinct()
     return near.unionByName(stars)
@@ -302,11 +303,12 @@ def near_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     rows; other columns are ignored.
     """
     rows = staged(fingerprints(docs, shingle), "simhash-rows")
-    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    roots = staged(components(links(distinct, radius)), "simhash-roots")
+    n = rows.count()
+    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct", n)
+    roots = staged(components(links(distinct, radius)), "simhash-roots", n)
     named = staged(
-        distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "simhash-named"
+        distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "simhash-named", n
     )
-    least = staged(named.groupBy("root").agg(F.min("rep").alias("component_id")), "simhash-least")
-    ids = staged(named.join(least, "root").select("fp", "component_id"), "simhash-ids")
+    least = staged(named.groupBy("root").agg(F.min("rep").alias("component_id")), "simhash-least", n)
+    ids = staged(named.join(least, "root").select("fp", "component_id"), "simhash-ids", n)
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
