@@ -25,7 +25,16 @@ class Scorer(Protocol):
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), r"\s+"), "")
+
+
+#: Rows up to which a side that was counted is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if a count shows at most `most` rows; else df, and the join shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def hash_embed(text: Column, dim: int = 16) -> Column:
@@ -161,7 +170,7 @@ def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, n_results: i
     """
     dense = dense_topk(vectors, queries.select(F.col("query_id").alias("id"), "v"), n_results, "id", "v").select("query_id", "id", "rank")
     asked = queries.select("query_id", F.explode(F.array_distinct(F.slice(tokens(F.col("text")), 1, query_words))).alias("token"))
-    shared = postings(docs, "id", "text").join(asked, "token").groupBy("query_id", "id").agg(F.count("*").alias("score"))
+    shared = postings(docs, "id", "text").join(small_side(asked), "token").groupBy("query_id", "id").agg(F.count("*").alias("score"))
     lexical = ranked(shared, n_results).select("query_id", "id", "rank")
     fused = rrf(dense.unionByName(lexical), k).withColumn("score", F.round("score", 9))
     return ranked(fused, top_k)

@@ -87,7 +87,7 @@ def q_memory_pairs(spark: SparkSession, sf: str) -> DataFrame:
 def q_memory_recall(spark: SparkSession, sf: str) -> DataFrame:
     m = chat.memory_pairs(talks(spark, sf)).select((F.col("conv_id") * 10000 + F.col("turn")).alias("id"), "memory")
     q = m.where(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), F.explode(F.array_distinct(F.slice(search.tokens(F.col("memory")), 1, 12))).alias("token"))
-    hits = search.postings(m, "id", "memory").join(q, "token").where("id <> query_id").groupBy("query_id", "id").agg(F.count("*").alias("score"))
+    hits = search.postings(m, "id", "memory").join(search.small_side(q), "token").where("id <> query_id").groupBy("query_id", "id").agg(F.count("*").alias("score"))
     return search.ranked(hits, 3)
 
 

@@ -77,7 +77,7 @@ def q_sparse_topk(spark: SparkSession, sf: str) -> DataFrame:
     q = d.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(F.slice(search.tokens(F.col("text")), 1, 20))).alias("token"))
     post = search.postings(d, "doc_id", "text")
     # Only tokens that are asked for need a weight; the rest of the postings never leave their partition.
-    hit = post.join(q.select("token").distinct(), "token", "left_semi")
+    hit = post.join(search.small_side(q.select("token").distinct()), "token", "left_semi")
     idf = search.with_idf(hit, d.count())
     scored = q.join(idf, "token").join(hit, "token").groupBy("query_id", "id").agg(F.round(F.sum("idf"), 6).alias("score"))
     return search.ranked(scored, 10)

@@ -7,7 +7,7 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -38,9 +38,24 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
-    """One of the Parquet tables of a data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Bytes of a table under which its rows are not worth dealing out.
+SPREAD_BYTES = 1_000_000
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the Parquet tables of a data folder.
+
+    A table that Spark would read in fewer tasks than there are cores (one file with one
+    row group) is dealt out once; larger tables have splits enough and are read as they lie.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    df, sc = spark.read.parquet(path), spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    cores = sc.defaultParallelism
+    if size > SPREAD_BYTES and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 _own: list[str] = []
