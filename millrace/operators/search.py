@@ -103,7 +103,8 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
 
         return base.mapInArrow(run, "query_id long, id long, score double")
 
-    for row in asked.toLocalIterator():
+    few = asked.limit(QUERY_ROWS + 1).collect()
+    for row in few if len(few) <= QUERY_ROWS else asked.toLocalIterator():
         held.append(row)
         if len(held) == QUERY_ROWS:
             passes.append(scan(held))
