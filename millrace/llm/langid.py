@@ -122,10 +122,11 @@ def train(docs: DataFrame, usable: Column, sample_texts: int = SAMPLE_TEXTS, sam
     sizes = dict(known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample_all).collect())
     if not sizes:
         return None
+    sample_texts = max(1, min(sample_texts, sample_all // len(sizes)))
     draw = (F.xxhash64(F.lit(seed), "doc_id") / F.lit(float(2**64))) + 0.5
     share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, sample_texts / n))])
     picked = known.select("doc_id", "lang", "text", draw.alias("draw")).where(F.col("draw") <= share[F.col("lang")])
-    rows = staged(_numbers(picked, "lang").limit(sample_all), "langid-sample").orderBy("lang", "x").collect()  # at most sample_all rows
+    rows = staged(_numbers(picked, "lang").limit(2 * sample_all), "langid-sample").orderBy("lang", "x").collect()  # about sample_all rows
     if not rows:
         return None
     return fit(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), [r["lang"] for r in rows], seed=seed)
