@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 
+from .ranking import position_in_group
+
 
 class TextModel(Protocol):
     """A language model, as a function of prompts."""
@@ -45,8 +47,8 @@ def memory_pairs(messages: DataFrame, at_least: int = 16) -> DataFrame:
 
 def partition_round_robin(rows: DataFrame, n: int, group: str, order: str) -> DataFrame:
     """Deal each group's rows to n sets in turn: set = (position - 1) mod n."""
-    w = Window.partitionBy(group).orderBy(order)
-    return rows.withColumn("set", ((F.row_number().over(w) - 1) % n).cast("int"))
+    placed = position_in_group(rows, group, order, "_position")
+    return placed.withColumn("set", (F.col("_position") % n).cast("int")).drop("_position")
 
 
 def round_robin(items: list, n: int) -> list[list]:
@@ -65,7 +67,10 @@ def excerpt_budget(chunks: DataFrame, group: str, most: int = 12000, snippet: in
     """
     flat = F.left(F.regexp_replace(F.regexp_replace("text", r"^\s+|\s+$", ""), "\n", " "), F.lit(snippet))
     rows = chunks.select(group, "pos", F.concat(F.lit("["), "title", F.lit("] "), flat).alias("block"))
-    w = Window.partitionBy(group).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A block has at least 3 characters: no more than most / 3 can fit, and those are all that a task holds of a group.
+    by_pos = Window.partitionBy(group).orderBy("pos")
+    rows = rows.withColumn("_n", F.row_number().over(by_pos)).where(F.col("_n") <= most // 3)
+    w = by_pos.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fit = rows.withColumn("used", F.sum(F.length("block")).over(w)).where(F.col("used") <= most)
     out = fit.groupBy(group).agg(F.count("*").alias("blocks"), F.array_sort(F.collect_list(F.struct("pos", "block"))).alias("b"))
     return out.select(group, "blocks", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("excerpt"))

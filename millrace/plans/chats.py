@@ -93,7 +93,7 @@ def q_memory_recall(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 3 AS INT) AS set FROM documents")
 def q_speculative_partition(spark: SparkSession, sf: str) -> DataFrame:
-    return chat.partition_round_robin(docs(spark, sf), 3, "source", "doc_id").select("doc_id", "set")
+    return chat.partition_round_robin(docs(spark, sf).select("source", "doc_id"), 3, "source", "doc_id").select("doc_id", "set")
 
 
 BLOCK = "'[' || source || '] ' || left(replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), ' '), 600)"

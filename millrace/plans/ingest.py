@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import secrets
 from millrace.functions import text as T
-from millrace.operators import chunking, dedupe, state
+from millrace.operators import chunking, dedupe, ranking, state
 from millrace.session import shared_dir, table
 from millrace.sources import files
 from millrace.streaming import sync
@@ -191,8 +191,8 @@ def q_context_cache(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT doc_id, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 8) AS BIGINT) AS batch FROM documents""")
 def q_context_batches(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return docs(spark, sf).select("doc_id", F.floor((F.row_number().over(w) - 1) / 8).alias("batch"))
+    placed = ranking.position_in_group(docs(spark, sf).select("source", "doc_id"), "source", "doc_id")
+    return placed.select("doc_id", F.floor(F.col("position") / 8).alias("batch"))
 
 
 STATE_SQL = """
