@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.session import shared_dir
 
+from .search import small_side
+
 
 def exact(chunks: DataFrame, pos: str = "pos", text: str = "text") -> DataFrame:
     """One row per normalised text: the first by pos. Minima are taken map-side, so a text of very many copies is no hot group."""
@@ -18,14 +20,33 @@ def exact(chunks: DataFrame, pos: str = "pos", text: str = "text") -> DataFrame:
     return keyed.join(first, ["norm_hash", pos], "left_semi")
 
 
+#: Texts that share a shingle up to which its place in the order is its hash alone.
+COMMON = 32
+
+
+def rare_first(sets: DataFrame, common: int = COMMON) -> DataFrame:
+    """sets (id, s: sorted distinct hashes) with s in one global order: rare shingles by hash, then common ones by count.
+
+    Counts are summed map-side; only shingles in more than `common` texts are looked up,
+    so a passage that very many texts share stands last and out of short prefixes.
+    """
+    seen = sets.select("id", F.explode("s").alias("key"))
+    often = small_side(seen.groupBy("key").agg(F.count("*").alias("texts")).where(F.col("texts") > common))
+    late = seen.join(often, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("texts", "key"))).alias("late"))
+    keys = F.transform("late", lambda x: x["key"])
+    return sets.join(late, "id", "left").select("id", F.when(F.col("late").isNull(), F.col("s")).otherwise(F.concat(F.array_except("s", keys), keys)).alias("s"))
+
+
 def near_pairs(texts: DataFrame, threshold: float = 0.92, k: int = 7) -> DataFrame:
     """Pairs a < b with the Jaccard similarity of their k-word shingles at or above threshold.
 
-    texts: id, text, one row per distinct text. Prefix filter: shingles are ordered by
-    hash; a pair at the threshold shares one of its first n - ceil(t n) + 1, so only those
-    are joined, and counts of all shared shingles then decide. Sizes must be within t.
+    texts: id, text, one row per distinct text. Prefix filter: shingles are ordered from
+    rare to common; a pair at the threshold shares one of its first n - ceil(t n) + 1, so
+    only those are joined, and counts of all shared shingles then decide. Sizes must be within t.
     """
-    sets = texts.select("id", F.array_sort(F.transform(T.shingles(F.col("text"), k), lambda s: F.xxhash64(s))).alias("s")).withColumn("n", F.size("s"))
+    shared_dir(texts.sparkSession)  # where checkpoints go
+    hashed = F.array_sort(F.array_distinct(F.transform(T.shingles(F.col("text"), k), lambda s: F.xxhash64(s))))
+    sets = rare_first(texts.select("id", hashed.alias("s")).checkpoint()).withColumn("n", F.size("s")).checkpoint()
     cut = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1
     prefix = sets.select("id", "n", F.explode(F.slice("s", F.lit(1), F.greatest(cut, F.lit(1)).cast("int"))).alias("key"))
     a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "key"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "key")

@@ -227,3 +227,23 @@ def test_backup_round_trip(tmp_path):
     aside = ops.restore(made.path, str(data))
     assert (data / "f").read_text() == "1" and os.path.exists(aside) and [b.made for b in ops.list_backups(str(tmp_path / "b"))] == [made.made]
     assert ops.load_golden(str(tmp_path / "none")) == [] and all(ok for _, ok, _ in ops.doctor([str(tmp_path)], 0))
+
+
+def test_common_shingles_stand_last(spark):
+    sets = spark.createDataFrame([(i, sorted([1, 2, 100 + i, 200 + i])) for i in range(5)] + [(9, [1, 7])], "id int, s array<long>")
+    got = {r["id"]: r["s"] for r in dedupe.rare_first(sets, 4).collect()}
+    assert got[0] == [100, 200, 2, 1] and got[9] == [7, 1] and len(got) == 6
+    assert {r["id"]: r["s"] for r in dedupe.rare_first(sets, 9).collect()} == {r["id"]: r["s"] for r in sets.collect()}
+
+
+def test_near_pairs_equal_brute_force_with_a_shared_passage(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"{passage} " + " ".join(f"w{i // 2}x{j}" for j in range(60)) + (" end" if i % 2 else "")) for i in range(80)]
+    got = {(r["a"], r["b"]) for r in dedupe.near_pairs(spark.createDataFrame(rows, "id int, text string"), 0.9).collect()}
+
+    def shingles(t, k=7):
+        w = t.split(" ")
+        return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+    sets = [(i, shingles(t)) for i, t in rows]
+    assert got == {(a, b) for a, x in sets for b, y in sets if a < b and len(x & y) / len(x | y) >= 0.9} and len(got) == 40
