@@ -7,6 +7,7 @@ committing a batch again changes nothing. Totals are the sum of the log.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +40,11 @@ def counted(feed: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 @dataclass
 class TokenRollup:
-    """Additive token totals at a path. One writer at a time."""
+    """Additive token totals at a path. One writer at a time.
+
+    Only folders with a _SUCCESS mark count: what a lost driver left half written is
+    neither summed nor taken for committed.
+    """
 
     spark: SparkSession
     path: str
@@ -48,10 +53,11 @@ class TokenRollup:
     def open(cls, spark: SparkSession, path: str | None = None) -> TokenRollup:
         return cls(spark, path or fresh_path(spark, "token-rollup"))
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    def _marks(self, pattern: str) -> list[str]:
+        """Folders under the path that match the pattern and are whole."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}/_SUCCESS")
+        found = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+        return sorted(x.getPath().getParent().toString() for x in found or ())
 
     def commit(self, batch_id: str, inserts: DataFrame | None = None, deletes: DataFrame | None = None, tokenizer: str | None = None, version: str = "word_bpe_49k") -> bool:
         """Add a batch: inserted rows count +1, deleted rows -1, and their tokens alike.
@@ -60,8 +66,9 @@ class TokenRollup:
         text, source and lang. A batch id that is committed already is skipped: False.
         A batch that died halfway left no _SUCCESS mark and is written anew.
         """
-        to = f"{self.path}/batch={batch_id}"
-        if self._exists(f"{to}/_SUCCESS"):
+        folder = f"batch-{hashlib.sha256(batch_id.encode()).hexdigest()}"  # ids may hold any characters
+        to = f"{self.path}/{folder}"
+        if self._marks(folder):
             return False
         feeds = [d.select("source", "lang", "text", F.lit(s).cast("long").alias("sign")) for d, s in ((inserts, 1), (deletes, -1)) if d is not None]
         if not feeds:
@@ -77,10 +84,11 @@ class TokenRollup:
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs and tokens; groups whose documents are all gone drop out."""
-        if not self._exists(self.path):
+        whole = self._marks("batch-*")
+        if not whole:
             return self.spark.createDataFrame([], DELTA)
         return (
-            self.spark.read.schema(DELTA).option("basePath", self.path).parquet(f"{self.path}/batch=*")
+            self.spark.read.schema(DELTA).parquet(*whole)
             .groupBy("source", "lang", "tokenizer")
             .agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
             .where((F.col("docs") != 0) | (F.col("tokens") != 0))
