@@ -13,9 +13,11 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -309,17 +311,21 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]], trees: Trees)
     if not found:
         return []
     fixed = sorted(s for spans in base.values() for s in spans)
-    found = [c for c in found if not any(a < c[1] and b > c[0] for a, b in fixed)]
+    starts, ends = [a for a, _ in fixed], list(accumulate((b for _, b in fixed), max))
+    found = [c for c in found if not (n := bisect_left(starts, c[1])) or ends[n - 1] <= c[0]]
     if not found:
         return []
     x = [candidate_features(text, *c) for c in found]
     p = trees.probability(np.array(x))
     out: list[tuple[str, int, int, float]] = []
+    chosen: list[tuple[int, int]] = []  # sorted and apart, so that only the neighbours can overlap
     for i in np.lexsort(([c[0] for c in found], -p)):
         a, b, g = found[i]
         if p[i] < trees.threshold:
             break
-        if not any(s < b and e > a for _, s, e, _ in out):
+        n = bisect_left(chosen, (a, b))
+        if (n == len(chosen) or chosen[n][0] >= b) and (not n or chosen[n - 1][1] <= a):
+            chosen.insert(n, (a, b))
             out.append((kind_of(text, a, b, g, x[i]), a, b, float(p[i])))
     return out
 

@@ -2,8 +2,10 @@ import hashlib
 import heapq
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -115,6 +117,14 @@ def test_rollup_of_deltas(spark, docs, empty):
     assert rollup.commit("3", inserts=empty) and got() == _recount(left)
     again = token_counts.TokenRollup.open(spark, rollup.path)
     assert not again.commit("2", deletes=docs) and got() == _recount(left)
+    # A batch that died while its files were put in place has no mark: it counts once it is written anew.
+    assert rollup.commit("a/b c%2F", inserts=gone) and not rollup.commit("a/b c%2F", inserts=gone)
+    whole = got()
+    assert whole == _recount(left + gone.collect())
+    mark = next(p for p in Path(rollup.path.removeprefix("file://")).glob("*/_SUCCESS") if p.parent.name.endswith(hashlib.sha256(b"a/b c%2F").hexdigest()))
+    mark.unlink()
+    assert got() == _recount(left)
+    assert rollup.commit("a/b c%2F", inserts=gone) and got() == whole
 
 
 # Exact dedup
@@ -173,6 +183,34 @@ def test_pii_is_linear_on_long_runs():
         assert isinstance(pii.base_spans(s), dict) and isinstance(pii.candidates(s), list)
 
 
+def test_added_spans_equal_a_plain_choice():
+    """Chosen by falling probability, none overlapping a base span or one chosen before."""
+    rng = random.Random(3)
+    trees = pii.model()
+    bits = ["call", "order", "phone", "415-555-2671", "4111 1111 1111 1111", "a.b@c.de", "x at y dot com", "10.0.0.1", "key=", "0f" * 20, "iban DE12 3456 7890 1234 5678 90", "+1 (415) 555-2671", "word"]
+    for _ in range(200):
+        text = " ".join(rng.choices(bits, k=40))
+        base = pii.base_spans(text)
+        fixed = [s for spans in base.values() for s in spans]
+        free = [c for c in pii.candidates(text) if not any(a < c[1] and b > c[0] for a, b in fixed)]
+        p = trees.probability(np.array([pii.candidate_features(text, *c) for c in free])) if free else []
+        want: list = []
+        for i in sorted(range(len(free)), key=lambda i: (-p[i], free[i][0])):
+            a, b, _ = free[i]
+            if p[i] >= trees.threshold and not any(s < b and e > a for s, e in want):
+                want.append((a, b))
+        assert [(a, b) for _, a, b, _ in pii.added_spans(text, base, trees)] == want
+
+
+def test_many_candidates_in_one_text_stay_cheap():
+    text = "phone 415-555-2671, mail a.b@c.de and " * 20_000
+    began = time.perf_counter()
+    base = pii.base_spans(text)
+    assert len(base["email"]) == 20_000
+    pii.added_spans(text, base, pii.model())
+    assert time.perf_counter() - began < 60
+
+
 def test_boosted_candidates_on_held_out_examples():
     rows = pii.examples(2000, 123)
     x = np.array([pii.candidate_features(*r[:4]) for r in rows])
