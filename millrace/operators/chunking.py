@@ -124,6 +124,25 @@ def header_sections(notes: DataFrame, id_col: str = "source_id", body: str = "bo
     return out.where("text <> ''").select("source_id", "section", path.alias("header_path"), "text")
 
 
+def late_vectors(tokens: DataFrame, spans: DataFrame, id_col: str = "source_id") -> DataFrame:
+    """One vector for each chunk from token vectors of its whole document: id, chunk_index, embedding (unit length, +1e-12).
+
+    tokens: id, n_chars, tokens (array<array<double>>); spans: id, chunk_index, char_start,
+    char_end. A chunk takes its proportional share of the tokens, one at least, and their
+    mean; beyond the last token it is all zero.
+    """
+    share = lambda at: F.floor(F.col(at) / F.greatest("n_chars", F.lit(1)) * F.size("tokens")).cast("int")
+    low = share("char_start")
+    part = F.slice("tokens", low + 1, F.greatest(low + 1, share("char_end")) - low)
+    width = F.size(F.get("tokens", F.lit(0)))
+    total = F.aggregate(part, F.array_repeat(F.lit(0.0), width), lambda s, v: F.zip_with(s, v, lambda x, y: x + y.cast("double")))
+    mean = lambda p: F.transform(p["total"], lambda x: x / F.greatest(p["n"], F.lit(1)))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)) + 1e-12
+    unit = lambda v: T.let(norm(v), lambda n: F.transform(v, lambda x: x / n))
+    rows = spans.join(tokens, id_col).select(id_col, "chunk_index", F.struct(total.alias("total"), F.size(part).alias("n")).alias("p"))
+    return rows.select(id_col, "chunk_index", T.let(mean(F.col("p")), unit).alias("embedding"))
+
+
 def segment_offsets(text: str, chunks: list[str]) -> list[tuple[int, int]]:
     """Where chunks lie in text, by their first 64 characters; equal spans if any is not found."""
     out, at = [], 0

@@ -87,6 +87,24 @@ def expand(seeds: DataFrame, edges: DataFrame, chunks: DataFrame, hops: int = 1,
     )
 
 
+def subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with both ends among nodes (node)."""
+    ends = nodes.select("node").distinct()
+    return edges.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+
+
+def related(edges: DataFrame, cited: DataFrame, first: int = 5, most: int = 20) -> DataFrame:
+    """Notes linked to the first citations of a query and not cited by it: query_id, position (from 1, by id), source_id; at most `most`.
+
+    cited: query_id, rank, source_id.
+    """
+    starts = cited.where(F.col("rank") <= first).select("query_id", F.col("source_id").alias("src")).distinct()
+    near = starts.join(undirected(edges), "src").select("query_id", F.col("dst").alias("source_id")).distinct()
+    new = near.join(cited.select("query_id", "source_id"), ["query_id", "source_id"], "left_anti")
+    w = Window.partitionBy("query_id").orderBy("source_id")
+    return new.withColumn("position", F.row_number().over(w)).where(F.col("position") <= most).select("query_id", "position", "source_id")
+
+
 def pins(messages: DataFrame, titles: DataFrame, chunks: DataFrame, per_source: int = 6) -> DataFrame:
     """Chunks of the notes that messages (msg_id, text) mention: msg_id, source_id, chunk_id; unresolved ones drop out."""
     said = messages.select("msg_id", F.explode(T.wikilinks(F.col("text"))).alias("mention"))

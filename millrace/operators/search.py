@@ -54,8 +54,18 @@ def overlap_scorer(query: Column, text: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens(text))) / F.size(q)).otherwise(0.0)
 
 
+def max_sim(query: Column, text: Column) -> Column:
+    """Late interaction of token vectors (array<array<double>>): the sum over the query's of the largest inner product with any of the text's."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    best = F.transform(query, lambda q: F.array_max(F.transform(text, lambda t: dot(q, t))))
+    return F.aggregate(best, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+
+
 def payload_filter(df: DataFrame, where: dict[str, Any] | None) -> DataFrame:
-    """Conjunction over columns: a list is any-of, a dict of gte/gt/lte/lt a range, else equality; on arrays these mean contains."""
+    """Conjunction over columns: a list is any-of, a dict of gte/gt/lte/lt a range, else equality; on arrays these mean contains.
+
+    A dict's ne leaves rows out that hold the value; rows without any value stay.
+    """
     for name, want in (where or {}).items():
         col, is_array = F.col(name), df.schema[name].dataType.typeName() == "array"
         if isinstance(want, list):
@@ -63,6 +73,9 @@ def payload_filter(df: DataFrame, where: dict[str, Any] | None) -> DataFrame:
         elif isinstance(want, dict):
             for op, bound in want.items():
                 value = F.lit(bound)
+                if op == "ne":
+                    df = df.where(~F.coalesce(F.array_contains(col, bound) if is_array else col == value, F.lit(False)))
+                    continue
                 df = df.where({"gte": col >= value, "gt": col > value, "lte": col <= value, "lt": col < value}[op])
         else:
             df = df.where(F.array_contains(col, want) if is_array else col == want)

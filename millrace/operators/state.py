@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +92,19 @@ def check_stamp(stamp: dict | None, model: str, dim: int, quantised: bool) -> No
         raise ValueError(f"index is not compatible: {bad}")
 
 
+def migrate(version: int, steps: dict[int, Callable[[], None]], done: Callable[[int], None] = lambda version: None) -> int:
+    """Run the steps beyond a version in order, tell `done` after each, and return the version reached.
+
+    A step that fails stops the run; those before it are done and aren't run again.
+    """
+    for target in sorted(steps):
+        if target > version:
+            steps[target]()
+            done(target)
+            version = target
+    return version
+
+
 def index_stats(chunks: DataFrame, state_sources: DataFrame, state_chunks: DataFrame) -> DataFrame:
     """One row: points, sources, state_sources, state_chunks and drift."""
     a = chunks.agg(F.count("*").alias("points"), F.countDistinct("source_id").alias("sources"))

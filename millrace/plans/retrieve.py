@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import cluster, graph, search
+from millrace.operators import chunking, cluster, graph, search
 from millrace.session import table
 
 from .ingest import docs
@@ -253,3 +253,84 @@ def q_cluster_tree(spark: SparkSession, sf: str) -> DataFrame:
     d = docs(spark, sf).select("doc_id", F.concat(F.lit("txt:"), F.col("doc_id").cast("string")).alias("source_id"), "source", "text")
     members = labels.join(d, F.col("vec_id") == F.col("doc_id")).select("label", "source_id", F.col("source").alias("title"), "text")
     return cluster.summary_nodes(members, 1).select("source_id", "chunk_index", "size", F.length("text").alias("chars"))
+
+
+@query("SELECT doc_id FROM documents WHERE source = 'src2'")
+def q_filter_eq(spark: SparkSession, sf: str) -> DataFrame:
+    return search.payload_filter(docs(spark, sf), {"source": "src2"}).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE source IS DISTINCT FROM 'src1'")
+def q_filter_not(spark: SparkSession, sf: str) -> DataFrame:
+    return search.payload_filter(docs(spark, sf), {"source": {"ne": "src1"}}).select("doc_id")
+
+
+#: Components of a token vector where embeddings stand in for the tokens of a text.
+TOKEN_DIM = 8
+
+
+def token_vectors(column: str) -> Column:
+    """A vector cut into token vectors."""
+    v = F.col(column)
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / TOKEN_DIM).cast("int") - 1), lambda i: F.slice(v, i * TOKEN_DIM + 1, TOKEN_DIM))
+
+
+@query(f"""WITH {DENSE}, pool AS (SELECT * FROM dense WHERE rank <= 20),
+    t AS (SELECT vec_id, i, CAST(embedding[i * 8 + 1 : i * 8 + 8] AS DOUBLE[]) AS t FROM embeddings, generate_series(0, 7) g(i)),
+    m AS (SELECT query_id, id, rank, max(list_inner_product(q.t, d.t)) AS s FROM pool JOIN t q ON q.vec_id = query_id JOIN t d ON d.vec_id = id GROUP BY query_id, id, rank, q.i),
+    s AS (SELECT query_id, id, rank, round(sum(s), 6) AS rerank_score FROM m GROUP BY ALL),
+    f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank, id) AS final_rank FROM s)
+    SELECT query_id, id, CAST(final_rank AS INT) AS final_rank, rerank_score FROM f WHERE final_rank <= 8""")
+def q_maxsim_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    """Late interaction over the token vectors of a dense pool."""
+    v = table(spark, sf, "embeddings").select("vec_id", token_vectors("embedding").alias("t"))
+    pool = search.dense_topk(table(spark, sf, "embeddings"), asked(spark, sf), 20).select("query_id", "id", "rank")
+    full = pool.join(v.select(F.col("vec_id").alias("id"), F.col("t").alias("text")), "id").join(v.select(F.col("vec_id").alias("query_id"), F.col("t").alias("query")), "query_id")
+    scorer = lambda a, b: F.round(search.max_sim(a, b), 6)
+    return search.rerank(full, scorer, F.col("query"), F.col("text"), 20, 8).select("query_id", "id", "final_rank", "rerank_score")
+
+
+@query("""WITH s AS (SELECT vec_id, embedding, CAST(c AS INT) AS chunk_index, [0, 30, 55][c + 1] AS a, [30, 55, 100][c + 1] AS b FROM embeddings, generate_series(0, 2) g(c)),
+    t AS (SELECT *, CAST(floor(a / 100.0 * 8) AS INT) AS lo, CAST(floor(b / 100.0 * 8) AS INT) AS hi FROM s),
+    p AS (SELECT vec_id, chunk_index, j, avg(CAST(embedding[i * 8 + j] AS DOUBLE)) AS x FROM t, generate_series(0, 7) g(i), generate_series(1, 8) h(j) WHERE i >= lo AND i < greatest(hi, lo + 1) GROUP BY ALL)
+    SELECT vec_id, chunk_index, round(max(CASE WHEN j = 1 THEN x END) / (sqrt(sum(x * x)) + 1e-12), 6) AS lead FROM p GROUP BY ALL""")
+def q_late_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Three chunks of 100 characters each, from the token vectors of the whole."""
+    tokens = table(spark, sf, "embeddings").select("vec_id", F.lit(100).alias("n_chars"), token_vectors("embedding").alias("tokens"))
+    spans = tokens.select("vec_id", F.inline(F.array(*[F.struct(F.lit(i).alias("chunk_index"), F.lit(a).alias("char_start"), F.lit(b).alias("char_end")) for i, (a, b) in enumerate(((0, 30), (30, 55), (55, 100)))])))
+    return chunking.late_vectors(tokens, spans, "vec_id").select("vec_id", "chunk_index", F.round(F.get("embedding", F.lit(0)), 6).alias("lead"))
+
+
+@query(f"""WITH {EDGES_SQL}, n AS (SELECT 'obsidian:' || n_name || '.md' AS node FROM nation UNION SELECT 'obsidian:' || r_name || '.md' FROM region)
+    SELECT src, dst FROM edges WHERE src IN (FROM n) AND dst IN (FROM n)""")
+def q_subgraph(spark: SparkSession, sf: str) -> DataFrame:
+    name = lambda t, c: table(spark, sf, t).select(F.concat(F.lit("obsidian:"), c, F.lit(".md")).alias("node"))
+    return graph.subgraph(graph.link_graph(notes(spark, sf)), name("nation", "n_name").unionByName(name("region", "r_name")))
+
+
+@query(f"""WITH {EDGES_SQL}, b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+    c AS (SELECT CAST(n_regionkey AS BIGINT) AS query_id, 'obsidian:' || n_name || '.md' AS source_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rank FROM nation),
+    r AS (SELECT DISTINCT query_id, dst AS source_id FROM c JOIN b ON src = source_id WHERE rank <= 5),
+    x AS (SELECT r.* FROM r ANTI JOIN c USING (query_id, source_id)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source_id) AS position FROM x)
+    SELECT query_id, CAST(position AS INT) AS position, source_id FROM o WHERE position <= 20""")
+def q_related(spark: SparkSession, sf: str) -> DataFrame:
+    """What the nations of each region, taken as citations, are linked to."""
+    w = Window.partitionBy("query_id").orderBy("n_nationkey")
+    cited = table(spark, sf, "nation").select(F.col("n_regionkey").cast("long").alias("query_id"), "n_nationkey", F.concat(F.lit("obsidian:"), "n_name", F.lit(".md")).alias("source_id"))
+    return graph.related(graph.link_graph(notes(spark, sf)), cited.withColumn("rank", F.row_number().over(w)))
+
+
+@query()
+def q_summary_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Summaries of document clusters, level by level."""
+    d = docs(spark, sf).select(F.col("doc_id").alias("vec_id"), F.concat(F.lit("txt:"), F.col("doc_id").cast("string")).alias("source_id"), F.col("source").alias("title"), "text")
+    leaves = d.join(table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("v")), "vec_id")
+    return cluster.summary_tree(leaves).select("source_id", "level", "size", F.size("member_sources").alias("sources"), F.length("text").alias("chars"))
+
+
+@query()
+def q_community_notes(spark: SparkSession, sf: str) -> DataFrame:
+    n = notes(spark, sf)
+    chunks = n.select("source_id", F.lit(0).alias("chunk_index"), "title", F.col("body").alias("text"))
+    return cluster.community_nodes(graph.communities(graph.link_graph(n)), chunks).select("source_id", "title", "text", F.size("member_sources").alias("sources"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Callable
+from functools import reduce
 from html.parser import HTMLParser
 from urllib.parse import unquote
 
@@ -182,6 +184,20 @@ def pages_as_documents(pages: DataFrame) -> DataFrame:
     )
 
 
+def tolerant(read: Callable[[bytes], str]) -> Callable[[bytes], str | None]:
+    """read, with None for a damaged file; a missing library still raises."""
+
+    def run(data: bytes) -> str | None:
+        try:
+            return read(data)
+        except ImportError:
+            raise
+        except Exception:  # readers of broken files raise errors of any kind
+            return None
+
+    return run
+
+
 def epub_text(data: bytes) -> str:
     out = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -193,7 +209,7 @@ def epub_text(data: bytes) -> str:
 
 @arrow_udf("string")
 def _epub(data: pd.Series) -> pd.Series:
-    return data.map(epub_text)
+    return data.map(tolerant(epub_text))
 
 
 def read_epub(spark: SparkSession, path: str) -> DataFrame:
@@ -208,13 +224,13 @@ def pdf_text(data: bytes) -> str:
     try:
         from pypdf import PdfReader
     except ImportError as e:
-        raise RuntimeError("reading PDF needs pypdf") from e
+        raise ImportError("reading PDF needs pypdf") from e
     return "\n\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages)
 
 
 @arrow_udf("string")
 def _pdf(data: pd.Series) -> pd.Series:
-    return data.map(pdf_text)
+    return data.map(tolerant(pdf_text))
 
 
 def read_pdf(spark: SparkSession, path: str) -> DataFrame:
@@ -241,3 +257,29 @@ def transcripts_as_documents(lines: DataFrame) -> DataFrame:
         F.concat(F.lit("# "), "title", F.lit("\n\n## Transcript\n\n"), body, F.lit("\n")).alias("content"),
     )
 
+
+
+#: Readers by extension.
+READERS = {".pdf": read_pdf, ".epub": read_epub, ".txt": read_txt, ".md": read_vault}
+DOCUMENT = ("source_id", "source_type", "title", "content")
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of a folder, or of one file, by extension: source_id, source_type, title, content.
+
+    A folder's files of other extensions and damaged files are passed over. A lone file of
+    another extension is a ValueError, a missing path a FileNotFoundError.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    if fs.getFileStatus(at).isFile():
+        kind = re.search(r"\.[^./]*$|$", path)[0].lower()
+        if kind not in READERS:
+            raise ValueError(f"unsupported extension: {kind}")
+        if kind == ".md":  # a folder of one note
+            root = path.rsplit("/", 1)[0]
+            return read_vault(spark, root).where(F.col("rel") == path.rsplit("/", 1)[1]).select(*DOCUMENT)
+        return READERS[kind](spark, path).select(*DOCUMENT)
+    return reduce(DataFrame.unionByName, (read(spark, path).select(*DOCUMENT) for read in READERS.values())).where(F.col("content").isNotNull())

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace import ops
+from millrace import config, ops
 from millrace.functions import secrets, timehint
 from millrace.functions import text as T
 from millrace.operators import chat, chunking, cluster, dedupe, graph, search, state
@@ -247,3 +247,86 @@ def test_near_pairs_equal_brute_force_with_a_shared_passage(spark):
 
     sets = [(i, shingles(t)) for i, t in rows]
     assert got == {(a, b) for a, x in sets for b, y in sets if a < b and len(x & y) / len(x | y) >= 0.9} and len(got) == 40
+
+
+def test_filter_not_keeps_rows_without_a_value(spark):
+    df = spark.createDataFrame([(1, "raptor", ["a"]), (2, "txt", ["b"]), (3, None, None)], "id int, kind string, tags array<string>")
+    ids = lambda w: [r["id"] for r in search.payload_filter(df, w).orderBy("id").collect()]
+    assert ids({"kind": {"ne": "raptor"}}) == [2, 3] and ids({"tags": {"ne": "a"}}) == [2, 3]
+
+
+def test_max_sim(spark):
+    df = spark.createDataFrame([([[1.0, 0.0], [0.0, 2.0]], [[0.5, 0.5], [0.0, 1.0]]), ([[1.0, 0.0]], []), ([], [[1.0, 1.0]])], "q array<array<double>>, t array<array<double>>")
+    assert [r["s"] for r in df.select(search.max_sim(F.col("q"), F.col("t")).alias("s")).collect()] == [2.5, 0.0, 0.0]
+
+
+def test_late_vectors_are_means_of_their_share(spark):
+    t = np.random.default_rng(1).normal(size=(10, 3))
+    spans = [(0, 0, 40), (1, 40, 42), (2, 42, 100)]
+    tokens = spark.createDataFrame([("s", 100, t.tolist())], "source_id string, n_chars int, tokens array<array<double>>")
+    got = chunking.late_vectors(tokens, spark.createDataFrame([("s", *x) for x in spans], "source_id string, chunk_index int, char_start int, char_end int"))
+    for r in got.collect():
+        _, a, b = spans[r["chunk_index"]]
+        m = t[a // 10 : max(a // 10 + 1, b // 10)].mean(0)
+        assert r["embedding"] == pytest.approx((m / (np.linalg.norm(m) + 1e-12)).tolist())
+
+
+def test_subgraph_and_related(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "a")], "src string, dst string")
+    nodes = spark.createDataFrame([("a",), ("b",), ("x",)], "node string")
+    assert [tuple(r) for r in graph.subgraph(edges, nodes).collect()] == [("a", "b")]
+    cited = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "zz"), (3, 6, "a")], "query_id long, rank int, source_id string")
+    assert sorted(tuple(r) for r in graph.related(edges, cited).collect()) == [(1, 1, "c"), (1, 2, "d")]
+    assert [tuple(r) for r in graph.related(edges, cited, most=1).collect()] == [(1, 1, "c")]
+
+
+def test_summary_tree_and_nodes(spark):
+    r = np.random.default_rng(0)
+    rows = [(f"s{i:02}", "T" if i else None, f"text {i}", (r.normal(size=3) + 9 * (i % 2)).tolist()) for i in range(24)]
+    leaves = spark.createDataFrame(rows, "source_id string, title string, text string, v array<double>")
+    nodes = cluster.summary_tree(leaves, lambda p: p[:20], least=4, most=4).collect()
+    assert nodes and {x["level"] for x in nodes} == {1} and all(x["size"] >= 4 and x["source_id"].startswith("raptor:L1:") for x in nodes)
+    assert cluster.summary_tree(leaves, lambda p: "", least=4, most=4).count() == 0 and cluster.summary_tree(leaves.limit(7), least=4) is None
+    one = leaves.where("title is not null").select(F.lit(0).alias("label"), "source_id", "title", "text")
+    full = "\n\n---\n\n".join(f"[T] text {i}" for i in range(1, 24))
+    for most in (10_000, 47, 12):
+        assert cluster.summary_nodes(one, 1, 2, most).first()["text"] == full[:most]
+
+
+def test_community_nodes(spark):
+    edges = spark.createDataFrame([("x", "y"), ("y", "z"), ("p", "q")], "src string, dst string")
+    chunks = spark.createDataFrame([("x", 0, "X", "one"), ("x", 1, "X", "two"), ("x", 2, "X", "three"), ("z", 0, None, "four")], "source_id string, chunk_index int, title string, text string")
+    told = cluster.community_nodes(graph.communities(edges, 3), chunks, lambda p: p).collect()
+    assert [(r["title"], r["text"], r["member_sources"]) for r in told] == [("Community of 3 notes", "[X] one\n\n[X] two\n\n[z] four", ["x", "y", "z"])]
+    assert cluster.community_nodes(graph.communities(edges, 3), chunks, lambda p: " ").count() == 0
+
+
+def test_documents_by_extension(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.txt").write_text("plain")
+    (tmp_path / "sub" / "b.md").write_text("# B\nnote")
+    (tmp_path / "c.bin").write_bytes(b"x")
+    (tmp_path / "bad.epub").write_bytes(b"no zip")
+    got = {r["source_id"]: r["content"] for r in files.read_documents(spark, str(tmp_path)).collect()}
+    assert got == {"txt:a.txt": "plain", "obsidian:sub/b.md": "# B\nnote"}
+    assert [r["content"] for r in files.read_documents(spark, str(tmp_path / "a.txt")).collect()] == ["plain"]
+    assert [r["source_id"] for r in files.read_documents(spark, str(tmp_path / "sub" / "b.md")).collect()] == ["obsidian:b.md"]
+    with pytest.raises(ValueError):
+        files.read_documents(spark, str(tmp_path / "c.bin"))
+    with pytest.raises(FileNotFoundError):
+        files.read_documents(spark, str(tmp_path / "none"))
+
+
+def test_migrations_run_once_and_in_order():
+    ran, done = [], []
+    steps = {2: lambda: ran.append(2), 1: lambda: ran.append(1), 3: lambda: ran.append(3)}
+    assert state.migrate(1, steps, done.append) == 3 and ran == [2, 3] == done and state.migrate(3, steps) == 3 and state.migrate(0, {}) == 0
+
+
+def test_settings(tmp_path, monkeypatch):
+    monkeypatch.setenv("VAULT_AT", "/v")
+    (tmp_path / "a.yaml").write_text("paths: {vault: '${VAULT_AT}/x', data: [1, '$NOT_SET_HERE']}\nk: 60\n")
+    (tmp_path / "b.yaml").write_text("paths: {data: other}\nnew: {a: 1}\n")
+    got = config.load(str(tmp_path / "a.yaml"), str(tmp_path / "b.yaml"), str(tmp_path / "none.yaml"), environ={"MILLRACE_NEW__B": "true", "MILLRACE_K": "5", "OTHER": "x"})
+    assert got == {"paths": {"vault": "/v/x", "data": "other"}, "k": 5, "new": {"a": 1, "b": True}}
+    assert config.expand_env({"a": ["${VAULT_AT}", 3]}) == {"a": ["/v", 3]}
