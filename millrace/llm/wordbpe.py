@@ -102,14 +102,21 @@ class WordBpe:
         return text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = list(map(self._words, texts))
-        words: set[str] = set().union(*(s for s in split if s))
-        fresh = self._learn(words - self.cache.keys())
-        if len(self.cache) < CACHE_WORDS:
-            self.cache.update(fresh)
-            get = self.cache.__getitem__
-        else:
-            cache = self.cache
-            seen = {w: cache[w] for w in words if w in cache} | fresh
-            get = seen.__getitem__
-        return [self.whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        """The ids of each text; a text is looked up at once, and only one with unknown words is looked at word by word."""
+        cache, out = self.cache, []
+        get = cache.__getitem__
+        for text in texts:
+            words = self._words(text)
+            if words is None:
+                out.append(self.whole(text))
+                continue
+            try:
+                out.append(b"".join(map(get, words)))
+            except KeyError:
+                fresh = self._learn({w for w in words if w not in cache})
+                if len(cache) < CACHE_WORDS:
+                    cache.update(fresh)
+                    out.append(b"".join(map(get, words)))
+                else:
+                    out.append(b"".join([fresh[w] if w in fresh else cache[w] for w in words]))
+        return out
