@@ -75,13 +75,20 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 # Candidates -----------------------------------------------------------------
 
+#: Groups in full, or with one '::' at any place that stands for the missing ones.
+_IPV6 = re.compile(
+    r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f:]{0,30}[0-9A-Fa-f]{1,4}"
+    r"|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?"
+    r"|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?![\w:])"
+)
 #: Generators: pattern, and a cheaper pattern that every match of it holds (None: it runs on every text).
+#: Runs have no upper length; a run that fails is tried again from few places only, so the cost stays linear.
 GENERATORS = {
-    "digits": (re.compile(r"(?<![\w.])\(?[0-9](?:[ ()./-]{0,2}[0-9]){5,24}+(?![\w])"), re.compile(r"[0-9][ ()./-]{0,2}[0-9][ ()./-]{0,2}[0-9]")),
-    "hidden_email": (re.compile(r"(?<![\w.])[\w.+-]{1,40}\s?[\[(<{ ]\s?at\s?[\])>} ]\s?[\w-]{1,40}(?:\s?[\[(<{ ]\s?dot\s?[\])>} ]\s?[\w-]{1,20}){1,4}", re.I), re.compile("dot", re.I)),
-    "key": (re.compile(r"(?<![A-Za-z0-9_])(?:[0-9a-f]{32,128}|[A-Za-z]{2,6}[-_][A-Za-z0-9_-]{16,128}|AKIA[0-9A-Z]{16}|[A-Za-z0-9+/]{40,128}={0,2})(?![A-Za-z0-9_])"), None),
+    "digits": (re.compile(r"(?<![\w.])(?:\(?[0-9](?:[ ()./-]{0,2}[0-9]){5,24}+|[0-9]{26,}+)(?![\w])"), re.compile(r"[0-9][ ()./-]{0,2}[0-9][ ()./-]{0,2}[0-9]")),
+    "hidden_email": (re.compile(r"(?:(?<![\w.+-])[\w.+-]++|(?<![\w.])[\w.+-]{1,40}+)\s?[\[(<{ ]\s?at\s?[\])>} ]\s?[\w-]++(?:\s?[\[(<{ ]\s?dot\s?[\])>} ]\s?[\w-]++)++", re.I), re.compile("dot", re.I)),
+    "key": (re.compile(r"(?<![A-Za-z0-9_])(?:[0-9a-f]{32,}+|[A-Za-z]{2,6}[-_][A-Za-z0-9_-]{16,}+|AKIA[0-9A-Z]{16}|[A-Za-z0-9+/]{40,}={0,2})(?![A-Za-z0-9_])"), None),
     "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), None),
-    "ipv6": (re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f:]{0,30}[0-9A-Fa-f]{1,4}(?![\w:])"), re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f:]")),
+    "ipv6": (_IPV6, re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f:]|::[0-9A-Fa-f]")),
 }
 
 # Words that come before personal data, by the kind they point to.

@@ -247,6 +247,30 @@ def test_gates_drop_no_candidate():
         assert [text[a:b] for _, a, b, _ in pii.added_spans(text, pii.base_spans(text), pii.model())] == [span]
 
 
+def test_long_and_compressed_spans_are_whole():
+    for before, span, kind in (
+        ("secret=", "0123456789abcdef" * 16, "secret"),
+        ("token=", "aB3" * 43, "secret"),
+        ("api key: ", "sk-proj-" + "aB3d" * 39, "secret"),
+        ("mail ", "a" * 45 + " at " + "b" * 45 + " dot com", "email"),
+        ("account ", "1234567890" * 3, "account"),
+        ("server ", "fe80::1ff:fe23:4567:890a", "ip"),
+        ("host ", "2001:db8::8a2e:370:7334", "ip"),
+        ("host ", "2001:db8:0:1::", "ip"),
+    ):
+        text = f"{before}{span} here"
+        got = [(k, text[a:b]) for k, a, b, _ in pii.added_spans(text, pii.base_spans(text), pii.model())]
+        assert got == [(kind, span)], (got, span)
+    for text in ("std::vector x :: Int", "a :: b"):
+        assert pii.candidates(text) == []
+    # What was proposed before a break is still proposed, and failing runs stay linear.
+    assert (0, 50, "key") in pii.candidates("A" * 50 + "/foo_bar")
+    began = time.perf_counter()
+    for s in ("a/" * 100_000 + "_", "/" * 200_000 + "_", "a/" * 19 + "b" * 200_000 + "_", "-" * 200_000, "a-" * 100_000, "1" * 200_000 + "a", "f::" * 70_000, "a at b" + " dot c" * 30_000):
+        pii.candidates(s)
+    assert time.perf_counter() - began < 20
+
+
 # Packing
 
 
