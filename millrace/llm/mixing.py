@@ -2,13 +2,16 @@
 
 Documents are counted by exact length. A source's target is met by whole passes over it
 and, for the rest, a subset: every length gives the same share of its documents, and
-a bounded knapsack over what lengths have left fits the remaining words. How many
-documents each length gives is then filled by seeded order.
+a knapsack over what lengths have left fits the remaining words. Where very many words
+remain, the largest lengths go before the knapsack; if the target is missed then, a
+knapsack of all of them is tried, up to a bound on its size. How many documents each
+length gives is then filled by seeded order.
 """
 
 from __future__ import annotations
 
 import math
+import random
 from bisect import bisect_right
 
 import pandas as pd
@@ -18,8 +21,11 @@ from pyspark.sql import functions as F
 from .common import numbered, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words that the knapsack fits; what is above goes by the largest lengths first.
+#: Words that the knapsack fits at first; what is above goes by the largest lengths first.
 WINDOW = 1 << 14
+#: If that misses the budget: bits (items times words) and sums up to which the knapsack fits all of it.
+BITS = 1 << 29
+SUMS = 1 << 17
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
@@ -44,12 +50,8 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (3, 1, 2),
     return out
 
 
-def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many of each length, at most its count, so that the sum is the largest not above budget.
-
-    Counts are split into powers of two; reachable sums are the bits of a number, one
-    number for each item, by which the choice is traced back.
-    """
+def split(lengths: list[int], counts: list[int], budget: int) -> list[tuple[int, int, int]]:
+    """Items of the knapsack: index, how many, their words; counts in powers of two."""
     items = []
     for k, (length, count) in enumerate(zip(lengths, counts, strict=True)):
         count, n = min(count, budget // length if length else 0), 1
@@ -57,6 +59,16 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
             n = min(n, count)
             items.append((k, n, n * length))
             count, n = count - n, 2 * n
+    return items
+
+
+def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
+    """How many of each length, at most its count, so that the sum is the largest not above budget.
+
+    Counts are split into powers of two; reachable sums are the bits of a number, one
+    number for each item, by which the choice is traced back.
+    """
+    items = split(lengths, counts, budget)
     mask = (1 << (budget + 1)) - 1
     reach = [1]
     for _, _, words in items:
@@ -73,13 +85,76 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     return out
 
 
-def fit(lengths: list[int], counts: list[int], budget: int, window: int = WINDOW) -> list[int]:
-    """How many documents of each length come to about budget words; all lengths over 0."""
+def sparse_knapsack(lengths: list[int], counts: list[int], budget: int, most: int = SUMS) -> list[int] | None:
+    """As knapsack, by a table of the reachable sums with the item that first reached each; None where it grows too large."""
+    came, work = {0: (-1, 0, 0)}, 0
+    for k, n, words in split(lengths, counts, budget):
+        work += len(came)
+        came |= {s + words: (k, n, s) for s in came if s + words <= budget and s + words not in came}
+        if budget in came:
+            break
+        if len(came) > most or work > 128 * most:
+            return None
+    out, at = [0] * len(lengths), max(came)
+    while at:
+        k, n, at = came[at]
+        out[k] += n
+    return out
+
+
+def exact(lengths: list[int], counts: list[int], budget: int) -> list[int] | None:
+    """The knapsack of the whole budget by whichever form is small enough; None if neither is."""
+    if len(split(lengths, counts, budget)) * budget <= BITS:
+        return knapsack(lengths, counts, budget)
+    return sparse_knapsack(lengths, counts, budget)
+
+
+def shares(lengths: list[int], counts: list[int], budget: int, offset: float) -> list[int]:
+    """The same share of every length's documents, below budget in sum.
+
+    Shares are rounded at one running sum over the lengths, shortest first, so that rare
+    lengths get their part too; offset, 0 to 1, says where the rounding begins.
+    """
+    total = sum(a * b for a, b in zip(lengths, counts, strict=True))
+    order = sorted(range(len(lengths)), key=lambda k: lengths[k])
+    take, run, last = [0] * len(lengths), int(offset * (total - 1)), 0
+    for k in order:
+        run += counts[k] * budget
+        take[k], last = run // total - last, run // total
+    over = sum(a * b for a, b in zip(lengths, take, strict=True)) - budget
+    while over > 0:
+        held = [k for k in order if take[k]]
+        k = next((k for k in held if lengths[k] >= over), held[-1])
+        take[k] -= 1
+        over -= lengths[k]
+    return take
+
+
+def fit(lengths: list[int], counts: list[int], budget: int, window: int = WINDOW, offset: float = 0.5) -> list[int]:
+    """How many documents of each length come to about budget words; all lengths over 0.
+
+    Equal shares, then the knapsack of what is left; where more than window words are
+    left, the largest lengths go first. If that misses the budget, the knapsack of all
+    that is left, and then of the whole budget, is tried as far as BITS and SUMS allow.
+    """
     total = sum(a * b for a, b in zip(lengths, counts, strict=True))
     if budget >= total:
         return list(counts)
-    # The same share of every length, rounded down; then the largest lengths, then the knapsack.
-    take = [c * budget // total for c in counts]
+    words = lambda n: sum(a * b for a, b in zip(lengths, n, strict=True))
+    share = shares(lengths, counts, max(0, budget - window // 2), offset)  # the knapsack needs words to choose from
+    best = filled(lengths, counts, share, budget, window)
+    for start in (share, [0] * len(lengths)):
+        if words(best) == budget:
+            break
+        more = exact(lengths, [c - t for c, t in zip(counts, start, strict=True)], budget - words(start))
+        if more and words(start) + words(more) > words(best):
+            best = [t + m for t, m in zip(start, more, strict=True)]
+    return best
+
+
+def filled(lengths: list[int], counts: list[int], share: list[int], budget: int, window: int) -> list[int]:
+    """share and more: the largest lengths while over window words are left, then the knapsack."""
+    take = list(share)
     left = budget - sum(a * b for a, b in zip(lengths, take, strict=True))
     order = sorted(range(len(lengths)), key=lambda k: lengths[k])
     sorted_lengths = [lengths[k] for k in order]
@@ -130,6 +205,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     # One row per source goes to the driver.
     sizes = {r["source"]: r["words"] for r in rows.groupBy("source").agg(F.sum("size").alias("words")).collect()}
     goal = targets(sizes, weights, share, most)
+    offset = random.Random(seed).random()
     placed = numbered(rows, ["source", "size", "draw", "doc_id"], "at", "mix-order", rows.count())
     lengths = placed.groupBy("source", "size").agg(F.count("*").alias("docs"), F.min("at").alias("begin"))
 
@@ -139,7 +215,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         passes = int(target // whole) if whole else 0
         budget = math.floor(target - passes * whole + 0.5)
         used = group[group["size"] > 0]
-        more = fit(used["size"].tolist(), used["docs"].tolist(), budget) if len(used) else []
+        more = fit(used["size"].tolist(), used["docs"].tolist(), budget, offset=offset) if len(used) else []
         group["more"] = pd.Series(more, index=used.index).reindex(group.index, fill_value=0).astype("int64")
         return group.assign(passes=passes, source_size=whole, target=float(target)).drop(columns="docs")
 

@@ -380,6 +380,30 @@ def test_fit_meets_large_budgets():
             assert 0 <= left <= max(window, 3000) if window == 64 else 0 <= left <= 60
 
 
+def test_fit_is_exact_for_few_long_documents():
+    assert mixing.fit([30000, 26000, 24001], [1, 1, 1], 50001) == [0, 1, 1]
+    assert mixing.fit([3, 5], [2, 2], 10) == [0, 2]
+    rng = random.Random(8)
+    for scale in (1, 1000):
+        for _ in range(40):
+            lengths = [scale * rng.randint(17_000, 90_000) + rng.randint(0, 9) for _ in range(8)]
+            sums = [sum(x for i, x in enumerate(lengths) if m >> i & 1) for m in range(256)]
+            budget = rng.randint(min(lengths), sum(lengths))
+            classes = Counter(lengths)
+            take = mixing.fit(list(classes), list(classes.values()), budget)
+            assert all(t <= c for t, c in zip(take, classes.values()))
+            assert sum(a * b for a, b in zip(classes, take)) == max(s for s in sums if s <= budget)
+
+
+def test_fit_shares_unique_lengths():
+    """Documents of unique lengths are taken over all lengths, not from the longest down."""
+    lengths = list(range(100, 2100))
+    take = mixing.fit(lengths, [1] * 2000, sum(lengths) // 2)
+    assert sum(a * b for a, b in zip(lengths, take)) == sum(lengths) // 2
+    assert all(400 < sum(take[i : i + 1000]) < 600 for i in (0, 1000))
+    assert take != mixing.fit(lengths, [1] * 2000, sum(lengths) // 2, offset=0.1)
+
+
 def test_mix(docs, real, empty):
     words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     for table in (docs, real):
