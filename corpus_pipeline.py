@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, mixing, packing, quality, simhash
-from millrace.llm.common import crc_mod, staged
+from millrace.llm.common import crc_mod, numbered, staged
 from millrace.session import ship, table
 
 
@@ -20,24 +20,43 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_quality(docs, table(ship(spark), sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
 
 
+def by_row(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with a column __row that names each row, and docs under these names as doc_id.
+
+    __row is doc_id where no doc_id repeats. Else it numbers the rows in the order of
+    doc_id, so that the smallest stays the smallest. It is null for a null doc_id.
+    """
+    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1)
+    if repeated.isEmpty():
+        rows = docs.withColumn("__row", F.col("doc_id"))
+    else:
+        order = ["doc_id", F.xxhash64("text"), F.xxhash64(*docs.columns)]
+        rows = staged(numbered(docs, order, "__row", "pipeline-numbers"), "pipeline-rows")
+        rows = rows.withColumn("__row", F.when(F.col("doc_id").isNotNull(), F.col("__row")))
+    return rows, rows.withColumn("doc_id", F.col("__row")).drop("__row")
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    marked = exact_dedup.exact_dedup(docs)
-    return docs.join(marked.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    rows, named = by_row(docs)
+    marked = exact_dedup.exact_dedup(named)
+    return rows.join(marked.where(~F.col("kept")).select(F.col("doc_id").alias("__row")), "__row", "left_anti").select(*docs.columns)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near fingerprints."""
-    near = simhash.near_components(docs)
-    return docs.join(near.where(F.col("doc_id") != F.col("component_id")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    rows, named = by_row(docs)
+    near = simhash.near_components(named)
+    return rows.join(near.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__row")), "__row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    taken = mixing.mix(docs).where(F.col("doc_id").isNotNull() & (F.col("size") > 0))
-    copies = staged(taken.groupBy("doc_id").agg(F.max(F.expr("taken div size")).alias("__copies")), "mix-copies")
+    rows, named = by_row(docs)
+    taken = mixing.mix(named).where(F.col("doc_id").isNotNull() & (F.col("size") > 0))
+    copies = staged(taken.select(F.col("doc_id").alias("__row"), F.expr("taken div size").alias("__copies")), "mix-copies")
     times = F.coalesce("__copies", F.when(F.col("doc_id").isNull(), 1).otherwise(0)).cast("int")
-    rows = docs.join(copies, "doc_id", "left").withColumn("__times", F.array_repeat(F.lit(1), times))
+    rows = rows.join(copies, "__row", "left").withColumn("__times", F.array_repeat(F.lit(1), times))
     return rows.select(*docs.columns, F.explode("__times").alias("__time")).select(*docs.columns)
 
 

@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from millrace.llm import mixing, quality, simhash
 from millrace.llm.common import staged
@@ -38,3 +40,19 @@ def test_empty_and_odd_rows(spark, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             at = staged(stage(spark, at, str(tmp_path)), f"t-{name}")
         assert (at.count() > 0) == (table.count() > 0)
+
+
+def test_repeated_ids_are_decided_by_row(spark):
+    a, b, c = "alpha beta gamma delta epsilon zeta", "the lazy dog sleeps in the warm sun", "rivers run down to the cold sea"
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit("s").alias("source"))
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near):
+        got = Counter((r["doc_id"], r["text"]) for r in stage(spark, docs, SF).collect())
+        assert got == Counter([(1, a), (2, b), (3, c), (None, "no id")]), stage
+    once = corpus_pipeline.mix_sources(spark, docs, SF)
+    rows, named = corpus_pipeline.by_row(docs)
+    text = {r["__row"]: (r["doc_id"], r["text"]) for r in rows.collect() if r["__row"] is not None}
+    want = Counter({(None, "no id"): 1})
+    for r in mixing.mix(named).where("doc_id is not null").collect():
+        want[text[r["doc_id"]]] += r["taken"] // r["size"]
+    assert Counter((r["doc_id"], r["text"]) for r in once.collect()) == +want
