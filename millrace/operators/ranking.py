@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import shared_dir
+from millrace.session import fresh_path, until_exit
 
 
 def position_in_group(df: DataFrame, group: str, order: str, column: str = "position") -> DataFrame:
@@ -18,8 +16,9 @@ def position_in_group(df: DataFrame, group: str, order: str, column: str = "posi
     number is subtracted. Null is a group of its own.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/positions-{uuid.uuid4().hex[:12]}"
+    path = fresh_path(spark, "positions")
     df.orderBy(group, order).withColumn("_mid", F.monotonically_increasing_id()).write.parquet(path)
+    until_exit(spark, path)
     rows = spark.read.parquet(path).withColumn("_range", F.shiftright("_mid", 33))
     offsets, total = [], 0
     for r, n in sorted(map(tuple, rows.groupBy("_range").count().collect())):  # one row per range

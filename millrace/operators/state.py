@@ -32,7 +32,16 @@ def sync_plan(snapshot: DataFrame, state: DataFrame, restrict: DataFrame | None
 
 
 class Store:
-    """A Parquet table in versions: writes go to a new folder, then a pointer file is replaced, so readers see all or nothing."""
+    """A Parquet table in versions.
+
+    A write goes to a new folder, then a numbered pointer file is put in place by one
+    rename; readers take the highest number, so at every moment they see the table
+    before the write or after it. Of two writers that race for a number one fails.
+    The versions before the last one are removed; a reader of the last one may go on.
+    """
+
+    #: Versions that are kept.
+    KEEP = 2
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str) -> None:
         self.spark, self.path, self.schema, self.key = spark, path, schema, key
@@ -40,27 +49,27 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self) -> str | None:
-        at = self._path(f"{self.path}/current")
-        if not self._fs.exists(at):
-            return None
-        return self.spark.read.text(f"{self.path}/current").first()[0]
+    def _versions(self) -> list[tuple[int, str]]:
+        """(number, folder) of every version that was put in place, oldest first. The pointer's name holds both."""
+        names = [x.getPath().getName() for x in self._fs.globStatus(self._path(f"{self.path}/at-*")) or ()]
+        return sorted((int(n.split("-", 2)[1]), n.split("-", 2)[2]) for n in names)
 
     def read(self) -> DataFrame:
-        at = self._pointer()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{at}") if at else self.spark.createDataFrame([], self.schema)
+        found = self._versions()
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{found[-1][1]}") if found else self.spark.createDataFrame([], self.schema)
 
     def write(self, rows: DataFrame) -> None:
-        name = f"v-{uuid.uuid4().hex[:12]}"
+        found = self._versions()
+        number, name = found[-1][0] + 1 if found else 1, f"v-{uuid.uuid4().hex[:12]}"
         rows.write.parquet(f"{self.path}/{name}")
-        tmp = self._path(f"{self.path}/.next")
-        out = self._fs.create(tmp, True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        if self._fs.exists(self._path(f"{self.path}/current")):
-            self._fs.delete(self._path(f"{self.path}/current"), False)
-        if not self._fs.rename(tmp, self._path(f"{self.path}/current")):
-            raise OSError(f"can't switch {self.path} to {name}")
+        # Creating a file that must not exist is the switch; its name says all, so it can't be half written.
+        self._fs.create(self._path(f"{self.path}/at-{number:012d}-{name}"), False).close()
+        if [n for n, _ in self._versions()].count(number) > 1:
+            self._fs.delete(self._path(f"{self.path}/at-{number:012d}-{name}"), False)
+            raise OSError(f"another writer switched {self.path} to version {number}")
+        for n, old in found[: 1 - self.KEEP]:
+            self._fs.delete(self._path(f"{self.path}/at-{n:012d}-{old}"), False)
+            self._fs.delete(self._path(f"{self.path}/{old}"), True)
 
     def upsert(self, rows: DataFrame) -> int:
         n = rows.count()

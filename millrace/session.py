@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,17 +59,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+#: Bytes and rows of one Arrow batch; both bound a Python worker's memory.
+BATCH_BYTES = 8 << 20
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Keep Arrow batches small, by rows and by bytes, unless the session has smaller ones already.
+
+    Spark reads these settings when it plans a query, so they are the session's from
+    here on; they change no result.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        at = spark.conf.get(key, "")
+        digits = at.rstrip("bB")
+        if not digits.isdigit() or not 0 < int(digits) <= most:
+            spark.conf.set(key, str(most))
+    return spark
+
+
 _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or an own one where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share.
+
+    That is spark.checkpoint.dir, else the directory the context was given by
+    setCheckpointDir. A session on one machine without either gets a temporary folder;
+    on a cluster that would be seen by one machine only, so there it is an error.
+    """
+    ship(spark)
+    sc = spark.sparkContext
+    given = sc._jsc.sc().getCheckpointDir()
+    at = spark.conf.get("spark.checkpoint.dir", None) or (given.get() if given.isDefined() else None)
     if at:
         return at.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="millrace-"))
         atexit.register(shutil.rmtree, _own[0], True)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(_own[0])
+    sc.setCheckpointDir(_own[0])
     return f"file://{_own[0]}"
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is there when the driver's JVM ends."""
+    fs, at = _folder(spark, path)
+    fs.deleteOnExit(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder now."""
+    fs, at = _folder(spark, path)
+    fs.delete(at, True)

@@ -68,7 +68,8 @@ def _unquote(s: pd.Series) -> pd.Series:
 
 
 def _text() -> Column:
-    return F.decode("content", "UTF-8")
+    """The file's bytes as text; bytes that are no UTF-8 become U+FFFD."""
+    return F.make_valid_utf8(F.col("content").cast("string"))
 
 
 def expand_embeds(notes: DataFrame, depth: int = 3) -> DataFrame:
