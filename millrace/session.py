@@ -72,8 +72,7 @@ def small_batches(spark: SparkSession) -> SparkSession:
     """
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
-        at = spark.conf.get(key, "")
-        digits = at.rstrip("bB")
+        digits = spark.conf.get(key).rstrip("bB")
         if not digits.isdigit() or not 0 < int(digits) <= most:
             spark.conf.set(key, str(most))
     return spark
