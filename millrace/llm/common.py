@@ -1,41 +1,13 @@
-"""Shared folder, staged tables and gapless numbering for the training-data operators."""
+"""Staged tables and gapless numbering for the training-data operators."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import ship
-
-#: Rows in one Arrow batch of whole texts; bounds a Python worker's memory.
-TEXT_ROWS = 1000
-
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or an own one where it is unset."""
-    ship(spark)
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="millrace-"))
-        atexit.register(shutil.rmtree, _own[0], True)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(_own[0])
-    return f"file://{_own[0]}"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+from millrace.session import fresh_path, remove, small_batches, until_exit
 
+__all__ = ["crc_mod", "drop_staged", "fresh_path", "numbered", "small_batches", "staged"]
 
 #: Rows of a narrow table that one task writes.
 NARROW_ROWS = 250_000
@@ -45,20 +17,22 @@ def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
 
     rows: about how many rows a narrow table has; it is then written by as many tasks as
-    that takes, rather than as one small file for each shuffle partition.
+    that takes, or as there are cores, rather than as one small file for each partition.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     if rows is not None:
-        df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-rows // NARROW_ROWS)))
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // NARROW_ROWS)))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    until_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+def drop_staged(df: DataFrame) -> None:
+    """Remove what staged() wrote for df; nothing may read it any more."""
+    remove(df.sparkSession, df._staged_at)
 
 
 def numbered(df: DataFrame, order: list[str | Column], column: str, name: str, about: int | None = None) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import drop_staged, staged
 
 
 def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
-    """One round. edges (u, v) with u > v. Minima are aggregated map-side, so a hub is no hot group."""
+    """One round; edges (u, v) with u > v are staged and go. Minima are aggregated map-side, so a hub is no hot group."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-least", n)
     linked = both.join(least, "u")
@@ -17,7 +17,10 @@ def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
         out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = linked.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-    return staged(out.where(F.col("u") > F.col("v")).distinct(), "star-edges", n)
+    done = staged(out.where(F.col("u") > F.col("v")).distinct(), "star-edges", n)
+    drop_staged(least)
+    drop_staged(edges)
+    return done
 
 
 def components(edges: DataFrame) -> DataFrame:

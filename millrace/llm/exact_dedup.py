@@ -7,6 +7,9 @@ index on its buckets, and what is new is appended.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,11 +25,31 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
+def _settings(spark: SparkSession, path: str, made: dict | None = None) -> dict | None:
+    """The settings file of an index; written first if made is given and there is none."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/_settings.json")  # Spark passes over names that begin with _
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        if made is None:
+            return None
+        out = fs.create(at, False)
+        out.write(bytearray(json.dumps(made).encode()))
+        out.close()
+    data = fs.open(at)
+    try:
+        return json.loads(bytes(sc._jvm.org.apache.commons.io.IOUtils.toByteArray(data)))
+    finally:
+        data.close()
+
+
 @dataclass
 class DigestIndex:
     """A bucketed, sorted table of digests at `path`, known to the session as `name`.
 
-    Files outlive the session; open() registers them again. One writer at a time.
+    Files outlive the session; open() registers them again, with the bucket count they
+    were written with, which is kept beside them. One writer at a time. Rows carry the
+    batch that added them, so that a batch may be repeated after a lost driver.
     """
 
     spark: SparkSession
@@ -39,23 +62,28 @@ class DigestIndex:
         """Open the index at path, or make an empty one.
 
         buckets: fixed for an index's life; about one for 10 million digests suits
-        large ones. By default the session's shuffle partitions.
+        large ones. A new index takes the session's shuffle partitions by default, an
+        old one what it has; asking an old one for another count is an error.
         """
         path = path or fresh_path(spark, "digest-index")
-        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        name = f"digest_index_{abs(hash(path)):x}"
+        held = _settings(spark, path)
+        if held is None:
+            held = _settings(spark, path, {"buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))})
+        if buckets and buckets != held["buckets"]:
+            raise ValueError(f"the index at {path} has {held['buckets']} buckets, not {buckets}")
+        name = f"digest_index_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {name} (digest BINARY, keep_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"CREATE TABLE IF NOT EXISTS {name} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {held['buckets']} BUCKETS LOCATION '{path}'"
         )
-        return cls(spark, path, name, buckets)
+        return cls(spark, path, name, held["buckets"])
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append(self, rows: DataFrame) -> None:
+    def append(self, rows: DataFrame, batch: str) -> None:
         (
-            rows.select("digest", "keep_id")
+            rows.select("digest", "keep_id", F.lit(batch).alias("batch"))
             .repartition(self.buckets, "digest")
             .write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest")
             .saveAsTable(self.name, path=self.path)
@@ -63,7 +91,7 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch_id: str | None = None) -> DataFrame:
     """Mark each document as kept or dropped, and append the batch's new digests to the index.
 
     Texts are equal when identical after each run of ASCII white space is replaced by
@@ -72,6 +100,10 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     Returns doc_id, keep_id, group_size (rows of the batch with that text), kept and
     text_sha256, one row per input row.
 
+    batch_id names the batch in the index. A batch that is run again under its name, say
+    after a lost driver, is marked as it was the first time, and adds only what it had
+    not added yet; without a name every call is a batch of its own.
+
     A null text counts as empty. A null doc_id never stays while its group has another;
     a group of null ids alone has keep_id null and kept false. Rows that repeat both
     doc_id and text are the same document and are marked alike. An empty table gives no
@@ -79,16 +111,19 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     index = index or DigestIndex.open(spark)
+    name = batch_id or uuid.uuid4().hex
     rows = staged(docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")), "dedup-rows")
     n = rows.count()
     batch = staged(rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "dedup-batch", n)
-    known = index.read()
+    own = F.col("batch") == name
+    known = index.read().where(~own)
     new = staged(batch.hint("merge").join(known.hint("merge"), "digest", "left_anti"), "dedup-new", n)
     old = batch.join(known.select("digest", F.col("keep_id").alias("_old")), "digest").select(
         "digest", F.col("_old").alias("keep_id"), "group_size", F.lit(False).alias("fresh")
     )
     groups = staged(new.select("digest", "keep_id", "group_size", F.lit(True).alias("fresh")).unionByName(old), "dedup-groups", n)
-    index.append(new)
+    before = index.read().where(own)
+    index.append(new if batch_id is None else new.join(staged(before.select("digest"), "dedup-before"), "digest", "left_anti"), name)
     return rows.join(groups, "digest").select(
         "doc_id",
         "keep_id",
