@@ -1,7 +1,7 @@
 """Packing by first-fit decreasing.
 
-Documents are cut into pieces of at most the sequence length. Pieces are dealt at random
-into groups of bounded size; in a group they are taken by falling length, and each goes to
+Documents are dealt at random into groups of bounded size, each with all its pieces of at
+most the sequence length; in a group pieces are taken by falling length, and each goes to
 the first sequence with room, found by a tournament tree of the sequences' capacities.
 """
 
@@ -10,18 +10,20 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import numbered, small_batches, staged
 from .wordbpe import WordBpe, default_path
 
 #: Documents of a group, about; bounds what one task packs at once.
 GROUP_DOCS = 1024
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long"
+TOKENISED = "doc_id long, doc_tokens long, crcs array<long>, ids_hash long"
+PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class FirstFit:
@@ -57,51 +59,63 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, i
     return [(b, capacity - had) for b, had in map(tree.put, lengths)]
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """Tokenise documents and cut each into full pieces and a rest, dealt into groups at random."""
+def tokenised(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1) -> DataFrame:
+    """Per document its length with the end id, the crc32 of each full piece and of the rest, and a hash of all ids."""
     path = tokenizer or default_path()
-    groups = max(1, -(-docs.count() // group_docs))
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, row = WordBpe.of(path), 0
+        bpe, step = WordBpe.of(path), 4 * capacity
         for batch in batches:
-            out: list[tuple] = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), bpe.encode(texts), strict=True):
+            lengths, crcs, hashes = [], [], []
+            for ids in bpe.encode([t or "" for t in batch.column(1).to_pylist()]):
                 ids += end
-                n, row = len(ids) // 4, row + 1
-                for at in range(0, n, capacity):
-                    part = ids[4 * at : 4 * (at + capacity)]
-                    deal = zlib.crc32(b"%d %d %d" % (-1 if doc_id is None else doc_id, at, row))
-                    out.append((doc_id, at, len(part) // 4, zlib.crc32(part), n, deal % groups))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grp"])
+                lengths.append(len(ids) // 4)
+                crcs.append([zlib.crc32(ids[at : at + step]) for at in range(0, len(ids), step)])
+                hashes.append(crcs[-1][0] if len(ids) <= step else zlib.crc32(ids))
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (lengths, crcs, hashes), kinds)], ["doc_id", "doc_tokens", "crcs", "ids_hash"])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(cut, TOKENISED)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, group_docs: int = GROUP_DOCS, seed: int = 42) -> DataFrame:
     """Pack the token ids of all documents into sequences of at most `capacity` ids.
 
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens (with the end
     id), sequence_id and offset. Each id of a document, and the end id after it, is in
     exactly one piece; pieces of a sequence lie one after another from offset 0.
 
+    A document's group comes from a hash of seed and of its number in the order of doc_id,
+    length and ids, so another layout of the input gives the same sequences, and rows that
+    repeat are dealt apart.
+
     A null or empty text is one piece that holds the end id. Very long texts become full
-    pieces and a rest. Ties in length go by doc_id and start. Repeated rows are packed
-    each on its own; a null doc_id stays null. An empty table gives no rows; other
+    pieces and a rest. Ties in length go by doc_id, ids and start. Repeated rows are
+    packed each on its own; a null doc_id stays null. An empty table gives no rows; other
     columns are ignored.
     """
-    parts = staged(pieces(docs, tokenizer, capacity, end_id, group_docs), "pack-pieces")
+    rows = staged(tokenised(docs, tokenizer, capacity, end_id), "pack-docs")
+    n = rows.count()
+    groups = max(1, -(-n // group_docs))
+    dealt = numbered(rows, ["doc_id", "doc_tokens", "ids_hash"], "number", "pack-numbers", n)
+    dealt = dealt.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "number"), F.lit(groups)))
 
     def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
-        placed = first_fit_decreasing(group["length"].tolist(), capacity)
-        group["sequence_id"] = [(int(key[0]) << 32) + b for b, _ in placed]
-        group["offset"] = [o for _, o in placed]
-        return group.drop(columns="grp")
-
-    schema = PIECES.replace(", grp long", ", sequence_id long, offset long")
-    return parts.groupBy("grp").applyInPandas(fit, schema)
+        group = group.sort_values("number", kind="stable")
+        n = group["doc_tokens"].to_numpy()
+        many = -(-n // capacity)
+        doc = np.repeat(np.arange(len(n)), many)
+        start = capacity * (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many))
+        length = np.minimum(capacity, n[doc] - start)
+        order = np.lexsort((start, doc, -length))  # numbers follow doc_id and ids
+        placed = first_fit_decreasing(length[order].tolist(), capacity)
+        crc = np.concatenate(group["crcs"].to_list())
+        out = {
+            "doc_id": group["doc_id"].to_numpy()[doc[order]], "start": start[order], "length": length[order], "ids_crc32": crc[order], "doc_tokens": n[doc[order]],
+            "sequence_id": [(int(key[0]) << 32) + b for b, _ in placed], "offset": [o for _, o in placed],
+        }
+        return pd.DataFrame(out).astype({"doc_id": "Int64"})
+
+    return dealt.groupBy("grp").applyInPandas(fit, PLACED)

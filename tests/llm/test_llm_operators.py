@@ -121,12 +121,43 @@ def test_rollup_of_deltas(spark, docs, empty):
     assert rollup.commit("a/b c%2F", inserts=gone) and not rollup.commit("a/b c%2F", inserts=gone)
     whole = got()
     assert whole == _recount(left + gone.collect())
-    mark = next(p for p in Path(rollup.path.removeprefix("file://")).glob("*/_SUCCESS") if p.parent.name.endswith(hashlib.sha256(b"a/b c%2F").hexdigest()))
+    mark = next(p for p in Path(rollup.path.removeprefix("file://")).glob("deltas/*/_SUCCESS") if p.parent.name.endswith(hashlib.sha256(b"a/b c%2F").hexdigest()))
     mark.unlink()
     assert got() == _recount(left)
     assert rollup.commit("a/b c%2F", inserts=gone) and got() == whole
 
 
+def test_rollup_folds_and_revises(spark, docs):
+    rollup = token_counts.TokenRollup.open(spark, fold_at=2)
+    rows = docs.collect()
+    folders = lambda what: sorted(p.name for p in Path(rollup.path.removeprefix("file://")).glob(f"{what}/*") if not p.name.startswith("."))
+    got = lambda: {(r["source"], r["lang"]): (r["docs"], r["tokens"]) for r in rollup.totals().where("tokenizer = 'word_bpe_49k'").collect()}
+    state = Counter()
+    for i in range(5):
+        assert rollup.commit(f"b{i}", inserts=docs)
+        state.update(range(len(rows)))
+        assert got() == _recount(rows * (i + 1)), i
+    assert len(folders("deltas")) <= 3 and len(list(Path(rollup.path.removeprefix("file://")).glob("base-*"))) <= 2
+    for i in range(5):  # folded or not, a batch counts once
+        assert not rollup.commit(f"b{i}", inserts=docs)
+    # A revision moves a document to another source, and its tokens with it.
+    before = docs.where("doc_id = 7")
+    after = before.withColumn("source", F.lit("moved")).withColumn("text", F.lit("a shorter text"))
+    assert rollup.commit("r", revised=(before, after))
+    left = rows * 5
+    left.remove(next(r for r in rows if r["doc_id"] == 7))
+    assert got() == _recount(left + after.collect())
+    # A fold that died before its list of names was whole is done again.
+    assert rollup.commit("none", inserts=docs.limit(0))
+    rollup.fold()
+    base = max(Path(rollup.path.removeprefix("file://")).glob("base-*"))
+    (base / "names" / "_SUCCESS").unlink()
+    assert got() == _recount(left + after.collect())
+    rollup.fold()
+    assert got() == _recount(left + after.collect())
+    assert rollup.commit("c", counts=spark.createDataFrame([("s", "en", "other", 0, 5)], token_counts.DELTA))
+    assert [tuple(r) for r in rollup.totals().where("tokenizer = 'other'").collect()] == [("s", "en", "other", 0, 5)]
+
 # Exact dedup
 
 
@@ -152,6 +183,25 @@ def test_digest_index_persists(spark, docs):
     assert index.read().count() == 6
 
 
+def test_digest_index_keeps_its_buckets_and_batches(spark, docs):
+    index = exact_dedup.DigestIndex.open(spark, buckets=3)
+    marks = lambda found: sorted(((r["doc_id"], r["keep_id"], r["kept"]) for r in found.collect()), key=str)
+    first = marks(exact_dedup.exact_dedup(docs, index, "one"))
+    spark.sql(f"DROP TABLE {index.name}")
+    again = exact_dedup.DigestIndex.open(spark, index.path)  # the session's shuffle partitions are others
+    assert (again.buckets, again.name) == (3, index.name)
+    assert not any(kept for *_, kept in marks(exact_dedup.exact_dedup(docs, again, "two")))
+    # A batch that is run again is marked as before and adds nothing.
+    n = again.read().count()
+    assert marks(exact_dedup.exact_dedup(docs, again, "one")) == first and again.read().count() == n
+    # So is one that had added only a part.
+    half = exact_dedup.DigestIndex.open(spark)
+    exact_dedup.exact_dedup(docs.where("doc_id < 7"), half, "one")
+    assert marks(exact_dedup.exact_dedup(docs, half, "one")) == first and half.read().count() == n
+    with pytest.raises(ValueError, match="buckets"):
+        exact_dedup.DigestIndex.open(spark, index.path, 16)
+
+
 # PII
 
 
@@ -314,6 +364,9 @@ def _check_packing(rows, docs, capacity):
 
 def test_packing_round_trip(docs, real, empty):
     _check_packing(packing.pack(docs, capacity=64, group_docs=5).collect(), docs.collect(), 64)
+    # Another layout of the input gives the same sequences.
+    layouts = [sorted(map(tuple, packing.pack(docs.repartition(k), capacity=64, group_docs=5).collect()), key=str) for k in (1, 7)]
+    assert layouts[0] == layouts[1]
     tokens, sequences = _check_packing(packing.pack(real).collect(), real.collect(), 2048)
     assert tokens / (2048 * sequences) > 0.98
     assert packing.pack(empty).collect() == []
