@@ -1,11 +1,14 @@
-"""Nearest neighbours by low-dimensional stable projections indexed by kd-trees.
+"""Nearest neighbours by low-dimensional stable projections indexed by a kd-tree.
 
 Largest inner product is turned into smallest distance by one more component. Vectors
-are projected on a few Gaussian directions; the squared projected distance over the
-squared distance then follows a chi-square law. Blocks of vectors are indexed by
-kd-trees over the projections. A query takes leaves by projected distance, verifies
-their vectors exactly, and stops once a vector nearer than its k-th would have come before
-with the wanted probability.
+are projected on a few Gaussian directions, so that the squared projected distance over
+the squared distance follows a chi-square law. One kd-tree over the projections, cut at
+the quantiles of a sample, parts all vectors into cells; inside a cell it goes on down to
+leaves. A query takes cells, and in them leaves, by projected distance, its own first, in
+rounds that grow eightfold. A vector is verified only while the chi-square test leaves a
+chance: once its squared projected distance reaches the wanted quantile times the k-th
+best squared distance, a nearer vector would have come before with that probability. What
+comes after is never looked at: leaves and cells by their boxes, vectors one by one.
 """
 
 from __future__ import annotations
@@ -19,17 +22,24 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import staged
+from .common import small_batches, staged
 
 #: Projected dimensions; even, for the closed form of the chi-square law.
-DIRECTIONS = 8
-#: Probability that a nearer vector would have been seen when a search stops.
-CONFIDENCE = 0.98
-BLOCK_ROWS = 4096
+DIRECTIONS = 16
+#: Probability that a vector nearer than the k-th would have been seen when a search stops.
+CONFIDENCE = 0.9
+#: Rows that the cuts between cells are taken from; bounds what the driver sees.
+SAMPLE_ROWS = 20_000
+#: A cell has a 64th of the rows, but not fewer or more than these, nor more bytes.
+CELL_ROWS = (1024, 65_536)
+CELL_BYTES = 32 << 20
 QUERY_ROWS = 512
 LEAF_ROWS = 128
+#: Times more cells in each round.
+GROWTH = 8
+#: Share of a tile from which it is multiplied as a whole rather than pair by pair.
+DENSE = 1 / 16
 
 
 def chi_square_cdf(x: float, even: int) -> float:
@@ -65,10 +75,69 @@ def kd_leaves(points: np.ndarray, leaf: int) -> list[np.ndarray]:
     return out
 
 
+class Cells:
+    """The upper part of the kd-tree: cuts at the quantiles of a sample, a power of two of cells."""
+
+    def __init__(self, sample: np.ndarray, cells: int) -> None:
+        self.depth = max(0, math.ceil(math.log2(max(cells, 1))))
+        self.side = np.zeros((1 << self.depth) - 1, np.int64)
+        self.cut = np.zeros((1 << self.depth) - 1)
+        held = {0: np.arange(len(sample))}
+        for node in range(len(self.side)):
+            rows = held.pop(node)
+            if len(rows):
+                points = sample[rows]
+                self.side[node] = np.argmax(np.ptp(points, axis=0))
+                column = points[:, self.side[node]]
+                self.cut[node] = np.median(column)
+                left = column < self.cut[node]
+                held[2 * node + 1], held[2 * node + 2] = rows[left], rows[~left]
+            else:
+                held[2 * node + 1] = held[2 * node + 2] = rows
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        """The cell of each point."""
+        node, rows = np.zeros(len(points), np.int64), np.arange(len(points))
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (points[rows, self.side[node]] >= self.cut[node])
+        return node - len(self.side)
+
+
+def box_distances(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distance of each point from each box, side by side so that memory is points times boxes."""
+    out = np.zeros((len(points), len(low)))
+    for d in range(points.shape[1]):
+        gap = np.maximum(low[None, :, d] - points[:, None, d], points[:, None, d] - high[None, :, d])
+        out += np.square(np.maximum(gap, 0, out=gap), out=gap)
+    return out
+
+
+class Law:
+    """Directions of the projection, the radius that completes vectors, and the test."""
+
+    def __init__(self, dim: int, reach2: float, confidence: float, seed: int) -> None:
+        self.directions = np.random.default_rng(seed).standard_normal((dim + 1, DIRECTIONS))
+        self.reach2 = reach2
+        self.stop = chi_square_quantile(confidence, DIRECTIONS)
+
+    def vectors(self, v: np.ndarray) -> np.ndarray:
+        extra = np.sqrt(np.maximum(self.reach2 - np.einsum("ij,ij->i", v, v), 0))
+        return v @ self.directions[:-1] + extra[:, None] * self.directions[-1]
+
+    def queries(self, v: np.ndarray) -> np.ndarray:
+        """Projections of queries, stretched to the radius: that keeps their order and parts near from far the most."""
+        return (v @ self.directions[:-1]) * np.sqrt(self.reach2 / np.einsum("ij,ij->i", v, v))[:, None]
+
+    def limit(self, norm2: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """Squared projected distance at which the test stops a search whose k-th best has this score."""
+        worst2 = np.maximum(2 * self.reach2 - 2 * score * np.sqrt(self.reach2 / norm2), 0)
+        return np.where(np.isneginf(score), np.inf, self.stop * worst2 * (1 + 1e-9) + 1e-12)
+
+
 class Block:
-    """A block's distinct vectors with the smallest ids of each, and the kd-tree of their projections."""
+    """A cell's distinct vectors with the smallest ids of each, and the kd-tree of their projections."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, directions: np.ndarray, reach2: float, k: int, leaf: int = LEAF_ROWS) -> None:
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, law: Law, k: int, leaf: int = LEAF_ROWS) -> None:
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
         unique, first, at = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
@@ -78,50 +147,74 @@ class Block:
         place = np.empty(len(rank), np.int64)
         place[rank] = np.arange(len(rank))
         at = place[at]
-        # Ties go to smaller ids: of equal vectors only the k + 1 first can be asked for.
-        self.ids: list[np.ndarray] = [x[: k + 1] for x in np.split(ids[np.argsort(at, kind="stable")], np.cumsum(np.bincount(at))[:-1])]
-        extra = np.sqrt(np.maximum(reach2 - np.einsum("ij,ij->i", self.vectors, self.vectors), 0))
-        projected = self.vectors @ directions[:-1] + extra[:, None] * directions[-1]
-        self.leaves = [np.sort(x) for x in kd_leaves(projected, leaf)]
-        self.low = np.array([projected[x].min(0) for x in self.leaves])
-        self.high = np.array([projected[x].max(0) for x in self.leaves])
-
-    def search(self, queries: np.ndarray, directions: np.ndarray, reach2: float, k: int, stop: float) -> np.ndarray:
-        """For each query the rows of its k best vectors found, best first (ties: smaller row); -1 where there are fewer."""
-        n, keep = len(queries), k + 1
+        self.ids: list[np.ndarray] = np.split(ids[np.argsort(at, kind="stable")], np.cumsum(np.bincount(at))[:-1])
+        #: A vector that one id alone holds is no candidate for that id.
+        self.sole = np.array([x[0] == x[-1] for x in self.ids])
+        self.first = np.array([x[0] for x in self.ids])
+        self.law, self.k = law, k
+        self.projected = law.vectors(self.vectors)
+        self.norm2 = np.einsum("ij,ij->i", self.projected, self.projected)
+        self.leaves = [np.sort(x) for x in kd_leaves(self.projected, leaf)]
+        self.low = np.array([self.projected[x].min(0) for x in self.leaves])
+        self.high = np.array([self.projected[x].max(0) for x in self.leaves])
+        #: Pairs of a query and a vector that were verified, and that there were.
+        self.verified = self.pairs = 0
+
+    def search(self, query_ids: np.ndarray, floor: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """For each query the rows of its k best distinct vectors found, best first (ties: smaller row); -1 where there are fewer.
+
+        floor: a score that each query has k vectors of already; below it none is wanted.
+        """
+        n, keep, law = len(queries), self.k, self.law
         norm2 = np.einsum("ij,ij->i", queries, queries)
-        projected = queries @ directions[:-1]
-        gap = np.maximum(0, np.maximum(self.low[None] - projected[:, None], projected[:, None] - self.high[None]))
-        near = np.einsum("qld,qld->ql", gap, gap)
-        order = np.argsort(near, axis=1, kind="stable")
-        best = np.full((n, keep), -np.inf)
-        rows = np.full((n, keep), -1, np.int64)
-        live = np.arange(n)
-        for step in range(len(self.leaves)):
-            leaf = order[live, step]
-            # Squared distance of the worst kept: |q|^2 + reach^2 - 2 q.x
-            worst = norm2[live] + reach2 - 2 * best[live, -1]
-            going = ~(near[live, leaf] >= stop * np.maximum(worst, 0)) | np.isinf(best[live, -1])
-            live, leaf = live[going], leaf[going]
-            if not len(live):
-                break
-            for x in np.unique(leaf):
-                mine, held = live[leaf == x], self.leaves[x]
+        q = law.queries(queries)
+        q2 = np.einsum("ij,ij->i", q, q)
+        near = box_distances(q, self.low, self.high)
+        best, rows = np.full((n, keep), -np.inf), np.full((n, keep), -1, np.int64)
+        self.pairs += n * len(self.vectors)
+
+        def visit(mine: np.ndarray, held: np.ndarray) -> None:
+            least = np.maximum(best[mine, -1], floor[mine])
+            apart = q2[mine, None] + self.norm2[held][None] - 2 * (q[mine] @ self.projected[held].T)
+            going = (apart < law.limit(norm2[mine], least)[:, None]) & ~(self.sole[held][None] & (query_ids[mine, None] == self.first[held][None]))
+            count = int(going.sum())
+            self.verified += count
+            if not count:
+                return
+            if count > DENSE * going.size:
                 scores = queries[mine] @ self.vectors[held].T
-                # A score that only rounding keeps below the worst is a tie: let it in.
-                better = (scores >= best[mine, -1:] - 1e-9).any(1)
-                if not better.any():
-                    continue
-                mine, scores = mine[better], scores[better]
-                all_scores = np.concatenate([best[mine], scores], axis=1)
-                all_rows = np.concatenate([rows[mine], np.broadcast_to(held, scores.shape)], axis=1)
-                top = np.lexsort((all_rows, -all_scores), axis=1)[:, :keep]
-                best[mine], rows[mine] = np.take_along_axis(all_scores, top, 1), np.take_along_axis(all_rows, top, 1)
+                i, j = np.nonzero(going & (scores >= least[:, None] - 1e-9))  # what only rounding keeps below is a tie
+                s = scores[i, j]
+            else:
+                i, j = np.nonzero(going)
+                s = np.einsum("ij,ij->i", queries[mine[i]], self.vectors[held[j]])
+                fine = s >= least[i] - 1e-9
+                i, j, s = i[fine], j[fine], s[fine]
+            if not len(i):
+                return
+            some = np.unique(i)
+            who = np.concatenate([np.repeat(some, keep), i])
+            what = np.concatenate([rows[mine[some]].ravel(), held[j]])
+            score = np.concatenate([best[mine[some]].ravel(), s])
+            order = np.lexsort((what, -score, who))
+            who, what, score = who[order], what[order], score[order]
+            start = np.searchsorted(who, some)
+            place = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who))))
+            top = place < keep
+            best[mine[who[top]], place[top]], rows[mine[who[top]], place[top]] = score[top], what[top]
+
+        home = np.argmin(near, axis=1)
+        for x in np.unique(home):
+            visit(np.flatnonzero(home == x), self.leaves[x])
+        for x in np.argsort(near.sum(0), kind="stable"):
+            open_ = (near[:, x] < law.limit(norm2, np.maximum(best[:, -1], floor))) & (home != x)
+            if open_.any():
+                visit(np.flatnonzero(open_), self.leaves[x])
         return rows
 
-    def answer(self, query_ids: np.ndarray, queries: np.ndarray, directions: np.ndarray, reach2: float, k: int, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query id, vector id, score) of each query's k best here, itself left out; scores summed in one fixed order."""
-        rows = self.search(queries, directions, reach2, k, stop)
+    def answer(self, numbers: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, queries: np.ndarray) -> list[np.ndarray]:
+        """number, query_id, vec_id and score of each query's k best here, its own id left out; scores summed in one fixed order."""
+        rows = self.search(query_ids, floor, queries)
         q, v, s = [], [], []
         for i, found in enumerate(rows):
             found = found[found >= 0]
@@ -131,30 +224,55 @@ class Block:
             many = np.repeat(score, [len(x) for x in ids])
             other = flat != query_ids[i]
             flat, many = flat[other], many[other]
-            top = np.lexsort((flat, -many))[:k]
-            q.append(np.full(len(top), query_ids[i]))
+            top = np.lexsort((flat, -many))[: self.k]
+            q.append(np.full(len(top), i))
             v.append(flat[top])
             s.append(many[top])
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return join(q, np.int64), join(v, np.int64), join(s, np.float64)
+        at = join(q, np.int64)
+        return [numbers[at], query_ids[at], join(v, np.int64), join(s, np.float64)]
 
 
-def usable(column: Column, dim: int | None = None) -> Column:
-    """Not null or empty, no null or non-finite component, not all zero, and of the dimension."""
+def usable(column: Column) -> Column:
+    """Not null or empty, no null or non-finite component, not all zero."""
     big = F.lit(float("inf"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)
-    out = column.isNotNull() & F.forall(column, fine) & F.exists(column, lambda x: x != 0)
-    return F.coalesce(out & (F.size(column) == dim) if dim else out, F.lit(False))
+    return F.coalesce(column.isNotNull() & F.forall(column, fine) & F.exists(column, lambda x: x != 0), F.lit(False))
+
 
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """The rows of a list column without nulls, in double precision."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
-def pack_rows(group: pd.DataFrame, dim: int) -> bytes:
-    ids = group["vec_id"].to_numpy(np.int64)
-    return struct.pack("<q", len(ids)) + ids.tobytes() + np.stack(group["v"].to_list()).astype(np.float64).reshape(len(ids), dim).tobytes()
 
+def pack_rows(*columns: np.ndarray) -> bytes:
+    """Columns of 8-byte numbers one after another, behind their row count."""
+    return struct.pack("<q", len(columns[0])) + b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
 
-def unpack_rows(data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    n = struct.unpack_from("<q", data)[0]
-    return np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.float64, n * dim, 8 + 8 * n).reshape(n, dim)
+
+def unpack_rows(data: bytes, dim: int, kinds: tuple[type, ...]) -> list[np.ndarray]:
+    """The columns of pack_rows; the last is a matrix of dim columns."""
+    n, at, out = struct.unpack_from("<q", data)[0], 8, []
+    for kind in kinds:
+        out.append(np.frombuffer(data, kind, n, at))
+        at += 8 * n
+    return [*out, np.frombuffer(data, np.float64, n * dim, at).reshape(n, dim)]
+
+
+def few_of_each(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Rows that the k nearest of any query can come from: of equal vectors the 2k smallest ids, no id over k times.
+
+    A query's own id takes at most k of those, so that k others are left, if there are as many.
+    """
+    _, at = np.unique(vectors, axis=0, return_inverse=True)
+    order = np.lexsort((ids, at.ravel()))
+    for most, keys in ((k, lambda o: (at.ravel()[o], ids[o])), (2 * k, lambda o: (at.ravel()[o],))):
+        new = np.ones(len(order), bool)
+        if len(order):
+            new[1:] = np.any([np.diff(x) != 0 for x in keys(order)], axis=0)
+        start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        order = order[np.arange(len(order)) - start < most]
+    return np.sort(order)
 
 
 def nearest(
@@ -163,59 +281,127 @@ def nearest(
     k: int = 20,
     confidence: float = CONFIDENCE,
     seed: int = 42,
-    block_rows: int = BLOCK_ROWS,
+    cell_rows: int | None = None,
     query_rows: int = QUERY_ROWS,
+    tally: dict | None = None,
 ) -> DataFrame:
     """The k vectors of largest inner product for each row that is_query holds for.
 
     Returns query_id, rank (from 1), vec_id and score (the inner product in double
     precision), ties to the smaller vec_id. Every usable vector is indexed and is a
-    candidate, but for the query's own row (vec_id); a query with fewer has fewer rows.
+    candidate, but for those that carry the query's vec_id; a query with fewer has fewer rows.
 
-    Vectors that are null, empty, zero, hold null or non-finite components or are not of
-    the commonest dimension take no part, nor do rows with a null vec_id. Equal vectors
-    are verified once and tie. Repeated rows (one vec_id twice) count as candidates each.
-    An empty table, or one without queries, gives no rows. Other columns are ignored.
+    Vectors that are null, empty, zero or hold null or non-finite components take no
+    part, nor do rows with a null vec_id. Vectors of different lengths are searched apart:
+    those of each length among themselves. Equal vectors are verified once and tie.
+    Repeated rows count as candidates each, and a query row that is there twice is
+    answered twice. An empty table, or one without queries, gives no rows. Other columns
+    are ignored.
+
+    tally: a dict that gets accumulators: pairs of a query and a distinct vector of its
+    cells, and verified, those that the stopping test let through.
     """
-    spark = vectors.sparkSession
+    spark = small_batches(vectors.sparkSession)
     v = F.col("embedding")
-    base = vectors.where(F.col("vec_id").isNotNull() & usable(v)).select("vec_id", v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    base = vectors.where(F.col("vec_id").isNotNull() & usable(v)).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     dims = base.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("nq"), F.max(norm2).alias("reach2"))
-    top = dims.orderBy(F.desc("n"), "d").first()
-    schema = "query_id long, vec_id long, score double"
-    if top is None or not top["nq"]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n, nq, reach2 = top["d"], top["n"], top["nq"], float(top["reach2"])
-    base = base.where(F.size("v") == dim)
-    blocks, chunks = max(1, -(-n // block_rows)), max(1, -(-nq // query_rows))
-    directions = np.random.default_rng(seed).standard_normal((dim + 1, DIRECTIONS))
-    stop = chi_square_quantile(confidence, DIRECTIONS)
-
-    def packed(column: str, count: int, df: DataFrame) -> DataFrame:
-        def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({column: [int(key[0])], "data": [pack_rows(group, dim)]})
-
-        dealt = df.select(F.pmod(F.xxhash64(F.lit(seed), "vec_id", F.monotonically_increasing_id()), F.lit(count)).alias(column), "vec_id", "v")
-        return staged(dealt.groupBy(column).applyInPandas(one, f"{column} long, data binary"), f"ann-{column}")
-
-    held = packed("block", blocks, base).withColumnRenamed("data", "held")
-    asked = packed("chunk", chunks, base.where("q")).withColumnRenamed("data", "asked")
-    # The stated query set against all rows, block by block: every chunk of queries goes to every block.
-    pairs = asked.select("asked", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")).hint("merge").join(held.hint("merge"), "block")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, block = None, None
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if tally is not None:
+        tally.update({x: spark.sparkContext.accumulator(0) for x in ("pairs", "verified")})
+    for d in dims.where("nq > 0").orderBy("d").collect():  # one row for each length of vector
+        rows = cell_rows or min(max(d["n"] // 64, CELL_ROWS[0]), CELL_ROWS[1], max(1, CELL_BYTES // (8 * d["d"])))
+        cells = max(1, d["n"] // rows)
+        found = _search(base.where(F.size("v") == d["d"]), d["d"], Law(d["d"], float(d["reach2"]), confidence, seed), d["n"], cells, k, seed, query_rows, tally or {})
+        out = out.unionByName(found)
+    return out
+
+
+def _search(base: DataFrame, dim: int, law: Law, n: int, cells: int, k: int, seed: int, query_rows: int, tally: dict) -> DataFrame:
+    spark = base.sparkSession
+    every = max(1, n // SAMPLE_ROWS)
+    picked = base.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(every)) == 0).select("v").limit(2 * SAMPLE_ROWS)
+    sample = np.array([r["v"] for r in picked.collect()], np.float64).reshape(-1, dim)
+    tree = Cells(law.vectors(sample), cells)
+    count = 1 << tree.depth
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                at = batch.column(0)[i].as_py()
-                if at != last:
-                    last, block = at, Block(*unpack_rows(batch.column(2)[i].as_py(), dim), directions, reach2, k)
-                ids, queries = unpack_rows(batch.column(1)[i].as_py(), dim)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in block.answer(ids, queries, directions, reach2, k, stop)], ["query_id", "vec_id", "score"])
-
-    found = pairs.select("block", "asked", "held").mapInArrow(run, schema)
-    # A query has at most k rows from each block.
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast(T.IntegerType()).alias("rank"), "vec_id", "score")
+            ids, x = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1), dim)
+            some = few_of_each(ids, x, k)  # a vector that very many rows hold
+            ids, x = ids[some], x[some]
+            cell = tree.of(law.vectors(x))
+            for c in np.unique(cell):
+                mine = cell == c
+                yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([pack_rows(ids[mine], x[mine])], pa.binary())], ["cell", "data"])
+
+    def join_up(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        parts = [unpack_rows(x, dim, (np.int64,)) for x in group["data"]]
+        ids, x = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        some = few_of_each(ids, x, k)
+        ids, x = ids[some], x[some]
+        p = law.vectors(x)
+        return pd.DataFrame({"cell": [int(key[0])], "data": [pack_rows(ids, x)], "low": [p.min(0)], "high": [p.max(0)]})
+
+    parts = base.select("vec_id", "v").mapInArrow(route, "cell long, data binary")
+    held = staged(parts.groupBy("cell").applyInPandas(join_up, "cell long, data binary, low array<double>, high array<double>"), "ann-cells")
+    boxes = held.select("cell", "low", "high").orderBy("cell").collect()  # one row per cell
+    number = np.array([b["cell"] for b in boxes], np.int64)
+    low, high = np.array([b["low"] for b in boxes]), np.array([b["high"] for b in boxes])
+    side = spark.sparkContext.broadcast((number, low, high))  # of at most n / CELL_ROWS cells
+
+    asked = staged(base.where("q").select(F.monotonically_increasing_id().alias("number"), "vec_id", "v"), "ann-queries")
+    best, lo, hi = None, 0, 1
+    while lo < len(boxes):
+
+        def ask(batches: Iterator[pa.RecordBatch], lo: int = lo, hi: int = hi) -> Iterator[pa.RecordBatch]:
+            cell, low, high = side.value
+            step = max(1, min(query_rows, (1 << 22) // len(cell)))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    b = batch.slice(at, step)
+                    nos, ids, floor = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+                    x = matrix(b.column(3), dim)
+                    near = box_distances(law.queries(x), low, high)
+                    order = np.argsort(near, axis=1, kind="stable")[:, lo:hi]
+                    limit = law.limit(np.einsum("ij,ij->i", x, x), floor)
+                    i, j = np.nonzero(np.take_along_axis(near, order, 1) < limit[:, None])
+                    to = order[i, j]
+                    by = np.argsort(to, kind="stable")
+                    i, to = i[by], to[by]
+                    cuts = np.flatnonzero(np.diff(to, prepend=-1))
+                    for mine, c in zip(np.split(i, cuts[1:]), to[cuts], strict=False):
+                        data = pack_rows(nos[mine], ids[mine], floor[mine], x[mine])
+                        yield pa.RecordBatch.from_arrays([pa.array([int(cell[c])]), pa.array([1], pa.int32()), pa.array([data], pa.binary())], ["cell", "kind", "data"])
+
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # Each cell's vectors come first, then the queries that ask it.
+            block, vectors = None, None
+            for batch in batches:
+                for kind, data in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    if kind == 0:
+                        block, vectors = None, data.as_py()
+                        continue
+                    if block is None:
+                        block = Block(*unpack_rows(vectors, dim, (np.int64,)), law, k)
+                    block.pairs = block.verified = 0
+                    found = block.answer(*unpack_rows(data.as_py(), dim, (np.int64, np.int64, np.float64)))
+                    for name, total in tally.items():
+                        total.add(getattr(block, name))
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), ["number", "query_id", "vec_id", "score"])
+
+        if best is None:
+            known = asked.select("number", "vec_id", F.lit(float("-inf")).alias("floor"), "v")
+        else:
+            least = best.groupBy("number").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(float("-inf")).alias("floor"))
+            known = asked.join(least, "number", "left").select("number", "vec_id", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), "v")
+        chunks = known.mapInArrow(ask, "cell long, kind int, data binary")
+        rows = held.select("cell", F.lit(0).alias("kind"), "data").unionByName(chunks)
+        dealt = rows.repartitionById(count, F.col("cell").cast("int")).sortWithinPartitions("cell", "kind")
+        found = dealt.select("cell", "kind", "data").mapInArrow(answer, "number long, query_id long, vec_id long, score double")
+        # A query has at most k rows from each cell of the round.
+        w = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
+        both = found if best is None else best.drop("rank").unionByName(found)
+        best = staged(both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), "ann-best")
+        lo, hi = hi, hi + GROWTH * (hi - lo)
+    return best.select("query_id", "rank", "vec_id", "score")
