@@ -1,7 +1,8 @@
 """The corpus pipeline: quality, exact dedup, near dedup, source mix, packing.
 
 Each stage reads what its predecessor wrote. All but the last return the columns of
-documents. Rows with a null doc_id can't be named by a decision: the dedup stages
+documents. Decisions are made on narrow tables of row numbers; texts are filtered where
+they lie as long as the numbers to drop are few enough to broadcast, by count. Rows with a null doc_id can't be named by a decision: the dedup stages
 keep them and the mix takes them once. Empty inputs give empty outputs.
 """
 
@@ -14,6 +15,9 @@ from millrace.llm import exact_dedup, mixing, packing, quality, simhash
 from millrace.llm.common import crc_mod, numbered, staged
 from millrace.session import ship, table
 
+#: Numbers of dropped rows up to which they are broadcast (8 bytes each); beyond it texts are shuffled to them.
+FEW_DROPPED = 1_000_000
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
@@ -36,18 +40,23 @@ def by_row(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, rows.withColumn("doc_id", F.col("__row")).drop("__row")
 
 
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """rows but for those whose __row is among the doc_ids of dropped; one row each."""
+    gone = staged(dropped.select(F.col("doc_id").alias("__row")), "pipeline-dropped")
+    few = gone.count() <= FEW_DROPPED
+    return rows.join(F.broadcast(gone) if few else gone, "__row", "left_anti")
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     rows, named = by_row(docs)
-    marked = exact_dedup.exact_dedup(named)
-    return rows.join(marked.where(~F.col("kept")).select(F.col("doc_id").alias("__row")), "__row", "left_anti").select(*docs.columns)
+    return without(rows, exact_dedup.exact_dedup(named).where(~F.col("kept"))).select(*docs.columns)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near fingerprints."""
     rows, named = by_row(docs)
-    near = simhash.near_components(named)
-    return rows.join(near.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__row")), "__row", "left_anti").select(*docs.columns)
+    return without(rows, simhash.near_components(named).where(F.col("doc_id") != F.col("component_id"))).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
