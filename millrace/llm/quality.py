@@ -1,13 +1,19 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-Labelled texts are turned into weighted counts of byte-class pairs and of word statistics,
-and projected on the leading singular vectors. Their vectors are broadcast; every document's
-cosines with all of them are computed in blocks, and the nearest vote by similarity.
+A text's terms are its words, its runs of signs, the shapes of its words, and marks of what
+repeats in it (a word once more in a row, words by how often they occur, lines that came
+before). Terms are hashed; their counts, weighted by inverse document frequency, make the
+term-document matrix of labelled texts, which is projected on its leading singular vectors.
+The labelled vectors are broadcast; every document's cosines with all of them are computed
+in blocks, and the nearest vote by similarity.
 """
 
 from __future__ import annotations
 
 import math
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,83 +31,70 @@ NEIGHBOURS = 15
 #: Documents of which cosines are held at once.
 BLOCK = 256
 
-#: Byte classes: control, each ASCII sign of its own, space, newline, digit, upper, lower, beyond ASCII (two halves).
-_CLASS = np.zeros(256, np.int64)
+#: Hash cells of words, of sign runs and word shapes, and of repeats.
+WORDS, SIGNS, REPEATS = 2048, 960, 64
+WIDTH = WORDS + SIGNS + REPEATS
+#: Tokens whose cells a Python worker remembers, and their length at most; others are hashed each time.
+CACHE_TOKENS, CACHE_LENGTH = 300_000, 48
 
+_RUN = re.compile(r"[^\W_]+|[\W_]+")
+_cache: dict[str, bytes] = {}
 
-def _classes() -> int:
-    n = 1
-    for b in range(32, 127):
-        c = chr(b)
-        if c.isdigit():
-            _CLASS[b] = 1
-        elif c.isupper():
-            _CLASS[b] = 2
-        elif c.islower():
-            _CLASS[b] = 3
+
+def _cell(term: str, cells: int) -> int:
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % cells
+
+
+def shape(word: str) -> str:
+    """Case or digits of a word, and its length in steps of six up to four."""
+    case = "9" if word.isdigit() else "A" if word.isupper() and len(word) > 1 else "a" if word.islower() else "Aa" if word.istitle() else "x"
+    return f"{case}{min(len(word) // 6, 4)}"
+
+
+def token_cells(token: str) -> bytes:
+    """Cells of the terms in a white-space token, as 16-bit numbers: each run of letters and digits with its shape, each run of signs."""
+    out = []
+    for run in _RUN.findall(token):
+        if run[0].isalnum():
+            out += [_cell(run.lower(), WORDS), WORDS + _cell(f"shape {shape(run)}", SIGNS)]
         else:
-            n += 1
-            _CLASS[b] = n + 2
-    _CLASS[ord("\n")], _CLASS[128:192], _CLASS[192:] = n + 3, n + 4, n + 5
-    return n + 6
-
-
-CLASSES = _classes()
-#: Word statistics, each as a soft count over steps of its range.
-STEPS = 12
-STATISTICS = ("words", "word_length", "distinct", "adjacent", "sentence", "lines", "longest", "common", "upper", "signs")
-WIDTH = CLASSES * CLASSES + STEPS * len(STATISTICS)
-#: Weight of the statistics against the byte pairs.
-SHARE = 0.35
-_STEP = 1 << 20
-
-
-def statistics(text: str) -> list[float]:
-    """Word statistics of a whole text, each from 0 to 1."""
-    words = text.split()
-    n = len(words)
-    if not n:
-        return [0.0] * len(STATISTICS)
-    counts: dict[str, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    lines = [x for x in text.split("\n") if x.strip()]
-    adjacent = sum(map(str.__eq__, words, words[1:]))
-    letters = sum(map(len, words))
-    # Long texts repeat words of themselves: distinct words are held against the root of the length.
-    return [
-        min(1.0, math.log1p(n) / 10),
-        min(1.0, letters / n / 16),
-        min(1.0, math.log(len(counts)) / math.log(n)) if n > 1 else 1.0,
-        min(1.0, 4 * adjacent / n),
-        min(1.0, 4 * (text.count(".") + text.count("?")) / n),
-        len(set(lines)) / len(lines),
-        min(1.0, max(map(len, counts)) / 40),
-        max(counts.values()) / n,
-        sum(map(str.isupper, counts)) / len(counts),
-        sum(not w[-1].isalnum() for w in counts) / len(counts),
-    ]
+            out.append(WORDS + _cell(f"sign {run}", SIGNS))
+    return np.array(out, np.uint16).tobytes()
 
 
 def features(text: str) -> np.ndarray:
-    """Counts of byte-class pairs as square roots of shares, then soft steps of the statistics."""
-    data = text.encode("utf-8", "surrogatepass")
-    pairs = np.zeros(CLASSES * CLASSES)
-    last = b"\n"
-    for at in range(0, len(data), _STEP):
-        c = _CLASS[np.frombuffer(last + data[at : at + _STEP], np.uint8)]
-        pairs += np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
-        last = data[min(at + _STEP, len(data)) - 1 : min(at + _STEP, len(data))]
-    total = pairs.sum()
-    out = np.zeros(WIDTH, np.float32)
-    if total:
-        out[: len(pairs)] = np.sqrt(pairs / total)
-    for i, s in enumerate(statistics(text)):
-        x = s * (STEPS - 1)
-        k = min(int(x), STEPS - 2)
-        base = len(pairs) + i * STEPS + k
-        out[base] += SHARE * (1 - (x - k))
-        out[base + 1] += SHARE * (x - k)
+    """Counts of a whole text's terms as square roots of their shares."""
+    tokens = text.split()
+    if not tokens:
+        return np.zeros(WIDTH, np.float32)
+    counts = Counter(tokens)
+    known = _cache
+    fresh = {t: token_cells(t) for t in counts if t not in known}
+    if fresh:
+        if len(known) < CACHE_TOKENS:
+            known.update((t, c) for t, c in fresh.items() if len(t) <= CACHE_LENGTH)
+        known = {t: fresh.get(t) or known[t] for t in counts}
+    out = np.bincount(np.frombuffer(b"".join(map(known.__getitem__, tokens)), np.uint16), minlength=WIDTH).astype(np.float64)
+    at = WORDS + SIGNS
+    out[at] = sum(map(str.__eq__, tokens, tokens[1:]))
+    for times, words in Counter(counts.values()).items():
+        out[at + 1 + min(int(2 * math.log2(times)), 40)] += times * words
+    lines = Counter(x for x in text.split("\n") if x and not x.isspace())
+    out[at + 50], out[at + 51] = len(lines), lines.total() - len(lines)
+    return np.sqrt(out / out.sum()).astype(np.float32)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """The cells that aren't zero, as 16-bit numbers, then their values in half precision."""
+    at = np.flatnonzero(x)
+    return at.astype(np.uint16).tobytes() + x[at].astype(np.float16).tobytes()
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), WIDTH), np.float32)
+    for x, data in zip(out, rows, strict=True):
+        n = len(data) // 4
+        x[np.frombuffer(data, np.uint16, n)] = np.frombuffer(data, np.float16, n, 2 * n)
     return out
 
 
@@ -157,15 +150,14 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample_texts: int
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t or "").astype(np.float16).tobytes() for t in batch.column(1).to_pylist()]
+            x = [packed(features(t or "")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.binary())], ["doc_id", "quality", "x"])
 
     rows = staged(chosen.select("doc_id", "text", "quality").mapInArrow(make, "doc_id long, quality int, x binary"), "quality-sample")
     rows = rows.orderBy("doc_id", "quality", "x").limit(sample_texts).collect()
     if not rows:
         return None
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)
-    return fit(x, np.array([r["quality"] for r in rows]), seed=seed)
+    return fit(unpacked([r["x"] for r in rows]), np.array([r["quality"] for r in rows]), seed=seed)
 
 
 def scores(texts: list[str | None], space: Space | None, neighbours: int = NEIGHBOURS) -> np.ndarray:

@@ -383,6 +383,39 @@ def test_quality_on_held_out_rows(spark):
     assert len(rows) > 50 and np.mean(right) > 0.95
 
 
+def test_votes_equal_a_plain_loop(spark, real):
+    """Every document against every labelled vector, one by one."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    space = quality.train(real, labels, F.lit(True))
+    assert len(space.vectors) == labels.where("quality in (0, 1)").join(real, "doc_id").count()
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(real, labels).collect()}
+    for r in real.where("text is not null and length(trim(text)) > 0").collect():
+        x = (quality.features(r["text"]) * space.weight - space.mean) @ space.axes
+        x = x / max(float(np.linalg.norm(x)), 1e-12)
+        near = sorted(((float(x @ v), g) for v, g in zip(space.vectors, space.good, strict=True)), key=lambda n: -n[0])
+        edge = near[quality.NEIGHBOURS - 1][0]
+        if edge - near[quality.NEIGHBOURS][0] < 1e-5:  # which of equals vote is open
+            continue
+        w = [max(c, 1e-6) ** 4 for c, _ in near[: quality.NEIGHBOURS]]
+        want = sum(a * g for a, (_, g) in zip(w, near, strict=False)) / sum(w)
+        assert abs(got[r["doc_id"]] - want) < 1e-3
+
+
+def test_terms_of_a_text():
+    text = "To be, or not to to be!!\nTo be, or not to to be!!\n"
+    want = np.zeros(quality.WIDTH)
+    for word, n in {"to": 6, "be": 4, "or": 2, "not": 2}.items():
+        want[quality._cell(word, quality.WORDS)] += n
+    for term, n in {"shape Aa0": 2, "shape a0": 12, "sign ,": 2, "sign !!": 2}.items():
+        want[quality.WORDS + quality._cell(term, quality.SIGNS)] += n
+    at = quality.WORDS + quality.SIGNS
+    want[at], want[at + 50], want[at + 51] = 2, 1, 1  # "to to" in each line; the second line came before
+    want[at + 1 + 2] += 2 * 5  # To, "be,", or, not, be!! twice each
+    want[at + 1 + 4] += 4  # to
+    assert np.allclose(quality.features(text), np.sqrt(want / want.sum()), atol=1e-6)
+    assert np.allclose(quality.unpacked([quality.packed(quality.features(text))])[0], quality.features(text), atol=1e-3)
+
+
 def test_quality_cases(spark, docs, empty, real):
     labels = spark.createDataFrame([(0, 1), (6, 1), (7, 0), (8, 0), (None, 1), (9, None), (10, 7)], "doc_id long, quality int")
     rows = quality.score_quality(docs, labels).collect()
