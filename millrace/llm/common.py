@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.session import fresh_path, remove, small_batches, until_exit
 
-__all__ = ["crc_mod", "drop_staged", "fresh_path", "numbered", "small_batches", "staged"]
+__all__ = ["crc_mod", "drop_staged", "fresh_path", "numbered", "packed", "small_batches", "staged", "unpacked"]
 
 #: Rows of a narrow table that one task writes.
 NARROW_ROWS = 250_000
@@ -64,3 +65,18 @@ def numbered(df: DataFrame, order: list[str | Column], column: str, name: str, a
 def crc_mod(column: str, divisor: int) -> Column:
     """crc32 of a column's text form, modulo a divisor; a null id counts as its empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+def packed(x: np.ndarray) -> bytes:
+    """A sparse vector: the cells that aren't zero, as 16-bit numbers, then their values in half precision."""
+    at = np.flatnonzero(x)
+    return at.astype(np.uint16).tobytes() + x[at].astype(np.float16).tobytes()
+
+
+def unpacked(rows: list[bytes], width: int) -> np.ndarray:
+    """The vectors of packed(), one a row."""
+    out = np.zeros((len(rows), width), np.float32)
+    for x, data in zip(out, rows, strict=True):
+        n = len(data) // 4
+        x[np.frombuffer(data, np.uint16, n)] = np.frombuffer(data, np.float16, n, 2 * n)
+    return out

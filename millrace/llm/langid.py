@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import packed, small_batches, staged, unpacked
 
 #: Texts of each language that the classifiers are fitted on, about; all of fewer.
 SAMPLE_TEXTS = 400
@@ -36,15 +36,16 @@ _STEP = 1 << 20
 def features(text: str) -> np.ndarray:
     """Square roots of n-gram shares, unit length; zeros for an empty text."""
     data = text.lower().encode("utf-8", "surrogatepass")
-    count = np.zeros(CELLS)
-    for at in range(0, len(data), _STEP):
-        b = np.frombuffer(b" " + data[at : at + _STEP] + b" ", np.uint8).astype(np.uint32)
+    if not data:
+        return np.zeros(CELLS, np.float32)
+    every, count = np.frombuffer(b" " + data + b" ", np.uint8), np.zeros(CELLS)
+    for at in range(0, len(every) - 1, _STEP):
+        b = every[at : at + _STEP + 2].astype(np.uint32)  # two more, for the n-grams that begin in this step
         two = b[:-1] * np.uint32(257) + b[1:]
         three = two[:-1] * np.uint32(263) + b[2:]
-        for x in (two, three):
+        for x in (two[:_STEP], three[:_STEP]):
             count += np.bincount((x * np.uint32(2654435761)) >> np.uint32(20), minlength=CELLS)
-    total = count.sum()
-    return np.sqrt(count / total).astype(np.float32) if total and data else np.zeros(CELLS, np.float32)
+    return np.sqrt(count / count.sum()).astype(np.float32)
 
 
 def codewords(classes: int, seed: int = 42) -> np.ndarray:
@@ -106,30 +107,31 @@ def fit(x: np.ndarray, languages: list[str], steps: int = 300, rate: float = 8.0
     return Codes(names, code.astype(np.float64), w.astype(np.float64), b.astype(np.float64), trust / trust.mean())
 
 
-def _numbers(texts: DataFrame, label: str) -> DataFrame:
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [features(t or "").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], [label, "x"])
-
-    return texts.select(label, "text").mapInArrow(make, f"{label} string, x binary")
-
-
 def train(docs: DataFrame, usable: Column, sample_texts: int = SAMPLE_TEXTS, sample_all: int = SAMPLE_ALL, seed: int = 42) -> Codes | None:
-    """Fit on about sample_texts rows of each language, chosen by a hash of seed and doc_id; None without any."""
+    """Fit on about sample_texts rows of each language, chosen by a hash of seed, doc_id and text; None without any.
+
+    sample_all bounds the rows in all. Of more than sample_all languages the commonest are learned.
+    """
     small_batches(docs.sparkSession)
     known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = dict(known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample_all).collect())
     if not sizes:
         return None
     sample_texts = max(1, min(sample_texts, sample_all // len(sizes)))
-    draw = (F.xxhash64(F.lit(seed), "doc_id") / F.lit(float(2**64))) + 0.5
+    draw = (F.xxhash64(F.lit(seed), "doc_id", "text") / F.lit(float(2**64))) + 0.5
     share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, sample_texts / n))])
-    picked = known.select("doc_id", "lang", "text", draw.alias("draw")).where(F.col("draw") <= share[F.col("lang")])
-    rows = staged(_numbers(picked, "lang").limit(2 * sample_all), "langid-sample").orderBy("lang", "x").collect()  # about sample_all rows
+    picked = known.select("lang", draw.alias("draw"), "text").where(F.col("draw") <= share[F.col("lang")])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [packed(features(t)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["lang", "draw", "x"])
+
+    rows = staged(picked.mapInArrow(make, "lang string, draw double, x binary"), "langid-sample")
+    rows = rows.orderBy("draw", "lang", "x").limit(2 * sample_all).orderBy("lang", "x").collect()  # about sample_all rows; more only if rows repeat
     if not rows:
         return None
-    return fit(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), [r["lang"] for r in rows], seed=seed)
+    return fit(unpacked([r["x"] for r in rows], CELLS), [r["lang"] for r in rows], seed=seed)
 
 
 def identify(docs: DataFrame, usable: Column | None = None, lead: float = LEAD) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import packed, small_batches, staged, unpacked
 
 #: Labelled texts that the space is fitted on and that vote; bounds what is broadcast.
 SAMPLE_TEXTS = 6000
@@ -84,20 +84,6 @@ def features(text: str) -> np.ndarray:
     return np.sqrt(out / out.sum()).astype(np.float32)
 
 
-def packed(x: np.ndarray) -> bytes:
-    """The cells that aren't zero, as 16-bit numbers, then their values in half precision."""
-    at = np.flatnonzero(x)
-    return at.astype(np.uint16).tobytes() + x[at].astype(np.float16).tobytes()
-
-
-def unpacked(rows: list[bytes]) -> np.ndarray:
-    out = np.zeros((len(rows), WIDTH), np.float32)
-    for x, data in zip(out, rows, strict=True):
-        n = len(data) // 4
-        x[np.frombuffer(data, np.uint16, n)] = np.frombuffer(data, np.float16, n, 2 * n)
-    return out
-
-
 @dataclass
 class Space:
     weight: np.ndarray  # inverse document frequency of each feature
@@ -157,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample_texts: int
     rows = rows.orderBy("doc_id", "quality", "x").limit(sample_texts).collect()
     if not rows:
         return None
-    return fit(unpacked([r["x"] for r in rows]), np.array([r["quality"] for r in rows]), seed=seed)
+    return fit(unpacked([r["x"] for r in rows], WIDTH), np.array([r["quality"] for r in rows]), seed=seed)
 
 
 def scores(texts: list[str | None], space: Space | None, neighbours: int = NEIGHBOURS) -> np.ndarray:

@@ -9,7 +9,8 @@ buckets of those partitions, and candidates are verified on all bits.
 Only links that connect are passed on: inside a bucket a spanning forest of the verified
 pairs, so a bucket's output is at most its size. Buckets too large for one task are dealt
 anew by midpoints: fingerprints are within 2 bits exactly if flips of at most one bit in
-each meet, so each emits its own 65 midpoints and those that share one are linked.
+each meet, so each emits its own 65 midpoints and those that share one are linked. Hot
+buckets so leave the pigeonhole, without losing a link.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import ann, components, exact_dedup, langid, mixing, packing, pii, quality, sharding, simhash, token_counts, wordbpe
-from millrace.llm.common import crc_mod, numbered, staged
+from millrace.llm.common import crc_mod, numbered, packed, staged, unpacked
 
 SF = "/root/testdata/sf0.001"
 
@@ -413,7 +413,7 @@ def test_terms_of_a_text():
     want[at + 1 + 2] += 2 * 5  # To, "be,", or, not, be!! twice each
     want[at + 1 + 4] += 4  # to
     assert np.allclose(quality.features(text), np.sqrt(want / want.sum()), atol=1e-6)
-    assert np.allclose(quality.unpacked([quality.packed(quality.features(text))])[0], quality.features(text), atol=1e-3)
+    assert np.allclose(unpacked([packed(quality.features(text))], quality.WIDTH)[0], quality.features(text), atol=1e-3)
 
 
 def test_quality_cases(spark, docs, empty, real):
@@ -674,6 +674,37 @@ def test_codewords_lie_apart():
         assert not any(abs(code[:, j].sum()) == n for j in range(code.shape[1]))
 
 
+def test_ngrams_over_a_seam(monkeypatch):
+    text = "Über den Fluß " * 40
+    whole = langid.features(text)
+    for step in (1, 2, 7, 64):
+        monkeypatch.setattr(langid, "_STEP", step)
+        assert np.array_equal(langid.features(text), whole)
+    data = f" {text.lower()} ".encode()
+    count = Counter()
+    for i in range(len(data) - 1):
+        two = data[i] * 257 + data[i + 1]
+        grams = [two] + ([two * 263 + data[i + 2]] if i + 2 < len(data) else [])
+        count.update((g % 2**32 * 2654435761 % 2**32) >> 20 for g in grams)
+    assert all(abs(whole[c] - (n / count.total()) ** 0.5) < 1e-6 for c, n in count.items())
+
+
+def test_decoding_equals_plain_loops(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    learn = crc_mod("doc_id", 3) != 1
+    codes = langid.train(docs, learn)
+    got = {r["doc_id"]: r for r in langid.identify(docs, learn).collect()}
+    for r in docs.where("text rlike '[a-z]'").collect():
+        x = langid.features(r["text"])
+        margin = [float(x.astype(float) @ codes.weight[:, b] + codes.bias[b]) for b in range(codes.code.shape[1])]
+        loss = [sum(t * np.log1p(np.exp(-m * c)) for t, m, c in zip(codes.trust, margin, word, strict=True)) for word in codes.code]
+        p = np.exp(min(loss) - np.array(loss))
+        p /= p.sum()
+        best = int(np.argmin(loss))
+        assert got[r["doc_id"]]["lang_pred"] == codes.languages[best] and abs(got[r["doc_id"]]["score"] - p[best]) < 1e-6
+        assert got[r["doc_id"]]["ambiguous"] == (p[best] - sorted(p)[-2] < langid.LEAD)
+
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     learn = crc_mod("doc_id", 3) != 1
