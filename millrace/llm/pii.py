@@ -81,7 +81,7 @@ _IPV6 = re.compile(
     r"|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?"
     r"|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?![\w:])"
 )
-#: Generators: pattern, and a cheaper pattern that every match of it holds (None: it runs on every text).
+#: Generators: pattern (the candidate is its group, if it has one), and a cheaper pattern that every match of it holds (None: it runs on every text).
 #: Runs have no upper length; a run that fails is tried again from few places only, so the cost stays linear.
 GENERATORS = {
     "digits": (re.compile(r"(?<![\w.])(?:\(?[0-9](?:[ ()./-]{0,2}[0-9]){5,24}+|[0-9]{26,}+)(?![\w])"), re.compile(r"[0-9][ ()./-]{0,2}[0-9][ ()./-]{0,2}[0-9]")),
@@ -89,6 +89,9 @@ GENERATORS = {
     "key": (re.compile(r"(?<![A-Za-z0-9_])(?:[0-9a-f]{32,}+|[A-Za-z]{2,6}[-_][A-Za-z0-9_-]{16,}+|AKIA[0-9A-Z]{16}|[A-Za-z0-9+/]{40,}={0,2})(?![A-Za-z0-9_])"), None),
     "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), None),
     "ipv6": (_IPV6, re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f:]|::[0-9A-Fa-f]")),
+    "assigned": (re.compile(r"(?<![^\W_])(?:passw(?:or)?d|passwort|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\w*+[\"']?\s?[:=]\s?[\"']?([^\s\"',;<>]{6,}+)", re.I), re.compile("passw|pwd|secret|token|key|auth", re.I)),
+    "jwt": (re.compile(r"(?<![\w-])eyJ[\w-]++\.[\w-]++\.[\w-]*+", re.A), re.compile("eyJ")),
+    "pem": (re.compile(r"-----BEGIN [A-Z0-9 ]*+-----[^-]*+(?:-(?!----)[^-]*+)*+(?:-----END [A-Z0-9 ]*+-----)?"), re.compile("-----BEGIN ")),
 }
 
 # Words that come before personal data, by the kind they point to.
@@ -135,7 +138,7 @@ def candidate_features(text: str, start: int, end: int, generator: str) -> list[
 def kind_of(text: str, start: int, end: int, generator: str, x: list[float]) -> str:
     """The kind that a candidate is redacted as, by its generator, format and cues."""
     if generator != "digits":
-        return {"hidden_email": "email", "key": "secret", "iban": "account", "ipv6": "ip"}[generator]
+        return {"hidden_email": "email", "iban": "account", "ipv6": "ip"}.get(generator, "secret")
     cue = dict(zip(CUES, x[14 + len(GENERATORS) :], strict=False))
     n = int(x[1])
     if cue["identity"] and n <= 12 or [len(g) for g in re.split(r"[^0-9]+", text[start:end]) if g] == [3, 2, 4]:
@@ -235,6 +238,8 @@ def examples(n: int, seed: int) -> list[tuple[str, int, int, str, int]]:
     word = lambda: "".join(r.choice(("th", "er", "on", "an", "re", "ti", "en", "chi", "la", "de")) for _ in range(r.randint(1, 4)))
     hexed = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
 
+    mixed = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k))
+
     def card() -> str:
         d = r.choice("3456") + num(14)
         d += next(c for c in "0123456789" if luhn(d + c))
@@ -256,6 +261,10 @@ def examples(n: int, seed: int) -> list[tuple[str, int, int, str, int]]:
         lambda: (pick("secret") + r.choice((" =", ":", " = \"", "=")), hexed(r.choice((32, 40, 64)))),
         lambda: (pick("secret") + r.choice((" =", ":", "=")), f"sk-{hexed(8)}{num(4)}{hexed(20)}"),
         lambda: (pick("ip"), ":".join(hexed(4) for _ in range(8))),
+        lambda: (r.choice((word(), pick("secret"))), "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))),
+        lambda: (word(), f"{r.choice(('password', 'passwd', 'pwd', 'secret', 'api_key'))}{r.choice(('=', ': ', ' = '))}{r.choice((hexed(r.randint(8, 40)), word().title() + num(3) + r.choice('!$%&') + hexed(4)))}"),
+        lambda: (r.choice((word(), pick("secret"))), f"eyJ{mixed(20)}.eyJ{mixed(r.randint(20, 90))}.{mixed(43)}"),
+        lambda: (word(), f"-----BEGIN {r.choice(('', 'RSA ', 'EC '))}PRIVATE KEY-----\n{mixed(64)}\n{mixed(64)}\n-----END PRIVATE KEY-----"),
     )
     bad = (
         lambda: (pick("no"), num(r.randint(6, 20))),
@@ -274,6 +283,9 @@ def examples(n: int, seed: int) -> list[tuple[str, int, int, str, int]]:
         lambda: (word(), ":".join(num(2) for _ in range(4))),
         lambda: (word(), "".join(word() for _ in range(20))),
         lambda: (word(), phone()[1:8] + num(2)),
+        lambda: (word(), f"{pick('secret')}{r.choice((': ', ' = '))}{word()}{word()}{word()}"),
+        lambda: (word(), f"{r.choice(('token', 'secret', 'auth'))}: {word()}-{word()}-{word()}"),
+        lambda: (word(), f"-----BEGIN CERTIFICATE-----\n{mixed(64)}\n-----END CERTIFICATE-----"),
     )
     out = []
     while len(out) < n:
@@ -293,7 +305,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     out = []
     for name, (pattern, gate) in GENERATORS.items():
         if gate is None or gate.search(text):
-            out += [(*m.span(), name) for m in pattern.finditer(text)]
+            out += [(*m.span(pattern.groups), name) for m in pattern.finditer(text)]
     return out
 
 
