@@ -295,7 +295,7 @@ def examples(n: int, seed: int) -> list[tuple[str, int, int, str, int]]:
         text = f"{head} {cue} " + r.choice(("", "", "is ", "no. ")) + span + r.choice((" ", ". ", ", ", "\n")) + word()
         for a, b, generator in candidates(text):
             inside = text.find(span)
-            hit = label and a < inside + len(span) and b > inside
+            hit = label and 2 * (min(b, inside + len(span)) - max(a, inside)) > len(span)  # most of it; parts of it are no data of their own
             out.append((text, a, b, generator, int(hit)))
     return out[:n]
 
