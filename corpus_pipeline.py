@@ -15,8 +15,14 @@ from millrace.llm import exact_dedup, mixing, packing, quality, simhash
 from millrace.llm.common import crc_mod, numbered, staged
 from millrace.session import ship, table
 
-#: Numbers of dropped rows up to which they are broadcast (8 bytes each); beyond it texts are shuffled to them.
-FEW_DROPPED = 1_000_000
+#: Decisions (a row number, and how often the row is taken) up to which they are broadcast; beyond it texts are shuffled to them.
+FEW_DECISIONS = 1_000_000
+
+
+def decisions(df: DataFrame, name: str) -> DataFrame:
+    """df, one narrow row per decision, staged, and to be broadcast if a count shows it is small."""
+    out = staged(df, name)
+    return F.broadcast(out) if out.count() <= FEW_DECISIONS else out
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +48,7 @@ def by_row(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     """rows but for those whose __row is among the doc_ids of dropped; one row each."""
-    gone = staged(dropped.select(F.col("doc_id").alias("__row")), "pipeline-dropped")
-    few = gone.count() <= FEW_DROPPED
-    return rows.join(F.broadcast(gone) if few else gone, "__row", "left_anti")
+    return rows.join(decisions(dropped.select(F.col("doc_id").alias("__row")), "pipeline-dropped"), "__row", "left_anti")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +67,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     rows, named = by_row(docs)
     taken = mixing.mix(named).where(F.col("doc_id").isNotNull() & (F.col("size") > 0))
-    copies = staged(taken.select(F.col("doc_id").alias("__row"), F.expr("taken div size").alias("__copies")), "mix-copies")
+    copies = decisions(taken.where("taken > 0").select(F.col("doc_id").alias("__row"), F.expr("cast(taken div size as int)").alias("__copies")), "mix-copies")
     times = F.coalesce("__copies", F.when(F.col("doc_id").isNull(), 1).otherwise(0)).cast("int")
     rows = rows.join(copies, "__row", "left").withColumn("__times", F.array_repeat(F.lit(1), times))
     return rows.select(*docs.columns, F.explode("__times").alias("__time")).select(*docs.columns)
