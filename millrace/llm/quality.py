@@ -35,7 +35,7 @@ BLOCK = 256
 WORDS, SIGNS, REPEATS = 2048, 960, 64
 WIDTH = WORDS + SIGNS + REPEATS
 #: Tokens whose cells a Python worker remembers, and their length at most; others are hashed each time.
-CACHE_TOKENS, CACHE_LENGTH = 300_000, 48
+CACHE_TOKENS, CACHE_LENGTH = 100_000, 48
 
 _RUN = re.compile(r"[^\W_]+|[\W_]+")
 _cache: dict[str, bytes] = {}
