@@ -71,19 +71,21 @@ def communities(edges: DataFrame, min_size: int = 4, most: int = 64) -> DataFram
 def expand(seeds: DataFrame, edges: DataFrame, chunks: DataFrame, hops: int = 1, per_source: int = 5, decay: float = 0.5) -> DataFrame:
     """Chunks of sources linked to the seeds' sources, with the seeds: chunk_id, source_id, score, expanded_from.
 
-    seeds: chunk_id, source_id, score. A neighbour has its best seed's score (ties: the
-    smallest id) times decay and gives its first per_source chunks.
+    seeds: chunk_id, source_id, score, and maybe query_id; then each query is expanded on
+    its own, all in one plan. A neighbour has its best seed's score (ties: the smallest
+    id) times decay and gives its first per_source chunks.
     """
-    best = seeds.where("score > 0").groupBy("source_id").agg(F.max("score").alias("score"))
-    near = neighbours(edges, best.select(F.col("source_id").alias("start")), hops)
-    near = near.join(best.select(F.col("source_id").alias("node")), "node", "left_anti")
-    via = near.join(best.select(F.col("source_id").alias("start"), "score"), "start")
-    via = via.groupBy("node").agg(F.max("score").alias("score"), F.min(F.struct(-F.col("score"), "start")).alias("from"))
+    key = ["query_id"] if "query_id" in seeds.columns else []
+    best = seeds.where("score > 0").groupBy(*key, "source_id").agg(F.max("score").alias("score"))
+    near = neighbours(edges, best.select(F.col("source_id").alias("start")).distinct(), hops)
+    via = near.join(best.select(*key, F.col("source_id").alias("start"), "score"), "start")
+    via = via.join(best.select(*key, F.col("source_id").alias("node")), [*key, "node"], "left_anti")
+    via = via.groupBy(*key, "node").agg(F.max("score").alias("score"), F.min(F.struct(-F.col("score"), "start")).alias("from"))
     w = Window.partitionBy("source_id").orderBy("chunk_index")
-    first = chunks.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_source)
-    more = first.join(via, first["source_id"] == via["node"]).select("chunk_id", "source_id", (F.col("score") * decay).alias("score"), F.col("from.start").alias("expanded_from"))
-    return seeds.select("chunk_id", "source_id", "score", F.lit(None).cast("string").alias("expanded_from")).unionByName(
-        more.join(seeds.select("chunk_id"), "chunk_id", "left_anti")
+    first = chunks.select("chunk_id", "source_id", "chunk_index").withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_source)
+    more = first.join(via, first["source_id"] == via["node"]).select(*key, "chunk_id", "source_id", (F.col("score") * decay).alias("score"), F.col("from.start").alias("expanded_from"))
+    return seeds.select(*key, "chunk_id", "source_id", "score", F.lit(None).cast("string").alias("expanded_from")).unionByName(
+        more.join(seeds.select(*key, "chunk_id"), [*key, "chunk_id"], "left_anti")
     )
 
 

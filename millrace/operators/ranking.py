@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import fresh_path, until_exit
+from millrace.session import written
 
 
 def position_in_group(df: DataFrame, group: str, order: str, column: str = "position") -> DataFrame:
@@ -16,10 +16,8 @@ def position_in_group(df: DataFrame, group: str, order: str, column: str = "posi
     number is subtracted. Null is a group of its own.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, "positions")
-    df.orderBy(group, order).withColumn("_mid", F.monotonically_increasing_id()).write.parquet(path)
-    until_exit(spark, path)
-    rows = spark.read.parquet(path).withColumn("_range", F.shiftright("_mid", 33))
+    placed = written(df.orderBy(group, order).withColumn("_mid", F.monotonically_increasing_id()), "positions")
+    rows = placed.withColumn("_range", F.shiftright("_mid", 33))
     offsets, total = [], 0
     for r, n in sorted(map(tuple, rows.groupBy("_range").count().collect())):  # one row per range
         offsets.append((int(r), total))

@@ -45,24 +45,21 @@ def retrieve(
     of linked sources (the filter doesn't bind those), and a reranker orders the pool.
     """
     spark = chunks.sparkSession
-    subs = [(q * 1000 + i, q, s) for q, text in questions.items() for i, s in enumerate(dict.fromkeys(expand_query(text)))]
-    asked = spark.createDataFrame(subs or [], "sub_id long, query_id long, text string")
-    table = chunks.withColumn("id", F.xxhash64("chunk_id"))
-    pool = search.payload_filter(table, where).withColumn("v", search.hash_embed(F.col("text")))
+    subs = [(q, s) for q, text in questions.items() for s in dict.fromkeys(expand_query(text))]
+    asked = spark.createDataFrame([(i, q, s) for i, (q, s) in enumerate(subs)], "sub_id long, question long, text string")
+    pool = search.payload_filter(chunks.withColumn("id", F.col("chunk_id")), where).withColumn("v", search.hash_embed(F.col("text")))
     found = search.hybrid(
         pool.select("id", "text"), pool.select("id", "v"), asked.select(F.col("sub_id").alias("query_id"), "text").withColumn("v", search.hash_embed(F.col("text"))),
         params.n_results, params.n_results, params.rrf_k,
     )
-    fused = search.rrf(found.withColumn("query_id", F.expr("query_id div 1000")).select("query_id", "id", "rank"), params.rrf_k)
+    lists = found.withColumnRenamed("query_id", "sub_id").join(F.broadcast(asked), "sub_id").select(F.col("question").alias("query_id"), "id", "rank")  # a row per sub-query
+    fused = search.rrf(lists, params.rrf_k)
     top = search.ranked(fused, max(params.n_results, params.top_k))
-    seeds = top.join(table.select("id", "chunk_id", "source_id"), "id").select("query_id", "chunk_id", "source_id", "score")
+    seeds = top.withColumnRenamed("id", "chunk_id").join(chunks.select("chunk_id", "source_id"), "chunk_id").select("query_id", "chunk_id", "source_id", "score")
     if edges is not None and params.hops:
-        parts = [G.expand(seeds.where(F.col("query_id") == q).drop("query_id"), edges, chunks, params.hops, params.per_source, params.decay).withColumn("query_id", F.lit(q).cast("long")) for q in questions]
-        seeds = parts[0]
-        for p in parts[1:]:
-            seeds = seeds.unionByName(p)
+        seeds = G.expand(seeds, edges, chunks, params.hops, params.per_source, params.decay)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    ranked = seeds.withColumn("rank", F.row_number().over(w)).drop("source_id")
+    ranked = seeds.select("query_id", "chunk_id", "score").withColumn("rank", F.row_number().over(w))
     texts = spark.createDataFrame(list(questions.items()), "query_id long, query string")
     full = ranked.join(chunks, "chunk_id").join(F.broadcast(texts), "query_id").withColumn("id", F.col("chunk_id"))  # one row per question
 
@@ -83,14 +80,19 @@ def context_block(hits: DataFrame) -> DataFrame:
     return rows.select("query_id", F.array_join(F.transform("b", lambda x: x["b"]), "\n---\n").alias("context"))
 
 
-def cite_only(hits: list[tuple[str, str, float]]) -> str:
-    """(source, text, score) as a numbered preview without a model."""
+def _line(source: str, score: float) -> str:
+    return f"{source} [{score:.3f}]"
+
+
+def cite_only(hits: list[tuple[str, str, float]], width: int = 200) -> str:
+    """(source, text, score) as a numbered list of sources with the start of each text, for when no model is asked."""
     if not hits:
-        return "No relevant chunks found."
-    lines = [f"{i}. `{s}` (score {x:.3f})\n    > {t[:240]}" for i, (s, t, x) in enumerate(((s, t.replace("\n", " "), x) for s, t, x in hits), 1)]
-    return "\n".join([f"Top {len(hits)} chunk(s):", "", *lines])
+        return "Nothing was found."
+    shown = (" ".join(text.split())[:width] for _, text, _ in hits)
+    return "\n".join(f"{n}. {_line(source, score)}: {start}" for n, ((source, _, score), start) in enumerate(zip(hits, shown, strict=True), 1))
 
 
 def dry_run(hits: list[tuple[str, str, float]], path: str = "retrieve", iterations: int = 0) -> str:
-    head = f"**Dry run** — retrieval ran, no synthesis was performed.\n\npath: `{path}`  iterations: {iterations}\n\n{len(hits)} chunk(s) would have been sent to the LLM:\n\n"
-    return head + "\n".join(f"- `{s}` (score {x:.3f})" for s, _, x in hits)
+    """What a model would have been given, without asking it: the way taken and the sources."""
+    lines = [f"No model was asked. Way taken: {path}; rounds: {iterations}; passages found: {len(hits)}."]
+    return "\n".join(lines + [f"* {_line(source, score)}" for source, _, score in hits])

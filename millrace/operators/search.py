@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime
+from functools import reduce
 from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import let
+from millrace.session import small_batches, written
 
-#: Queries of one pass over the vectors; more take more passes.
+#: Queries of one pass over the texts or vectors, and their tokens or components; more take more passes.
 QUERY_ROWS = 8192
+QUERY_TOKENS = 2_000_000
+#: Numbers in one matrix of a Python worker.
+TILE = 1 << 21
 
 
 class Scorer(Protocol):
@@ -82,54 +88,148 @@ def payload_filter(df: DataFrame, where: dict[str, Any] | None) -> DataFrame:
     return df
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", digits: int = 6) -> DataFrame:
+def best_of(scores: np.ndarray, k: int, above: float = -math.inf) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k largest scores over a bound; ties go to the smaller column."""
+    n = scores.shape[1]
+    chosen = scores > above
+    if n > k:
+        chosen &= scores >= np.partition(scores, n - k, axis=1)[:, n - k, None]
+    i, j = np.nonzero(chosen)
+    order = np.lexsort((j, -scores[i, j], i))
+    i, j = i[order], j[order]
+    first = np.searchsorted(i, i)
+    top = np.arange(len(i)) - first < k
+    return i[top], j[top]
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    """Ids as an array that sorts as they do: numbers, or strings by code point."""
+    return np.array(column.to_pylist(), str) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.to_numpy(zero_copy_only=False)
+
+
+def _in_passes(base: DataFrame, asked: DataFrame, scan: Callable[[list], DataFrame], weight: Callable[[Row], int], most: int, schema: str) -> DataFrame:
+    """The union of scan(rows) over blocks of asked, each of at most QUERY_ROWS rows and about `most` in weight."""
+    passes, held, load = [], [], 0
+    for row in asked.toLocalIterator():
+        held.append(row)
+        load += weight(row)
+        if len(held) == QUERY_ROWS or load >= most:
+            passes.append(scan(held))
+            held, load = [], 0
+    if held:
+        passes.append(scan(held))
+    return reduce(DataFrame.unionByName, passes) if passes else base.sparkSession.createDataFrame([], schema)
+
+
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", digits: int | None = None) -> DataFrame:
     """The k vectors of largest inner product for each query: query_id, rank, id, score.
 
-    Queries are taken some thousands at a time; each pass reads the vectors once, keeps k
-    in each batch, and one window over those ranks them. Ties go to the smaller id.
+    Ids are numbers or strings. Queries are taken some thousands at a time; each pass
+    reads the vectors once, multiplies tiles of bounded size, keeps k of each batch, and
+    one window over those ranks them. Ties go to the smaller id. digits: scores are
+    rounded before they are ranked.
     """
-    spark = vectors.sparkSession
+    spark = small_batches(vectors.sparkSession)
     asked = queries.select(F.col(id_col).alias("q"), F.col(vec_col).alias("v")).where(F.col("v").isNotNull())
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where(F.col("v").isNotNull())
-    passes, held = [], []
+    base = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where(F.col("v").isNotNull())
+    schema = f"query_id {asked.schema['q'].dataType.simpleString()}, id {base.schema['id'].dataType.simpleString()}, score double"
 
     def scan(block: list) -> DataFrame:
-        ids = np.array([r["q"] for r in block], np.int64)
-        matrix = np.array([r["v"] for r in block], np.float64)
-        shared = spark.sparkContext.broadcast((ids, matrix))  # at most QUERY_ROWS queries
+        shared = spark.sparkContext.broadcast((np.array([r["q"] for r in block]), np.array([r["v"] for r in block], np.float64)))  # at most QUERY_ROWS queries
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qid, qs = shared.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                bid = batch.column(0).to_numpy(zero_copy_only=False)
+                ids = _ids(batch.column(0))
                 x = np.array(batch.column(1).to_pylist(), np.float64)
-                order = np.argsort(bid, kind="stable")
-                bid, x = bid[order], x[order]
-                s = np.round(qs @ x.T, digits)
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                n = top.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(qid, n)), pa.array(bid[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel())], ["query_id", "id", "score"]
-                )
-
-        return base.mapInArrow(run, "query_id long, id long, score double")
-
-    few = asked.limit(QUERY_ROWS + 1).collect()
-    for row in few if len(few) <= QUERY_ROWS else asked.toLocalIterator():
-        held.append(row)
-        if len(held) == QUERY_ROWS:
-            passes.append(scan(held))
-            held = []
-    if held:
-        passes.append(scan(held))
-    if not passes:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    found = passes[0]
-    for more in passes[1:]:
-        found = found.unionByName(more)
-    return ranked(found, k)
+                order = np.argsort(ids, kind="stable")
+                ids, x = ids[order], x[order]
+                step = max(1, TILE // len(x))
+                for at in range(0, len(qs), step):
+                    s = qs[at : at + step] @ x.T
+                    if digits is not None:
+                        s = np.round(s, digits)
+                    i, j = best_of(s, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[at + i].tolist()), pa.array(ids[j].tolist()), pa.array(s[i, j])], ["query_id", "id", "score"])
+
+        return base.mapInArrow(run, schema)
+
+    return ranked(_in_passes(base, asked, scan, lambda r: len(r["v"]), QUERY_TOKENS, schema), k)
+
+
+def lexical_topk(docs: DataFrame, queries: DataFrame, k: int, weighted: bool = True, digits: int | None = None) -> DataFrame:
+    """The k texts that share most with each query: query_id, rank, id, score. docs (id, text), queries (query_id, text).
+
+    The score is the number of distinct tokens that query and text share, or with
+    weighted the sum of their idf over docs; texts that share nothing are no hits.
+    Queries and texts are taken whole. Blocks of queries meet every batch of texts in
+    tiles of bounded size and leave k hits of each, so a word that all texts have makes
+    no pairs to shuffle. Ties go to the smaller id. digits: scores are rounded before
+    they are ranked.
+    """
+    spark = small_batches(docs.sparkSession)
+    base = docs.select("id", F.array_distinct(tokens(F.col("text"))).alias("t")).where(F.size("t") > 0)
+    asked = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("t")).where(F.size("t") > 0)
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {base.schema['id'].dataType.simpleString()}, score double"
+    if weighted:
+        base = written(base, "lexical-tokens")  # read twice
+        wanted = asked.select(F.explode("t").alias("token")).distinct()
+        seen = base.select(F.explode("t").alias("token")).join(small_side(wanted), "token", "left_semi")
+        idf = written(with_idf(seen, docs.count()), "lexical-idf")
+        words = asked.select("query_id", F.explode("t").alias("token")).join(small_side(idf), "token")
+        asked = words.groupBy("query_id").agg(F.collect_list("token").alias("t"), F.collect_list("idf").alias("w"))  # one query's tokens
+
+    def scan(block: list) -> DataFrame:
+        vocabulary = sorted({t for r in block for t in r["t"]})
+        at = {t: i for i, t in enumerate(vocabulary)}
+        sizes = np.array([len(r["t"]) for r in block])
+        token = np.array([at[t] for r in block for t in r["t"]], np.int64)
+        weight = np.array([w for r in block for w in r["w"]]) if weighted else np.ones(len(token))
+        shared = spark.sparkContext.broadcast((np.array([r["query_id"] for r in block]), vocabulary, np.append(0, np.cumsum(sizes)), token, weight))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qid, vocabulary, start, token, weight = shared.value
+            known = pa.array(vocabulary, pa.string())
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids, lists = _ids(batch.column(0)), batch.column(1)
+                cell = pc.fill_null(pc.index_in(lists.flatten().cast(pa.string()), value_set=known), -1).to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(len(ids)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                order = np.argsort(ids, kind="stable")
+                place = np.empty(len(ids), np.int64)
+                place[order] = np.arange(len(ids))
+                held = cell >= 0
+                cell, owner = cell[held], place[owner[held]]
+                by = np.argsort(owner, kind="stable")
+                cell, owner = cell[by], owner[by]
+                if not len(cell):
+                    continue
+                used, cell = np.unique(cell, return_inverse=True)
+                row_of = np.full(len(vocabulary), -1)
+                row_of[used] = np.arange(len(used))
+                step = max(1, min(TILE // len(used), TILE // len(ids)))
+                for a in range(0, len(qid), step):
+                    b = min(a + step, len(qid))
+                    mine = slice(start[a], start[b])
+                    row = row_of[token[mine]]
+                    q = np.repeat(np.arange(b - a), np.diff(start[a : b + 1]))
+                    table = np.zeros((len(used), b - a))
+                    table[row[row >= 0], q[row >= 0]] = weight[mine][row >= 0]
+                    s = np.zeros((len(ids), b - a))
+                    piece = max(1, TILE // (b - a))
+                    for lo in range(0, len(cell), piece):
+                        docs_, first = np.unique(owner[lo : lo + piece], return_index=True)
+                        s[docs_] += np.add.reduceat(table[cell[lo : lo + piece]], first, axis=0)
+                    s = s.T if digits is None else np.round(s.T, digits)
+                    i, j = best_of(s, k, 0.0)
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[a + i].tolist()), pa.array(ids[order][j].tolist()), pa.array(s[i, j])], ["query_id", "id", "score"])
+
+        return base.mapInArrow(run, schema)
+
+    return ranked(_in_passes(base, asked, scan, lambda r: len(r["t"]), QUERY_TOKENS, schema), k)
 
 
 def ranked(hits: DataFrame, k: int, score: str = "score", group: str = "query_id", tie: str = "id") -> DataFrame:
@@ -139,9 +239,53 @@ def ranked(hits: DataFrame, k: int, score: str = "score", group: str = "query_id
 
 
 def sign_bits(v: Column) -> Column:
-    """One long of sign bits for a vector of at most 64 components."""
-    bits = F.transform(v, lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
+    """The signs of a vector's components, packed into longs of 64 bits; the last one is filled up with zeros."""
+    bits = F.transform(v, lambda x: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L")))
+    word = lambda i: F.aggregate(F.slice(bits, i * 64 + 1, 64), F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / 64).cast("int") - 1), word)
+
+
+def hamming(a: Column, b: Column) -> Column:
+    """Bits in which two packed sign vectors differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+
+
+def quantised_topk(vectors: DataFrame, queries: DataFrame, k: int, oversampling: float = 2.0, id_col: str = "vec_id", vec_col: str = "embedding", digits: int | None = None) -> DataFrame:
+    """As dense_topk, but over packed sign bits: the nearest by Hamming distance, oversampling times k, are scored exactly.
+
+    Signs take a 64th of the memory of the vectors; only their words are broadcast and compared.
+    """
+    spark = small_batches(vectors.sparkSession)
+    words = vectors.select(F.col(id_col).alias("id"), sign_bits(F.col(vec_col)).alias("b")).where(F.col(vec_col).isNotNull())
+    asked = queries.select(F.col(id_col).alias("q"), sign_bits(F.col(vec_col)).alias("b")).where(F.col(vec_col).isNotNull())
+    schema = f"query_id {asked.schema['q'].dataType.simpleString()}, id {words.schema['id'].dataType.simpleString()}, score double"
+    wide = math.ceil(oversampling * k)
+
+    def scan(block: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast((np.array([r["q"] for r in block]), np.array([r["b"] for r in block], np.int64).view(np.uint64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qid, qs = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids = _ids(batch.column(0))
+                order = np.argsort(ids, kind="stable")
+                ids, x = ids[order], np.array(batch.column(1).to_pylist(), np.int64)[order].view(np.uint64)
+                step = max(1, TILE // len(x))
+                for at in range(0, len(qs), step):
+                    apart = sum(np.bitwise_count(qs[at : at + step, None, w] ^ x[None, :, w]).astype(np.float64) for w in range(x.shape[1]))
+                    i, j = best_of(-apart, wide)
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[at + i].tolist()), pa.array(ids[j].tolist()), pa.array(-apart[i, j])], ["query_id", "id", "score"])
+
+        return words.mapInArrow(run, schema)
+
+    near = ranked(_in_passes(words, asked, scan, lambda r: len(r["b"]), QUERY_TOKENS, schema), wide)
+    q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("_q"))
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v"))
+    dot = F.aggregate(F.zip_with("_q", "_v", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    score = dot if digits is None else F.round(dot, digits)
+    return ranked(near.select("query_id", "id").join(q, "query_id").join(v, "id").select("query_id", "id", score.alias("score")), k)
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -176,15 +320,13 @@ def rerank(pool: DataFrame, scorer: Scorer, query: Column, text: Column, top_n:
     return scored.withColumn("final_rank", F.row_number().over(w)).where(F.col("final_rank") <= top_k)
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, n_results: int = 50, top_k: int = 8, k: int = 60, query_words: int = 20) -> DataFrame:
+def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, n_results: int = 50, top_k: int = 8, k: int = 60, weighted: bool = False, digits: int | None = None) -> DataFrame:
     """Dense and lexical lists of each query, fused: query_id, rank, id, score.
 
-    docs (id, text), vectors (id, v), queries (query_id, text, v). The lexical score is
-    the count of distinct tokens shared with the query's first query_words tokens.
+    docs (id, text), vectors (id, v), queries (query_id, text, v). weighted and digits as in
+    lexical_topk; fused scores are rounded to 9 digits.
     """
-    dense = dense_topk(vectors, queries.select(F.col("query_id").alias("id"), "v"), n_results, "id", "v").select("query_id", "id", "rank")
-    asked = queries.select("query_id", F.explode(F.array_distinct(F.slice(tokens(F.col("text")), 1, query_words))).alias("token"))
-    shared = postings(docs, "id", "text").join(small_side(asked), "token").groupBy("query_id", "id").agg(F.count("*").alias("score"))
-    lexical = ranked(shared, n_results).select("query_id", "id", "rank")
+    dense = dense_topk(vectors, queries.select(F.col("query_id").alias("id"), "v"), n_results, "id", "v", digits).select("query_id", "id", "rank")
+    lexical = lexical_topk(docs, queries.select("query_id", "text"), n_results, weighted, digits).select("query_id", "id", "rank")
     fused = rrf(dense.unionByName(lexical), k).withColumn("score", F.round("score", 9))
     return ranked(fused, top_k)

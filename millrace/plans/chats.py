@@ -80,15 +80,15 @@ def q_memory_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {MEMORY}, k AS (SELECT conv_id * 10000 + turn AS id, list_filter(regexp_split_to_array(lower(memory), '\\s+'), lambda t: t <> '') AS t FROM m),
-    p AS (SELECT DISTINCT id, unnest(t) AS token FROM k), q AS (SELECT DISTINCT id AS query_id, unnest(list_slice(t, 1, 12)) AS token FROM k WHERE id % 50 = 0),
+    p AS (SELECT DISTINCT id, unnest(t) AS token FROM k), q AS (SELECT DISTINCT id AS query_id, unnest(t) AS token FROM k WHERE id % 50 = 0),
     s AS (SELECT query_id, id, count(*) AS score FROM q JOIN p USING (token) WHERE id <> query_id GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
     SELECT query_id, CAST(rank AS INT) AS rank, id, score FROM r WHERE rank <= 3""")
 def q_memory_recall(spark: SparkSession, sf: str) -> DataFrame:
-    m = chat.memory_pairs(talks(spark, sf)).select((F.col("conv_id") * 10000 + F.col("turn")).alias("id"), "memory")
-    q = m.where(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), F.explode(F.array_distinct(F.slice(search.tokens(F.col("memory")), 1, 12))).alias("token"))
-    hits = search.postings(m, "id", "memory").join(search.small_side(q), "token").where("id <> query_id").groupBy("query_id", "id").agg(F.count("*").alias("score"))
-    return search.ranked(hits, 3)
+    m = chat.memory_pairs(talks(spark, sf)).select((F.col("conv_id") * 10000 + F.col("turn")).alias("id"), F.col("memory").alias("text"))
+    q = m.where(F.col("id") % 50 == 0).withColumnRenamed("id", "query_id")
+    hits = search.lexical_topk(m, q, 4, weighted=False).where("id <> query_id")  # one more, for the query itself
+    return search.ranked(hits.withColumn("score", F.col("score").cast("long")), 3)
 
 
 @query("SELECT doc_id, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 3 AS INT) AS set FROM documents")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,23 +41,19 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {DENSE} SELECT query_id, CAST(rank AS INT) AS rank, id, score FROM dense WHERE rank <= 10")
 def q_dense_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return search.dense_topk(table(spark, sf, "embeddings"), asked(spark, sf), 10)
+    return search.dense_topk(table(spark, sf, "embeddings"), asked(spark, sf), 10, digits=6)
 
 
-@query()
+@query(f"""WITH b AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings),
+    h AS (SELECT q.vec_id AS query_id, v.vec_id AS id, q.embedding AS a, v.embedding AS e, list_sum([CAST(q.s[i] <> v.s[i] AS INT) for i in generate_series(1, len(q.s))]) AS apart
+          FROM b q, b v WHERE q.vec_id % {EVERY} = 0),
+    n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY apart, id) AS near FROM h),
+    x AS (SELECT query_id, id, round(list_sum([CAST(a[i] AS DOUBLE) * e[i] for i in generate_series(1, len(a))]), 6) AS score FROM n WHERE near <= 20),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x)
+    SELECT query_id, CAST(rank AS INT) AS rank, id, score FROM r WHERE rank <= 10""")
 def q_quant_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Sign bits first, twice as many as asked for, then exact scores."""
-    return quantised(table(spark, sf, "embeddings"), asked(spark, sf), 10)
-
-
-def quantised(vectors: DataFrame, queries: DataFrame, k: int, oversampling: float = 2.0) -> DataFrame:
-    signs = lambda df: df.select("vec_id", F.transform("embedding", lambda x: F.when(x > 0, 1.0).otherwise(-1.0)).alias("embedding"))
-    near = search.dense_topk(signs(vectors), signs(queries), math.ceil(oversampling * k))  # inner product of signs: dim - 2 Hamming
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    v = vectors.select(F.col("vec_id").alias("id"), "embedding")
-    dot = F.aggregate(F.zip_with("qv", "embedding", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    exact = near.select("query_id", "id").join(q, "query_id").join(v, "id").select("query_id", "id", F.round(dot, 6).alias("score"))
-    return search.ranked(exact, k)
+    return search.quantised_topk(table(spark, sf, "embeddings"), asked(spark, sf), 10, digits=6)
 
 
 TOKENS = r"list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '')"
@@ -68,19 +62,13 @@ SPARSE = f"""
     idf AS (SELECT token, ln(((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM post GROUP BY token)"""
 
 
-@query(f"""WITH {SPARSE}, q AS (SELECT DISTINCT doc_id AS query_id, unnest(list_slice({TOKENS}, 1, 20)) AS token FROM documents WHERE doc_id % {EVERY} = 0),
+@query(f"""WITH {SPARSE}, q AS (SELECT DISTINCT doc_id AS query_id, unnest({TOKENS}) AS token FROM documents WHERE doc_id % {EVERY} = 0),
     s AS (SELECT query_id, id, round(sum(idf), 6) AS score FROM q JOIN post USING (token) JOIN idf USING (token) GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
     SELECT query_id, CAST(rank AS INT) AS rank, id, score FROM r WHERE rank <= 10""")
 def q_sparse_topk(spark: SparkSession, sf: str) -> DataFrame:
-    d = docs(spark, sf)
-    q = d.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(F.slice(search.tokens(F.col("text")), 1, 20))).alias("token"))
-    post = search.postings(d, "doc_id", "text")
-    # Only tokens that are asked for need a weight; the rest of the postings never leave their partition.
-    hit = post.join(search.small_side(q.select("token").distinct()), "token", "left_semi")
-    idf = search.with_idf(hit, d.count())
-    scored = q.join(idf, "token").join(hit, "token").groupBy("query_id", "id").agg(F.round(F.sum("idf"), 6).alias("score"))
-    return search.ranked(scored, 10)
+    d = docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    return search.lexical_topk(d, d.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "query_id"), 10, digits=6)
 
 
 @query(f"""WITH t AS (SELECT doc_id, unnest({TOKENS}) AS t FROM documents), c AS (SELECT doc_id, instr('0123456789abcdef', right(md5(t), 1)) - 1 AS b, count(*) AS n FROM t GROUP BY ALL)
@@ -96,7 +84,7 @@ HYBRID = f"""
           FROM j q, j v WHERE q.id % {EVERY} = 0),
     dl AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p),
     post AS (SELECT DISTINCT id, unnest({TOKENS}) AS token FROM j),
-    qt AS (SELECT DISTINCT id AS query_id, unnest(list_slice({TOKENS}, 1, 20)) AS token FROM j WHERE id % {EVERY} = 0),
+    qt AS (SELECT DISTINCT id AS query_id, unnest({TOKENS}) AS token FROM j WHERE id % {EVERY} = 0),
     ls AS (SELECT query_id, id, count(*) AS score FROM qt JOIN post USING (token) GROUP BY ALL),
     ll AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ls),
     f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM dl WHERE rank <= 50 UNION ALL SELECT * FROM ll WHERE rank <= 50) GROUP BY ALL),
@@ -105,9 +93,10 @@ HYBRID = f"""
 
 @query(f"WITH {HYBRID} SELECT query_id, CAST(rank AS INT) AS rank, id, score FROM r WHERE rank <= 8")
 def q_hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    j = docs(spark, sf).join(table(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("id"), "text", F.col("embedding").alias("v"))
-    q = j.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), "text", "v")
-    return search.hybrid(j.select("id", "text"), j.select("id", "v"), q)
+    d, e = docs(spark, sf).select(F.col("doc_id").alias("id"), "text"), table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    d, v = d.join(search.small_side(e.select("id")), "id", "left_semi"), e.join(search.small_side(d.select("id")), "id", "left_semi")
+    q = d.where(F.col("id") % EVERY == 0).join(v.where(F.col("id") % EVERY == 0), "id").withColumnRenamed("id", "query_id")
+    return search.hybrid(d, v, q, digits=6)
 
 
 @query(f"""WITH {DENSE}, f AS (SELECT query_id // 100 AS query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM dense WHERE rank <= 50 GROUP BY ALL),
@@ -115,7 +104,7 @@ def q_hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
     SELECT query_id, CAST(rank AS INT) AS rank, id, score FROM r WHERE rank <= 10""")
 def q_multi_query_rrf(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbouring queries are sub-queries of one question; their lists are fused."""
-    lists = search.dense_topk(table(spark, sf, "embeddings"), asked(spark, sf), 50).select(F.expr("query_id div 100").alias("query_id"), "id", "rank")
+    lists = search.dense_topk(table(spark, sf, "embeddings"), asked(spark, sf), 50, digits=6).select(F.expr("query_id div 100").alias("query_id"), "id", "rank")
     return search.ranked(search.rrf(lists).withColumn("score", F.round("score", 9)), 10)
 
 
@@ -152,7 +141,7 @@ for _unit in ("day", "week", "month", "year"):
 
 
 @query(f"""WITH j AS (SELECT doc_id AS id, {TOKENS} AS t FROM documents), {SPARSE.replace('post AS', 'post2 AS').replace('FROM post ', 'FROM post2 ')},
-    q AS (SELECT id AS query_id, list_distinct(list_slice(t, 1, 20)) AS qt FROM j WHERE id % {EVERY} = 0),
+    q AS (SELECT id AS query_id, list_distinct(t) AS qt FROM j WHERE id % {EVERY} = 0),
     qx AS (SELECT query_id, unnest(qt) AS token FROM q),
     s AS (SELECT query_id, id, round(sum(idf), 6) AS score FROM qx JOIN post2 USING (token) JOIN idf USING (token) GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s),
@@ -162,7 +151,7 @@ for _unit in ("day", "week", "month", "year"):
     SELECT query_id, id, CAST(final_rank AS INT) AS final_rank, rr AS rerank_score FROM f WHERE final_rank <= 8""")
 def q_rerank_pool(spark: SparkSession, sf: str) -> DataFrame:
     d = docs(spark, sf)
-    q = d.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(search.tokens(F.col("text")), 1, 20), " ").alias("query"))
+    q = d.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     pool = q_sparse_topk(spark, sf).join(d.select(F.col("doc_id").alias("id"), "text"), "id").join(q, "query_id")
     scorer = lambda a, b: F.round(search.overlap_scorer(a, b), 6)
     return search.rerank(pool, scorer, F.col("query"), F.col("text"), 5, 8).select("query_id", "id", "final_rank", "rerank_score")
@@ -284,7 +273,7 @@ def token_vectors(column: str) -> Column:
 def q_maxsim_rerank(spark: SparkSession, sf: str) -> DataFrame:
     """Late interaction over the token vectors of a dense pool."""
     v = table(spark, sf, "embeddings").select("vec_id", token_vectors("embedding").alias("t"))
-    pool = search.dense_topk(table(spark, sf, "embeddings"), asked(spark, sf), 20).select("query_id", "id", "rank")
+    pool = search.dense_topk(table(spark, sf, "embeddings"), asked(spark, sf), 20, digits=6).select("query_id", "id", "rank")
     full = pool.join(v.select(F.col("vec_id").alias("id"), F.col("t").alias("text")), "id").join(v.select(F.col("vec_id").alias("query_id"), F.col("t").alias("query")), "query_id")
     scorer = lambda a, b: F.round(search.max_sim(a, b), 6)
     return search.rerank(full, scorer, F.col("query"), F.col("text"), 20, 8).select("query_id", "id", "final_rank", "rerank_score")

@@ -124,3 +124,12 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder now."""
     fs, at = _folder(spark, path)
     fs.delete(at, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder until the driver ends, and read back."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
+    until_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)

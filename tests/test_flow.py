@@ -54,7 +54,7 @@ def test_agent():
     critic = lambda q, d: ("revise", "better")
     a = agent.Agent(find, critic=critic, max_revisions=1)
     assert a.ask("what is s").iterations == 2 and asked == ["what is s", "better"] and len(a.history) == 2
-    assert a.ask("/cite s").text == "Top 1 chunk(s):\n\n1. `s` (score 0.500)\n    > text of s" and "would have been sent" in a.ask("/dry s").text
+    assert a.ask("/cite s").text == "1. s [0.500]: text of s" and a.ask("/dry s").text.splitlines()[1:] == ["* s [0.500]"]
     assert a.ask("/help").path == "help" and a.ask("hello").path == "direct" and a.ask("/web x").path == "web"
     assert [k for k, _ in a.stream("hello")][-1] == "done"
     assert agent.verdict('x {"best": 1, "score": 0.5} y') == (1, 0.5, "") and agent.verdict("no") == (0, 0.0, "")
