@@ -7,6 +7,7 @@ import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from millrace.operators import search
 from millrace.operators.chat import TextModel, round_robin, route_from_critic, template_model
 from millrace.operators.retrieve import cite_only, dry_run
 from millrace.operators.state import Store
+from millrace.ops import append_section
 
 Hits = list[tuple[str, str, float]]
 COMMANDS = {"search": "search", "kb": "search", "vault": "search", "web": "web", "cite": "cite", "citations": "cite", "dry-run": "dry_run", "dry_run": "dry_run", "dry": "dry_run", "h": "help", "help": "help", "?": "help"}
@@ -186,3 +188,18 @@ class Schedules:
 
     def delete(self, name: str) -> bool:
         return self.store.delete(self.spark.createDataFrame([(name,)], "name string")) > 0
+
+    def run_due(self, now: str, answer: Callable[[str], str]) -> list[tuple[str, str | None]]:
+        """Answer every query that is due, append it to its file and mark it: (name, error or None), oldest first.
+
+        One that fails is reported, not marked, and comes again; the others run.
+        """
+        out = []
+        for row in self.due(now).collect():  # a person's schedules
+            try:
+                append_section(row["out_path"], row["name"], answer(row["query"]), datetime.fromisoformat(now))
+                self.mark(row["name"], now)
+                out.append((row["name"], None))
+            except Exception as e:
+                out.append((row["name"], str(e)))
+        return out

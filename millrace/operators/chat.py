@@ -87,6 +87,21 @@ def summarise(chunks: DataFrame, group: str, model: TextModel = template_model,
     return joined.select(group, F.size("n").alias("chunks"), note(text).alias("summary"))
 
 
+def summarise_where(chunks: DataFrame, source_id: str | None = None, tag: str | None = None, source_type: str | None = None, model: TextModel = template_model, per_group: int = 200) -> DataFrame:
+    """One summary of what is asked for: the chunks of a source, of those with a tag, or of a type; all if nothing is named.
+
+    chunks: source_id, chunk_index, title, text, tags, source_type. Returns topic, chunks and summary; no rows where nothing fits.
+    """
+    for name, value in (("source_id", source_id), ("source_type", source_type)):
+        if value is not None:
+            chunks = chunks.where(F.col(name) == value)
+    if tag is not None:
+        chunks = chunks.where(F.array_contains("tags", tag.lstrip("#")))
+    topic = source_id or (f"#{tag.lstrip('#')}" if tag else None) or source_type or "all"
+    rows = chunks.select(F.lit(topic).alias("topic"), F.struct("source_id", "chunk_index").alias("pos"), "title", "text")
+    return summarise(rows, "topic", model, per_group)
+
+
 def hit_rate(expected: DataFrame, found: DataFrame, item: str, want: str, have: str) -> DataFrame:
     """Share of each item's expected strings that are part of one of its found ones; 1 where none is expected.
 

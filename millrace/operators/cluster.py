@@ -12,6 +12,7 @@ from millrace.session import shared_dir
 
 from .chat import TextModel, excerpt_budget, template_model
 from .search import hash_embed
+from .state import Store
 
 #: What stands between the members' texts.
 RULE = "\n\n---\n\n"
@@ -90,3 +91,18 @@ def community_nodes(found: DataFrame, chunks: DataFrame, model: TextModel = temp
     told = excerpts.select("community", F.pandas_udf(lambda s: s.map(model), "string")("excerpt").alias("text")).where(F.trim("text") != "")
     title = F.concat(F.lit("Community of "), F.col("size").cast("string"), F.lit(" notes"))
     return found.join(told, "community").select(F.col("community").alias("source_id"), title.alias("title"), "text", F.col("members").alias("member_sources"))
+
+
+#: First parts of the ids of made nodes.
+TREE, COMMUNITY = "raptor:", "community:"
+
+
+def replace_made(store: Store, made: DataFrame | None, prefix: str) -> int:
+    """Put made nodes into a store in place of all that have the prefix, in one switch; None or no rows delete them. Returns how many went."""
+    held = store.read()
+    old = F.col("source_id").startswith(prefix)
+    n = held.where(old).count()
+    rest = held.where(~old)
+    if n or made is not None:
+        store.write(rest if made is None else rest.unionByName(made.select(*rest.columns)))
+    return n

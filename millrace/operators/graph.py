@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.session import shared_dir
+from millrace.session import shared_dir, written
 
 
 def title_index(notes: DataFrame) -> DataFrame:
@@ -61,10 +61,77 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def communities(edges: DataFrame, min_size: int = 4, most: int = 64) -> DataFrame:
-    """Components of at least min_size, the largest first, at most `most`: community, size, members (sorted)."""
-    sized = components(edges).groupBy("root").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node")).alias("members")).where(F.col("size") >= min_size)
-    top = sized.orderBy(F.desc("size"), "root").limit(most)
+def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> float:
+    """Modularity of a partition (node, community) of an undirected graph given by edges (src, dst)."""
+    both = undirected(edges).withColumn("w", F.lit(1.0))
+    own = both.join(labels.select(F.col("node").alias("src"), F.col("community").alias("a")), "src").join(labels.select(F.col("node").alias("dst"), F.col("community").alias("b")), "dst")
+    total = both.count()
+    if not total:
+        return 0.0
+    inside = own.where("a = b").count() / total
+    degree = own.groupBy("a").agg(F.sum("w").alias("k")).agg(F.sum((F.col("k") / total) ** 2)).first()[0]
+    return inside - resolution * degree
+
+
+def _moved(edges: DataFrame, resolution: float, seed: int, sweeps: int) -> DataFrame:
+    """node and community after sweeps of local moves. edges (u, v, w): both directions, loops once with their double weight.
+
+    In a sweep about half of the nodes, by a seeded hash and in turn, go to the neighbouring
+    community of largest gain; all decide on the same state, which aggregates hold.
+    """
+    degree = edges.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k"))
+    total = degree.agg(F.sum("k")).first()[0]
+    state = written(degree.withColumn("community", F.col("node")), "louvain")
+    quiet = 0
+    for sweep in range(sweeps):
+        sums = state.groupBy("community").agg(F.sum("k").alias("tot"), F.count("*").alias("n"))
+        links = edges.where("u <> v").join(state.select(F.col("node").alias("v"), "community"), "v").groupBy("u", "community").agg(F.sum("w").alias("into"))
+        at = state.select(F.col("node").alias("u"), "k", F.col("community").alias("own"))
+        every = links.unionByName(at.select("u", F.col("own").alias("community"), F.lit(0.0).alias("into"))).groupBy("u", "community").agg(F.sum("into").alias("into"))
+        rated = every.join(sums, "community").join(at.join(sums.select(F.col("community").alias("own"), F.col("n").alias("own_n")), "own"), "u")
+        # Of two nodes that are alone only the larger goes to the other: else they would swap.
+        rated = rated.where(~((F.col("n") == 1) & (F.col("own_n") == 1) & (F.col("community") > F.col("own"))))
+        rest = F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("into") - resolution * F.col("k") * rest / total, 9)
+        best = rated.withColumn("gain", gain).groupBy("u").agg(
+            F.max_by("community", F.struct("gain", (F.col("community") == F.col("own")).alias("stay"), F.negate(F.xxhash64("community")).alias("tie"))).alias("best"), F.first("k").alias("k"), F.first("own").alias("own")
+        )
+        turn = F.pmod(F.xxhash64(F.lit(seed), "u") + sweep, F.lit(2)) == 0
+        moved = written(best.select(F.col("u").alias("node"), "k", F.when(turn, F.col("best")).otherwise(F.col("own")).alias("community"), F.col("own").alias("was")), "louvain")
+        state = moved.drop("was")
+        quiet = quiet + 1 if moved.where("community <> was").isEmpty() else 0
+        if quiet == 2:  # either half has had its turn
+            break
+    return state.select("node", "community")
+
+
+def louvain(edges: DataFrame, resolution: float = 1.0, seed: int = 42, sweeps: int = 16, levels: int = 8) -> DataFrame:
+    """node and community (the smallest node in it) of an undirected graph, by Louvain's method.
+
+    Local moves by modularity gain, then communities become nodes, until nothing joins
+    any more. Larger resolutions give smaller communities; one seed gives one result.
+    Nodes without an edge are not there.
+    """
+    base = written(undirected(edges).where("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(1.0).alias("w")), "louvain")
+    labels = base.select(F.col("u").alias("node")).distinct().withColumn("community", F.col("node"))
+    now = base
+    for level in range(levels if not base.isEmpty() else 0):
+        found = _moved(now, resolution, seed + level, sweeps)
+        names = found.groupBy("community").agg(F.min("node").alias("least"))
+        found = written(found.join(names, "community").select("node", F.col("least").alias("community")), "louvain")
+        labels = written(labels.join(found.select(F.col("node").alias("community"), F.col("community").alias("to")), "community").select("node", F.col("to").alias("community")), "louvain")
+        if found.where("node <> community").isEmpty():
+            break
+        ends = now.join(found.select(F.col("node").alias("u"), F.col("community").alias("cu")), "u").join(found.select(F.col("node").alias("v"), F.col("community").alias("cv")), "v")
+        now = written(ends.groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")), "louvain")
+    least = labels.groupBy("community").agg(F.min("node").alias("least"))
+    return labels.join(least, "community").select("node", F.col("least").alias("community"))
+
+
+def communities(edges: DataFrame, min_size: int = 4, most: int = 64, resolution: float = 1.0, seed: int = 42) -> DataFrame:
+    """Louvain communities of at least min_size, the largest first, at most `most`: community, size, members (sorted)."""
+    sized = louvain(edges, resolution, seed).groupBy("community").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node")).alias("members")).where(F.col("size") >= min_size)
+    top = sized.orderBy(F.desc("size"), "community").limit(most)
     return top.select(F.concat(F.lit("community:"), F.substring(F.sha2(F.array_join("members", "|"), 256), 1, 12)).alias("community"), "size", "members")
 
 

@@ -27,6 +27,8 @@ class Params:
     per_source: int = 5
     decay: float = 0.5
     now: str = "2024-01-01 00:00:00"
+    weighted: bool = True
+    digits: int | None = None
 
 
 def retrieve(
@@ -50,7 +52,7 @@ def retrieve(
     pool = search.payload_filter(chunks.withColumn("id", F.col("chunk_id")), where).withColumn("v", search.hash_embed(F.col("text")))
     found = search.hybrid(
         pool.select("id", "text"), pool.select("id", "v"), asked.select(F.col("sub_id").alias("query_id"), "text").withColumn("v", search.hash_embed(F.col("text"))),
-        params.n_results, params.n_results, params.rrf_k,
+        params.n_results, params.n_results, params.rrf_k, params.weighted, params.digits,
     )
     lists = found.withColumnRenamed("query_id", "sub_id").join(F.broadcast(asked), "sub_id").select(F.col("question").alias("query_id"), "id", "rank")  # a row per sub-query
     fused = search.rrf(lists, params.rrf_k)

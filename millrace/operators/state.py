@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -93,6 +94,28 @@ def cache_lookup(chunks: DataFrame, cache: DataFrame) -> DataFrame:
     return chunks.join(known, "key", "left").withColumn("hit", F.col("context").isNotNull())
 
 
+def write_stamp(spark: SparkSession, path: str, model: str, dim: int, quantised: bool) -> None:
+    """Say beside an index with what it was built; written once, by the first to build it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_stamp.json")
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, False)
+    out.write(bytearray(json.dumps({"embed_model": model, "embed_dim": dim, "binary_quantization": quantised}).encode()))
+    out.close()
+
+
+def read_stamp(spark: SparkSession, path: str) -> dict | None:
+    """What write_stamp left at path; None if nothing."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/_stamp.json")
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    data = fs.open(at)
+    try:
+        return json.loads(bytes(sc._jvm.org.apache.commons.io.IOUtils.toByteArray(data)))
+    finally:
+        data.close()
+
+
 def check_stamp(stamp: dict | None, model: str, dim: int, quantised: bool) -> None:
     """Raise if an index was built with another model, dimension or quantisation."""
     want = {"embed_model": model, "embed_dim": dim, "binary_quantization": quantised}

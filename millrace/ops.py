@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
 import tarfile
 import tempfile
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -57,6 +59,36 @@ def load_golden(path: str) -> list[dict]:
     return [base | {"id": str(r["id"])} | {k: v for k, v in r.items() if k != "id" and v is not None} for r in rows]
 
 
+def run_eval(golden: list[dict], find: Callable[[str], list[tuple[str, str, float]]], answer: Callable[[str], str], top_k: int = 8) -> dict:
+    """Ask every golden question: per item hit rate of sources, share of strings in the answer, and their means.
+
+    find gives (source, text, score), answer the text. What is expected of no kind counts
+    as met. An item whose question raises is reported with the error and scores 0.
+    """
+    items = []
+    for g in golden:
+        question = g.get("question") or g["id"]
+        try:
+            hits, text = find(question)[:top_k], answer(question)
+        except Exception as e:  # one bad question must not end the run
+            items.append({"id": g["id"], "source_hit_rate": 0.0, "answer_hit_rate": 0.0, "error": str(e)})
+            continue
+        share = lambda wanted, there: sum(map(there, wanted)) / len(wanted) if wanted else 1.0
+        items.append({
+            "id": g["id"], "source_hit_rate": share(g["expected_sources"], lambda s, hits=hits: any(s in x for x, _, _ in hits)),
+            "answer_hit_rate": share(g["expected_answer_contains"], lambda s, text=text: s.lower() in text.lower()),
+        })
+    mean = lambda name: sum(x[name] for x in items) / len(items) if items else 0.0
+    return {"items": items, "n": len(items), "errors": sum("error" in x for x in items), "source_hit_rate": mean("source_hit_rate"), "answer_hit_rate": mean("answer_hit_rate")}
+
+
+def write_report(path: str, report: dict) -> None:
+    """A report as JSON; the file is put in place whole."""
+    with open(f"{path}.part", "w") as f:
+        json.dump(report, f, indent=1, ensure_ascii=False)
+    os.replace(f"{path}.part", path)
+
+
 def append_section(path: str, title: str, body: str, now: datetime) -> None:
     with open(path, "a") as f:
         f.write(f"\n## {title} ({now:%Y-%m-%d %H:%M})\n\n{body}\n")
