@@ -89,7 +89,7 @@ GENERATORS = {
     "key": (re.compile(r"(?<![A-Za-z0-9_])(?:[0-9a-f]{32,}+|[A-Za-z]{2,6}[-_][A-Za-z0-9_-]{16,}+|AKIA[0-9A-Z]{16}|[A-Za-z0-9+/]{40,}={0,2})(?![A-Za-z0-9_])"), None),
     "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), None),
     "ipv6": (_IPV6, re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f:]|::[0-9A-Fa-f]")),
-    "assigned": (re.compile(r"(?<![^\W_])(?:passw(?:or)?d|passwort|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\w*+[\"']?\s?[:=]\s?[\"']?([^\s\"',;<>]{6,}+)", re.I), re.compile("passw|pwd|secret|token|key|auth", re.I)),
+    "assigned": (re.compile(r"(?<![^\W_])(?:passw(?:or)?d|passwort|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\w*+[\"']?\s?[:=]\s?[\"']?([^\s\"',;<>]{6,}+)", re.I), re.compile(r"[:=]\s?[\"']?[^\s\"',;<>]{6}")),
     "jwt": (re.compile(r"(?<![\w-])eyJ[\w-]++\.[\w-]++\.[\w-]*+", re.A), re.compile("eyJ")),
     "pem": (re.compile(r"-----BEGIN [A-Z0-9 ]*+-----[^-]*+(?:-(?!----)[^-]*+)*+(?:-----END [A-Z0-9 ]*+-----)?"), re.compile("-----BEGIN ")),
 }
