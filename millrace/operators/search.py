@@ -330,3 +330,16 @@ def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, n_results: i
     lexical = lexical_topk(docs, queries.select("query_id", "text"), n_results, weighted, digits).select("query_id", "id", "rank")
     fused = rrf(dense.unionByName(lexical), k).withColumn("score", F.round("score", 9))
     return ranked(fused, top_k)
+
+
+def on_this_day(df: DataFrame, column: str, now: datetime | str) -> DataFrame:
+    """Rows whose date has the month and day of now, in an earlier year; the latest year first."""
+    at, today = F.col(column).cast("date"), F.lit(now).cast("timestamp").cast("date")
+    same = (F.month(at) == F.month(today)) & (F.dayofmonth(at) == F.dayofmonth(today)) & (F.year(at) < F.year(today))
+    return df.where(same).orderBy(F.desc(column))
+
+
+def similarity_graph(vectors: DataFrame, k: int = 5, at_least: float = 0.5, id_col: str = "vec_id", vec_col: str = "embedding", digits: int | None = None) -> DataFrame:
+    """Edges (src, dst, score) from each vector to its k nearest others whose inner product reaches at_least."""
+    found = dense_topk(vectors, vectors, k + 1, id_col, vec_col, digits).where("query_id <> id")
+    return ranked(found, k).where(F.col("score") >= at_least).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "score")

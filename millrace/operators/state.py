@@ -19,6 +19,11 @@ def delete_where_in(existing: DataFrame, gone: DataFrame, key: str) -> DataFrame
     return existing.join(gone.select(key).distinct(), key, "left_anti")
 
 
+def unknown(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
+    """The rows of new whose key is not there yet."""
+    return new.join(existing.select(key).distinct(), key, "left_anti")
+
+
 def sync_plan(snapshot: DataFrame, state: DataFrame, restrict: DataFrame | None = None) -> DataFrame:
     """source_id and action (add, change, delete, keep) from one full outer join of hashes.
 

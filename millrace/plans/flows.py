@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions import timehint
-from millrace.operators import chat, chunking, graph, ingest, retrieve, search
+from millrace.operators import chat, chunking, graph, ingest, retrieve, search, state
 from millrace.session import table
 
 from .ingest import docs, txt_id
@@ -211,3 +211,22 @@ def q_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as clean chunks without duplicates."""
     rows = docs(spark, sf).select(txt_id().alias("source_id"), F.col("source").alias("title"), F.col("text").alias("content"))
     return ingest.ingest(rows).select("chunk_id", "source_id", "chunk_index", F.length("text").alias("chars"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE month(o_orderdate) = 3 AND day(o_orderdate) = 15 AND year(o_orderdate) < 1998")
+def q_on_this_day(spark: SparkSession, sf: str) -> DataFrame:
+    return search.on_this_day(table(spark, sf, "orders"), "o_orderdate", "1998-03-15 12:00:00").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def q_exists_skip(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that the labels don't know yet."""
+    return state.unknown(docs(spark, sf), table(spark, sf, "labels"), "doc_id").select("doc_id")
+
+
+@query("""WITH p AS (SELECT q.vec_id AS src, v.vec_id AS dst, round(list_sum([CAST(q.embedding[i] AS DOUBLE) * v.embedding[i] for i in generate_series(1, len(q.embedding))]), 6) AS score
+        FROM embeddings q, embeddings v), a AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS r FROM p),
+    b AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS n FROM a WHERE r <= 6 AND src <> dst)
+    SELECT src, dst, score FROM b WHERE n <= 5 AND score >= 0.3""")
+def q_similarity_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return search.similarity_graph(table(spark, sf, "embeddings"), 5, 0.3, digits=6)

@@ -121,3 +121,30 @@ def test_summaries_of_what_is_asked_for(spark):
     seen = lambda **by: [(r["topic"], r["chunks"]) for r in chat.summarise_where(chunks, **by).collect()]
     assert seen(source_id="a") == [("a", 2)] and seen(tag="#y") == [("#y", 1)] and seen(source_type="note") == [("note", 2)] and seen() == [("all", 3)]
     assert seen(tag="none") == []
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from millrace.__main__ import main
+
+    data, notes = f"file://{tmp_path}/data", tmp_path / "notes"
+    notes.mkdir()
+    (notes / "net.txt").write_text("routers and networks")
+    (notes / "food.txt").write_text("pasta with tomato")
+
+    def run(*argv):
+        assert main([str(a) for a in argv]) == 0
+        return json.loads(capsys.readouterr().out)
+
+    assert run("ingest", data, notes) == [{"action": "add", "count": 2}]
+    assert run("search", data, "tomato")[0][:2] == ["txt:food.txt", "pasta with tomato"]
+    assert "tomato" in run("ask", data, "tomato pasta?")["text"] and run("memory-count", data) == 1
+    assert run("recall", data, "tomato")[0]["question"] == "tomato pasta?" and run("memory-clear", data) == 1
+    assert run("stats", data) == [{"points": 2, "sources": 2, "state_sources": 2, "state_chunks": 2, "drift": 0}]
+    run("schedule-add", data, "s", "*/5 * * * *", "routers", tmp_path / "out.md")
+    assert run("schedule-run", data) == [["s", None]] and "routers" in (tmp_path / "out.md").read_text()
+    (tmp_path / "g.yaml").write_text("- id: a\n  question: routers\n  expected_sources: [net]\n")
+    assert run("eval", data, tmp_path / "g.yaml", tmp_path / "r.json")["source_hit_rate"] == 1.0
+    assert run("delete", data, "txt:net.txt") == [1, 1] and run("stats", data)[0]["points"] == 1
+    (notes / "net.txt").unlink()
+    assert run("ingest", data, notes) == [{"action": "keep", "count": 1}]
+    assert run("summarise", data, "txt:food.txt")[0]["chunks"] == 1
