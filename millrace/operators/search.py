@@ -225,6 +225,8 @@ def lexical_topk(docs: DataFrame, queries: DataFrame, k: int, weighted: bool = T
                         s[docs_] += np.add.reduceat(table[cell[lo : lo + piece]], first, axis=0)
                     s = s.T if digits is None else np.round(s.T, digits)
                     i, j = best_of(s, k, 0.0)
+                    if not len(i):
+                        continue
                     yield pa.RecordBatch.from_arrays([pa.array(qid[a + i].tolist()), pa.array(ids[order][j].tolist()), pa.array(s[i, j])], ["query_id", "id", "score"])
 
         return base.mapInArrow(run, schema)

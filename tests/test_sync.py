@@ -99,7 +99,7 @@ def test_a_bad_byte_is_replaced(spark, tmp_path):
     assert rows(files.read_txt(spark, f"file://{tmp_path}"), "title", "content") == [("a", "good \ufffd bad"), ("b", "fine ü")]
 
 
-def test_lexical_search_of_whole_texts(spark):
+def test_lexical_search_of_whole_texts(spark, monkeypatch):
     texts = [(f"d{i}", " ".join(f"w{(i * j) % 17}" for j in range(1, 40))) for i in range(60)] + [("e", ""), ("n", None), ("common", "w0 " * 5000 + "rare")]
     df = spark.createDataFrame(texts, "id string, text string").repartition(5)
     q = df.where("id in ('d3', 'd50', 'common', 'e', 'n')").withColumnRenamed("id", "query_id")
@@ -115,6 +115,11 @@ def test_lexical_search_of_whole_texts(spark):
             want = sorted(((d, s) for d, s in score.items() if s > 0), key=lambda x: (-x[1], x[0]))[:7]
             assert got[k] == want, (weighted, k)
         assert set(got) == {"d3", "d50", "common"}
+    apart = spark.createDataFrame([(1, "one two"), (2, "three")], "id long, text string").coalesce(1)
+    monkeypatch.setattr(search, "TILE", 1)  # a tile for every query: one of them finds nothing
+    asked = spark.createDataFrame([(1, "two"), (2, "nothing"), (3, "three one")], "query_id long, text string")
+    hits = search.lexical_topk(apart, asked.where("query_id > 1").unionByName(asked.where("query_id = 1")), 5, weighted=False)
+    assert sorted((r["query_id"], r["id"]) for r in hits.collect()) == [(1, 1), (3, 1), (3, 2)]
 
 
 def test_packed_signs(spark):
