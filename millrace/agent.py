@@ -12,9 +12,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.text import intent_of, plan_topics
 from millrace.operators import search
-from millrace.operators.chat import TextModel, round_robin, route_from_critic, template_model
-from millrace.operators.retrieve import cite_only, dry_run
+from millrace.operators.chat import Mentor, TextModel, round_robin, route_from_critic, template_model
+from millrace.operators.retrieve import RULE, cite_only, dry_run, whole_context
 from millrace.operators.state import Store
 from millrace.ops import append_section
 
@@ -66,6 +67,9 @@ class Agent:
     web: Callable[[str], str] = lambda q: ""
     max_revisions: int = 1
     remember: Callable[[str, str], None] | None = None
+    #: What is remembered and pinned for a question, as text that goes before what is found.
+    recall: Callable[[str], str] = lambda q: ""
+    pinned: Callable[[str], str] = lambda q: ""
     window: int = 8
     history: list[tuple[str, str]] = field(default_factory=list)
 
@@ -86,7 +90,8 @@ class Agent:
                 return Answer(cite_only(hits), hits, path)
             if cmd == "dry_run":
                 return Answer(dry_run(hits, path, rounds), hits, path)
-            context = self.web(question) if path == "web" else "\n---\n".join(t for _, t, _ in hits)
+            found = self.web(question) if path == "web" else RULE.join(t for _, t, _ in hits)
+            context = whole_context(self.recall(question), self.pinned(question), found) if path != "direct" else ""
             draft = self.model("\n\n".join(x for x in (question, context) if x))
             if path != "retrieve":
                 break
@@ -109,6 +114,42 @@ class Agent:
         yield "done", answer.path
 
 
+class Lessons:
+    """A mentor over a knowledge base: start gives a plan and its first lesson, tell the next lesson, one back, or an answer.
+
+    find(query, n_results, top_k) gives a context, "" if there is none.
+    """
+
+    # Candidates and passages of the first search and of the later ones.
+    FIRST, LATER = (20, 10), (10, 5)
+
+    def __init__(self, find: Callable[[str, int, int], str], model: TextModel = template_model, keep: int = 6) -> None:
+        self.find, self.model, self.subject, self.state = find, model, "", Mentor([], keep)
+
+    def _say(self, said: str, *parts: str) -> str:
+        before = [f"{role}: {text}" for role, text in self.state.history]
+        reply = self.model("\n\n".join([*before, *filter(None, parts)]))
+        self.state.commit(said, reply)
+        return reply
+
+    def start(self, subject: str) -> str:
+        self.subject, self.state = subject, Mentor([], self.state.keep)
+        context = self.find(subject, *self.FIRST)
+        if not context:
+            return f"Nothing to teach about {subject} was found."
+        reply = self._say(subject, f"Write LEARNING PLAN: and a numbered list of topics about {subject}, then the first lesson.", context)
+        self.state.plan = plan_topics(reply)
+        return reply
+
+    def tell(self, message: str) -> str:
+        intent = intent_of(message) if self.state.plan else "QUESTION"
+        if intent == "QUESTION":
+            topic = self.state.plan[self.state.at] if self.state.plan else self.subject
+            return self._say(message, f"Answer within the topic {topic}: {message}", self.find(message, *self.LATER))
+        topic = self.state.move(intent)
+        return self._say(message, f"Teach the topic {topic}.", self.find(topic, *self.LATER))
+
+
 class Memory:
     """Remembered answers at a path: remember, recall by similarity, count, clear."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import chats, flows, ingest, retrieve
+from millrace.plans import chats, context, flows, ingest, retrieve
 from millrace.session import ship
 
 
@@ -15,5 +15,5 @@ def _shipped(f):
     return run
 
 
-QUERIES = {name: _shipped(f) for module in (ingest, retrieve, chats, flows) for name, f in module.Q.items()}
-ORACLES = {name: sql for module in (ingest, retrieve, chats, flows) for name, sql in module.SQLS.items()}
+QUERIES = {name: _shipped(f) for module in (ingest, retrieve, chats, flows, context) for name, f in module.Q.items()}
+ORACLES = {name: sql for module in (ingest, retrieve, chats, flows, context) for name, sql in module.SQLS.items()}

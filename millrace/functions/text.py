@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import unicodedata
 from collections.abc import Callable
 
@@ -100,6 +102,12 @@ def clean_tags(tags: Column) -> Column:
     return F.transform(tags, lambda t: F.regexp_replace(t, "^#+", ""))
 
 
+def with_tags(tags: Column, text: Column) -> Column:
+    """text below a line that names its tags, so that a search for words finds them; as it is without tags."""
+    named = F.array_join(F.transform(tags, lambda t: F.concat(F.lit("#"), t)), " ")
+    return F.when(F.size(tags) > 0, F.concat(F.lit("Tags: "), named, F.lit("\n\n"), text)).otherwise(text)
+
+
 def strip_mentions(text: Column) -> Column:
     """[[T|A]] becomes A, [[T#H]] and [[T]] become T."""
     aliased = F.regexp_replace(text, r"\[\[[^\]\n|]*\|\s*([^\]\n]*?)\s*\]\]", "$1")
@@ -156,15 +164,31 @@ def parse_slash(line: Column) -> Column:
     )
 
 
+# Where a plan lies in a text, its topics, and the words of an intent.
+PLAN = r"(?is)LEARNING PLAN:(.*?)(?:\n\n|$)"
+TOPIC = r"(?m)^\s*\d+\.\s*(.+)$"
+INTENTS = {"NEXT": "next|proceed|continue|move on", "BACK": "back|previous"}
+
+
 def parse_plan(text: Column) -> Column:
     """Numbered topics under LEARNING PLAN:, up to a blank line."""
-    part = F.regexp_extract(text, r"(?is)LEARNING PLAN:(.*?)(?:\n\n|$)", 1)
-    return F.transform(F.regexp_extract_all(part, F.lit(r"(?m)^\s*\d+\.\s*(.+)$"), F.lit(1)), _strip)
+    return F.transform(F.regexp_extract_all(F.regexp_extract(text, PLAN, 1), F.lit(TOPIC), F.lit(1)), _strip)
+
+
+def plan_topics(text: str) -> list[str]:
+    """parse_plan of one text on the driver."""
+    m = re.search(PLAN, text)
+    return [t.strip() for t in re.findall(TOPIC, m[1])] if m else []
 
 
 def classify_intent(message: Column) -> Column:
     low = F.lower(message)
-    return F.when(low.rlike("next|proceed|continue|move on"), "NEXT").when(low.rlike("back|previous"), "BACK").otherwise("QUESTION")
+    return F.when(low.rlike(INTENTS["NEXT"]), "NEXT").when(low.rlike(INTENTS["BACK"]), "BACK").otherwise("QUESTION")
+
+
+def intent_of(message: str) -> str:
+    """classify_intent of one message on the driver."""
+    return next((k for k, words in INTENTS.items() if re.search(words, message.lower())), "QUESTION")
 
 
 def video_id(s: Column) -> Column:

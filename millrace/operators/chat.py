@@ -30,6 +30,20 @@ def history_window(messages: DataFrame, n: int = 8, session: str = "conv_id", or
     return messages.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
+def with_summary(window: DataFrame, summaries: DataFrame, session: str = "conv_id", order: str = "turn") -> DataFrame:
+    """A window of messages with one of role system before each session's first, if summaries (session, text) has a text for it."""
+    first = window.groupBy(session).agg((F.min(order) - 1).alias(order))
+    head = first.join(summaries.where(F.trim("text") != "").groupBy(session).agg(F.max("text").alias("text")), session)
+    return window.select(session, order, "role", "text").unionByName(head.select(session, F.col(order).cast(window.schema[order].dataType), F.lit("system").alias("role"), "text"))
+
+
+def memory_block(hits: DataFrame) -> DataFrame:
+    """query_id and what was remembered, as text, best first. hits: query_id, rank, ts (text that starts with a day), score, question, answer."""
+    head = F.concat(F.lit("[memory · "), F.substring("ts", 1, 10), F.format_string(" · score %.2f]\n", F.col("score")))
+    rows = hits.select("query_id", F.struct("rank", F.concat(head, F.lit("Q: "), "question", F.lit("\nA: "), "answer").alias("block")).alias("b"))
+    return rows.groupBy("query_id").agg(F.array_sort(F.collect_list("b")).alias("b")).select("query_id", F.array_join(F.transform("b", lambda x: x["block"]), "\n---\n").alias("block"))  # a query's few hits
+
+
 def transcripts(messages: DataFrame, session: str = "conv_id", order: str = "turn") -> DataFrame:
     """One row per session: turns and the messages as text, in order."""
     line = F.concat(F.lit("**"), "role", F.lit("**: "), "text")

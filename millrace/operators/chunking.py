@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +13,10 @@ from millrace.functions import text as T
 
 # Sizes in characters and separators, coarse to fine.
 CHUNK_SIZE, OVERLAP = 1200, 200
+#: Characters from which a document is worth late vectors.
+LATE_CHARS = 4000
 SEPARATORS = ("\n\n", "\n", "```", ". ", "? ", "! ", " ", "")
+PLAIN_SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 _HEADER = re.compile(r"^(#{1,4})\s+(.*)$")
 _ANY = re.compile(r"^\s*#{1,6}\s+", re.M)
 
@@ -103,6 +106,20 @@ def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVER
     return rows.select(*rest, "chunk_index", "c.text", "c.header_path", T.chunk_id(F.col("source_id"), F.col("chunk_index"), F.col("c.text")).alias("chunk_id"))
 
 
+def plain_chunks(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = PLAIN_SEPARATORS) -> DataFrame:
+    """Documents (name, content) split by size alone, whatever their headers: id (`name_number`), source (the name), text.
+
+    Null and blank documents give no rows.
+    """
+
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: split_recursive(t, size, overlap, separators) if t and t.strip() else [])
+
+    rows = docs.select(F.col("name").alias("source"), F.posexplode(split("content")).alias("number", "text"))
+    return rows.select(F.concat_ws("_", "source", F.col("number").cast("string")).alias("id"), "source", "text")
+
+
 def header_sections(notes: DataFrame, id_col: str = "source_id", body: str = "body") -> DataFrame:
     """Header sections from built-ins alone: id, section, header_path, text. No fenced code; levels 1 to 4."""
     lines = notes.select(F.col(id_col).alias("source_id"), F.posexplode(F.split(F.col(body), "\n")).alias("line", "text"))
@@ -143,6 +160,27 @@ def late_vectors(tokens: DataFrame, spans: DataFrame, id_col: str = "source_id")
     return rows.select(id_col, "chunk_index", T.let(mean(F.col("p")), unit).alias("embedding"))
 
 
+def late_embed(docs: DataFrame, chunks: DataFrame, encode: Callable[[Column], Column], at_least: int = LATE_CHARS) -> DataFrame:
+    """Vectors of chunks from their whole documents' token vectors, as late_vectors: source_id, chunk_index, embedding.
+
+    docs: source_id, content; chunks: source_id, chunk_index, text. encode gives a text's token
+    vectors (array<array<double>>). Documents of under at_least characters have no rows:
+    a chunk of them is hardly less than the whole.
+    """
+
+    @F.pandas_udf("array<struct<char_start: int, char_end: int>>")
+    def spans(content: pd.Series, texts: pd.Series) -> pd.Series:
+        both = zip(content, texts, strict=True)
+        return pd.Series([[{"char_start": a, "char_end": b} for a, b in segment_offsets(c, list(t))] for c, t in both])
+
+    long = docs.where(F.length("content") >= at_least).select("source_id", "content")
+    parts = chunks.join(long.select("source_id"), "source_id", "left_semi").groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("c"))  # one document's chunks
+    held = parts.join(long, "source_id").withColumn("at", spans("content", F.transform("c", lambda x: x["text"])))
+    pairs = held.select("source_id", F.inline(F.arrays_zip(F.transform("c", lambda x: x["chunk_index"]).alias("chunk_index"), F.col("at").alias("at"))))
+    places = pairs.select("source_id", "chunk_index", "at.char_start", "at.char_end")
+    return late_vectors(long.select("source_id", F.length("content").alias("n_chars"), encode(F.col("content")).alias("tokens")), places)
+
+
 def segment_offsets(text: str, chunks: list[str]) -> list[tuple[int, int]]:
     """Where chunks lie in text, by their first 64 characters; equal spans if any is not found."""
     out, at = [], 0

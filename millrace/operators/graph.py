@@ -182,3 +182,16 @@ def pins(messages: DataFrame, titles: DataFrame, chunks: DataFrame, per_source:
     w = Window.partitionBy("source_id").orderBy("chunk_index")
     first = chunks.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_source)
     return found.distinct().join(first, "source_id").select("msg_id", "source_id", "chunk_id")
+
+
+def pinned_block(pinned: DataFrame, chunks: DataFrame) -> DataFrame:
+    """msg_id and its pinned chunks as text: a block for each note, headed by its title, in the order of titles.
+
+    pinned: msg_id, source_id, chunk_id, as pins gives it; chunks: chunk_id, chunk_index, title, text.
+    """
+    held = pinned.join(chunks.select("chunk_id", "chunk_index", "title", "text"), "chunk_id")
+    lines = lambda rows, field: F.transform(F.array_sort(rows), lambda x: x[field])
+    note = held.groupBy("msg_id", "source_id").agg(F.min(F.coalesce("title", "source_id")).alias("title"), F.collect_list(F.struct("chunk_index", "text")).alias("c"))
+    block = F.concat(F.lit("[pinned: "), "title", F.lit("]\n"), F.array_join(lines("c", "text"), "\n\n"))
+    every = note.select("msg_id", F.struct("title", "source_id", block.alias("block")).alias("b")).groupBy("msg_id").agg(F.collect_list("b").alias("b"))  # what one message mentions
+    return every.select("msg_id", F.array_join(lines("b", "block"), "\n---\n").alias("block"))

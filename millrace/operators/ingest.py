@@ -91,11 +91,12 @@ def ingest(docs: DataFrame, policy: str = "redact", threshold: float = 0.92, cac
 def discover_images(notes: DataFrame, images: DataFrame) -> DataFrame:
     """Images that notes refer to, each once: image, source_id, raw. By relative path, else by file name.
 
-    notes: source_id, rel, body; images: rel, name_key.
+    notes: source_id, rel, body; images: rel, name_key, and maybe place: of one name the smallest place counts, then the path.
     """
     refs = notes.select("source_id", F.regexp_replace("rel", r"[^/]*$", "").alias("folder"), F.explode(T.image_refs(F.col("body"))).alias("raw"))
     refs = refs.withColumn("name_key", T.norm_key(F.regexp_extract("raw", r"([^/]+)$", 1))).withColumn("beside", F.concat("folder", "raw"))
-    by_name = images.groupBy("name_key").agg(F.min("rel").alias("named"))
+    place = F.col("place") if "place" in images.columns else F.lit(0)
+    by_name = images.groupBy("name_key").agg(F.min_by("rel", F.struct(place, "rel")).alias("named"))
     by_path = images.select(F.col("rel").alias("beside"), F.col("rel").alias("exact"))
     found = refs.join(by_path, "beside", "left").join(by_name, "name_key", "left").select(F.coalesce("exact", "named").alias("image"), "source_id", "raw")
     return found.where(F.col("image").isNotNull()).groupBy("image").agg(F.min(F.struct("source_id", "raw")).alias("r")).select("image", "r.source_id", "r.raw")

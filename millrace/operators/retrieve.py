@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -13,6 +14,10 @@ from millrace.functions import text as T
 
 from . import graph as G
 from . import search
+from .chat import TextModel
+
+#: Between blocks of a context.
+RULE = "\n---\n"
 
 
 @dataclass(frozen=True)
@@ -79,7 +84,53 @@ def context_block(hits: DataFrame) -> DataFrame:
     """query_id and the chunks as labelled blocks, joined by a rule."""
     block = F.concat(F.lit("["), "source_id", F.lit("]\n"), "text")
     rows = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("final_rank", block.alias("b")))).alias("b"))
-    return rows.select("query_id", F.array_join(F.transform("b", lambda x: x["b"]), "\n---\n").alias("context"))
+    return rows.select("query_id", F.array_join(F.transform("b", lambda x: x["b"]), RULE).alias("context"))
+
+
+def search_kb(chunks: DataFrame, questions: dict[int, str], snippet: int = 240, **how: Any) -> DataFrame:
+    """What a model is given for each question: query_id, context and citations (source_id, chunk_id, snippet, score), best first.
+
+    Blocks are headed by title and header path where chunks have them. how: as retrieve takes it.
+    A question that nothing was found for has no row.
+    """
+    given = lambda name, kind: F.col(name) if name in chunks.columns else F.lit(None).cast(kind)
+    path = F.coalesce(given("header_path", "array<string>"), F.array().cast("array<string>"))
+    heads = chunks.select("chunk_id", T.label(given("title", "string"), F.col("source_id"), path).alias("_head"))
+    hits = retrieve(chunks, questions, **how).join(heads, "chunk_id")
+    cited = F.struct("source_id", "chunk_id", F.left("text", F.lit(snippet)).alias("snippet"), "score")
+    rows = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("final_rank", F.concat("_head", F.lit("\n"), "text").alias("block"), cited.alias("cited")))).alias("h"))  # top_k of a question
+    return rows.select("query_id", F.array_join(F.transform("h", lambda x: x["block"]), RULE).alias("context"), F.transform("h", lambda x: x["cited"]).alias("citations"))
+
+
+def whole_context(memory: str | None, pinned: str | None, found: str | None) -> str:
+    """What is remembered, pinned and found, in this order, between rules; empty parts leave none."""
+    return RULE.join(part for part in (memory, pinned, found) if part)
+
+
+def sub_queries(question: str, model: TextModel, most: int = 3) -> list[str]:
+    """The parts that a model splits a question into, at most `most`; the question itself if it names none."""
+    ask = f'Split this question into one to {most} questions that stand for themselves. Answer with JSON {{"queries": [...]}} only.\n\nQuestion: {question}'
+    try:
+        named = json.loads(model(ask))["queries"]
+    except (ValueError, KeyError, TypeError):
+        named = []
+    parts = [q.strip() for q in named if isinstance(q, str) and q.strip()] if isinstance(named, list) else []
+    return parts[:most] or [question]
+
+
+def imagined(question: str, model: TextModel) -> str:
+    """An answer that a model makes up, to search with; the question itself if that is blank."""
+    return model(f"Answer in two to four sentences, as a note on the subject would say it, and with nothing else.\n\nQuestion: {question}").strip() or question
+
+
+def expander(model: TextModel, split: bool = True, imagine: bool = False) -> Callable[[str], list[str]]:
+    """What retrieve's expand_query takes: the question's parts and, if wanted, an imagined answer, each once."""
+
+    def run(question: str) -> list[str]:
+        parts = sub_queries(question, model) if split else [question]
+        return list(dict.fromkeys([*parts, imagined(question, model)] if imagine else parts))
+
+    return run
 
 
 def _line(source: str, score: float) -> str:

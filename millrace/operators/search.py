@@ -345,3 +345,32 @@ def similarity_graph(vectors: DataFrame, k: int = 5, at_least: float = 0.5, id_c
     """Edges (src, dst, score) from each vector to its k nearest others whose inner product reaches at_least."""
     found = dense_topk(vectors, vectors, k + 1, id_col, vec_col, digits).where("query_id <> id")
     return ranked(found, k).where(F.col("score") >= at_least).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "score")
+
+
+def reranked_texts(
+    chunks: DataFrame, queries: DataFrame, n: int = 10, k: int = 5, scorer: Scorer = overlap_scorer, where: dict[str, Any] | None = None, digits: int | None = None
+) -> DataFrame:
+    """The k best of each query's n nearest chunks by the scorer: query_id, position (from 1), text, score; ties go to the larger text.
+
+    chunks: id, text, v and what `where` filters by; queries: query_id, text, v.
+    """
+    held = payload_filter(chunks, where)
+    near = dense_topk(held, queries.select(F.col("query_id").alias("id"), "v"), n, "id", "v", digits).select("query_id", "id")
+    asked = queries.select("query_id", F.col("text").alias("_query"))
+    rows = near.join(held.select("id", "text"), "id").join(asked, "query_id").select("query_id", "id", "text", scorer(F.col("_query"), F.col("text")).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("text"), "id")  # at most n rows
+    return rows.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k).select("query_id", "position", "text", "score")
+
+
+def star_graph(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int | None = None) -> DataFrame:
+    """Edges from each query's best vector to the sources around it: query_id, centre, source, node.
+
+    vectors: id, source, v; queries: query_id, v. Of the k nearest vectors of the centre, itself
+    counted, those of one source are one node, the nearest; the centre's own source is none.
+    """
+    first = dense_topk(vectors, queries.select(F.col("query_id").alias("id"), "v"), 1, "id", "v", digits).select("query_id", F.col("id").alias("centre"))
+    middle = first.join(vectors.select(F.col("id").alias("centre"), F.col("source").alias("_own"), "v"), "centre")
+    around = dense_topk(vectors, middle.select(F.col("query_id").alias("id"), "v"), k, "id", "v", digits).select("query_id", "id", "rank")
+    rows = around.join(middle.select("query_id", "centre", "_own"), "query_id").join(vectors.select("id", "source"), "id")
+    rows = rows.where((F.col("id") != F.col("centre")) & ~F.col("source").eqNullSafe(F.col("_own")))
+    return rows.groupBy("query_id", "centre", "source").agg(F.min_by("id", "rank").alias("node"))

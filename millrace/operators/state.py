@@ -142,6 +142,11 @@ def migrate(version: int, steps: dict[int, Callable[[], None]], done: Callable[[
     return version
 
 
+def distinct_sources(chunks: DataFrame) -> DataFrame:
+    """source_id of every source that has chunks, in order."""
+    return chunks.select("source_id").where(F.col("source_id").isNotNull()).distinct().orderBy("source_id")
+
+
 def index_stats(chunks: DataFrame, state_sources: DataFrame, state_chunks: DataFrame) -> DataFrame:
     """One row: points, sources, state_sources, state_chunks and drift."""
     a = chunks.agg(F.count("*").alias("points"), F.countDistinct("source_id").alias("sources"))

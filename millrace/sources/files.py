@@ -20,6 +20,8 @@ from millrace.functions.udf import arrow_udf
 
 # Folders of a vault that are passed over.
 SKIP_DIRS = (".obsidian", ".trash", "templates", ".smart-env")
+#: Folders whose images come before others of the same name.
+ATTACHMENTS = ("attachments",)
 IMAGES = ("png", "jpg", "jpeg", "gif", "webp", "bmp", "svg")
 _FRONT = re.compile(r"\A---[ \t]*\r?\n(.*?)(?:\r?\n)?^---[ \t]*\r?\n?(.*)\Z", re.S | re.M)
 
@@ -72,13 +74,19 @@ def _text() -> Column:
     return F.make_valid_utf8(F.col("content").cast("string"))
 
 
+def link_index(notes: DataFrame) -> DataFrame:
+    """stem_key and the first note, by path, that has it: rel and body. notes: rel, stem_key, body."""
+    first = notes.groupBy("stem_key").agg(F.min_by(F.struct("rel", "body"), "rel").alias("b"))
+    return first.select("stem_key", "b.rel", "b.body")
+
+
 def expand_embeds(notes: DataFrame, depth: int = 3) -> DataFrame:
     """notes (source_id, rel, stem_key, body) with ![[x]] replaced by x's body, level by level.
 
     A note that embeds itself on the way, or what can't be found, stays as written.
     Each level is one join on the embedded titles.
     """
-    bodies = notes.groupBy("stem_key").agg(F.min(F.struct("rel", "body")).alias("b")).select("stem_key", F.col("b.rel").alias("_rel"), F.col("b.body").alias("_body"))
+    bodies = link_index(notes).withColumnsRenamed({"rel": "_rel", "body": "_body"})
     refs = notes.select("source_id", "rel", "body", F.array("rel").alias("seen"))
 
     def level(body: str, seen: frozenset, table: dict, left: int) -> str:
@@ -136,7 +144,7 @@ def read_txt(spark: SparkSession, path: str) -> DataFrame:
 
 
 class _Page(HTMLParser):
-    """Text of a page without scripts, styles, navigation and the like; blocks end lines."""
+    """Text of a page without scripts, styles, navigation and the like; blocks end lines, table rows are lines of cells between bars."""
 
     SKIP = frozenset(("script", "style", "nav", "header", "footer", "aside", "noscript", "form", "template", "svg"))
     BLOCK = frozenset(("p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "table", "ul", "ol", "pre", "blockquote", "title"))
@@ -149,6 +157,8 @@ class _Page(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in self.SKIP:
             self.skip.append(tag)
+        elif tag in ("td", "th"):
+            self.out.append(" | ")
         elif tag in self.BLOCK:
             self.out.append("\n")
 
@@ -157,7 +167,7 @@ class _Page(HTMLParser):
             while self.skip and self.skip.pop() != tag:
                 pass
         elif tag in self.BLOCK:
-            self.out.append("\n")
+            self.out.append(" |\n" if tag == "tr" else "\n")
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
@@ -242,11 +252,12 @@ def read_pdf(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Image files: rel and name_key; only names are read."""
+def read_images(spark: SparkSession, path: str, attachments: tuple[str, ...] = ATTACHMENTS) -> DataFrame:
+    """Image files: rel, name_key and place (0 in a folder of attachments, else 1); only names are read."""
     files = _binary(spark, path, "*").select(_unquote(_relative(path)).alias("rel"))
     files = files.where(F.lower(F.regexp_extract("rel", r"\.([^./]+)$", 1)).isin(*IMAGES))
-    return files.select("rel", T.norm_key(F.regexp_extract("rel", r"([^/]+)$", 1)).alias("name_key"))
+    beside = F.exists(F.split(F.lower(F.regexp_replace("rel", r"[^/]*$", "")), "/"), lambda p: p.isin([a.casefold() for a in attachments]))
+    return files.select("rel", T.norm_key(F.regexp_extract("rel", r"([^/]+)$", 1)).alias("name_key"), F.when(beside, 0).otherwise(1).alias("place"))
 
 
 def transcripts_as_documents(lines: DataFrame) -> DataFrame:
