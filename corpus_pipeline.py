@@ -1,9 +1,10 @@
 """The corpus pipeline: quality, exact dedup, near dedup, source mix, packing.
 
 Each stage reads what its predecessor wrote. All but the last return the columns of
-documents. Decisions are made on narrow tables of row numbers; texts are filtered where
-they lie as long as the numbers to drop are few enough to broadcast, by count. Rows with a null doc_id can't be named by a decision: the dedup stages
-keep them and the mix takes them once. Empty inputs give empty outputs.
+documents. Decisions are made on narrow tables of row numbers; texts meet them in a
+shuffled hash join, at every size the same: texts are shuffled once, never sorted, and
+only decisions are held. Rows with a null doc_id can't be named by a decision: the dedup
+stages keep them and the mix takes them once. Empty inputs give empty outputs.
 """
 
 from __future__ import annotations
@@ -15,14 +16,10 @@ from millrace.llm import exact_dedup, mixing, packing, quality, simhash
 from millrace.llm.common import crc_mod, numbered, staged
 from millrace.session import ship, table
 
-#: Decisions (a row number, and how often the row is taken) up to which they are broadcast; beyond it texts are shuffled to them.
-FEW_DECISIONS = 1_000_000
-
 
 def decisions(df: DataFrame, name: str) -> DataFrame:
-    """df, one narrow row per decision, staged, and to be broadcast if a count shows it is small."""
-    out = staged(df, name)
-    return F.broadcast(out) if out.count() <= FEW_DECISIONS else out
+    """df, one narrow row per decision, staged: the side of a join that is hashed."""
+    return staged(df, name).hint("shuffle_hash")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
