@@ -28,11 +28,17 @@ UNKNOWN = "und"
 #: A lead in score under which a text counts as ambiguous.
 LEAD = 0.1
 
+#: What may be a letter: also numbers like ½ and Ⅷ, which has_letter leaves out.
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes taken at once; texts of any length are read whole.
 _STEP = 1 << 20
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of a Unicode letter category."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def features(text: str) -> np.ndarray:
     """Square roots of n-gram shares, unit length; zeros for an empty text."""
     data = text.lower().encode("utf-8", "surrogatepass")
@@ -154,7 +160,7 @@ def identify(docs: DataFrame, usable: Column | None = None, lead: float = LEAD)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             lang, score, unsure = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-            at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if known else []
+            at = [i for i, t in enumerate(texts) if t and has_letter(t)] if known else []
             if at:
                 which, p, ahead = known.predict(np.stack([features(texts[i]) for i in at]))
                 for i, w in zip(at, which, strict=True):
