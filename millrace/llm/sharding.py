@@ -92,8 +92,8 @@ def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
 
     for size, _, before, taken in place(((r[0], r[1]) for r in classes.toLocalIterator()), shards):
         ends, end = [], 0
-        for n in taken:
-            end += n
+        for some in taken:
+            end += some
             ends.append(end)
         held.append((size, before, ends))
         if len(held) >= CLASS_ROWS:
