@@ -55,6 +55,7 @@ def test_sharding_keeps_groups_and_balances(spark, docs, real, empty):
             slots[r["shard"]].append(r["slot"])
             load[r["shard"]] += r["size"]
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        assert {r["shard"] for r in rows} <= set(range(shards))
         if table is real:
             assert max(load.values()) - min(load.values()) < 0.02 * sum(load.values()) / shards
     assert sharding.assign_shards(empty).collect() == []
@@ -246,8 +247,9 @@ def test_added_spans_equal_a_plain_choice():
         p = trees.probability(np.array([pii.candidate_features(text, *c) for c in free])) if free else []
         want: list = []
         for i in sorted(range(len(free)), key=lambda i: (-p[i], free[i][0])):
-            a, b, _ = free[i]
-            if p[i] >= trees.threshold and not any(s < b and e > a for s, e in want):
+            a, b, g = free[i]
+            least = trees.thresholds[pii.kind_of(text, a, b, g, pii.candidate_features(text, a, b, g))]
+            if p[i] >= least and not any(s < b and e > a for s, e in want):
                 want.append((a, b))
         assert [(a, b) for _, a, b, _ in pii.added_spans(text, base, trees)] == want
 
@@ -290,8 +292,22 @@ def test_boosted_candidates_on_held_out_examples():
     rows = pii.examples(2000, 123)
     x = np.array([pii.candidate_features(*r[:4]) for r in rows])
     y = np.array([r[4] for r in rows])
-    chosen = pii.model().probability(x) >= pii.model().threshold
+    kinds = np.array([pii.kind_of(*r[:4], list(f)) for r, f in zip(rows, x, strict=True)])
+    chosen = pii.model().probability(x) >= np.array([pii.model().thresholds[k] for k in kinds])
     assert y[chosen].mean() > 0.98 and chosen[y == 1].mean() > 0.95
+    # Each kind has a threshold of its own, fitted on other examples, and holds its precision.
+    assert set(kinds) <= set(pii.model().thresholds)
+    assert all(y[chosen & (kinds == k)].mean() >= 0.95 for k in set(kinds))
+
+
+def test_long_runs_of_digits_are_proposed_whole():
+    text = "pay " + " ".join(["1234"] * 8) + " now"
+    assert pii.candidates(text) == [(4, 43, "digits")]
+    assert [c for c in pii.candidates("12 34 56 78 90x and 123456") if c[2] == "digits"] == [(20, 26, "digits")]
+    assert ("9" * 60, "digits") in {("a " + "9" * 60 + " b")[a:b] and (("a " + "9" * 60 + " b")[a:b], g) for a, b, g in pii.candidates("a " + "9" * 60 + " b")}
+    began = time.perf_counter()
+    pii.candidates("1 " * 300_000 + "x")
+    assert time.perf_counter() - began < 10
 
 
 def test_find_pii(docs, empty):
@@ -738,6 +754,11 @@ def test_language_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_numbers_are_no_letters():
+    assert not any(langid.has_letter(t) for t in ("½ ² ①", "Ⅷ", "12 _ 3!", "", "٣"))
+    assert all(langid.has_letter(t) for t in ("½a", "ß", "漢", "ª"))
+
+
 def test_language_cases(docs, empty):
     rows = langid.identify(docs).collect()
     assert len(rows) == docs.count()

@@ -56,3 +56,11 @@ def test_repeated_ids_are_decided_by_row(spark):
     for r in mixing.mix(named).where("doc_id is not null").collect():
         want[text[r["doc_id"]]] += r["taken"] // r["size"]
     assert Counter((r["doc_id"], r["text"]) for r in once.collect()) == +want
+
+
+def test_texts_are_shuffled_once_and_never_sorted(spark):
+    """One plan at every size: decisions are hashed, texts stream by them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near, corpus_pipeline.mix_sources):
+        plan = stage(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Broadcast" not in plan and "SortMergeJoin" not in plan, stage
