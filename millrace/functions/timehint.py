@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from calendar import monthrange
 from datetime import datetime, timedelta, timezone
 
 # The phrases that count as a hint.
@@ -27,7 +28,7 @@ def extract_hint(text: str) -> str | None:
 
 def _months(at: datetime, n: int) -> datetime:
     y, m = divmod(at.year * 12 + at.month - 1 + n, 12)
-    return at.replace(year=y, month=m + 1, day=min(at.day, 28))
+    return at.replace(year=y, month=m + 1, day=min(at.day, monthrange(y, m + 1)[1]))
 
 
 def _day(at: datetime) -> datetime:
