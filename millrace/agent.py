@@ -183,7 +183,7 @@ class Sessions:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark = spark
         self.sessions = Store(spark, f"{path}/sessions", "id string, name string, created_at double", "id")
-        self.messages = Store(spark, f"{path}/messages", "id string, session_id string, role string, content string, timestamp double", "id")
+        self.messages = Store(spark, f"{path}/messages", "id string, session_id string, role string, content string, timestamp double", "id", by="session_id")
 
     def create(self, session_id: str, name: str, at: float) -> None:
         self.sessions.upsert(self.spark.createDataFrame([(session_id, name, at)], self.sessions.schema))
@@ -192,7 +192,7 @@ class Sessions:
         self.messages.upsert(self.spark.createDataFrame([(f"{session_id}:{at}:{role}", session_id, role, content, at)], self.messages.schema))
 
     def history(self, session_id: str) -> DataFrame:
-        return self.messages.read().where(F.col("session_id") == session_id).orderBy("timestamp", "id")
+        return self.messages.of(session_id).orderBy("timestamp", "id")
 
     def list(self) -> DataFrame:
         return self.sessions.read().orderBy(F.desc("created_at"), "id")

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
+from functools import reduce
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.versions import CommitLog
+from millrace.session import written
+
 
 def merge(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """existing with the rows of new in place of those with the same key."""
@@ -27,67 +31,159 @@ def unknown(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
 def sync_plan(snapshot: DataFrame, state: DataFrame, restrict: DataFrame | None = None) -> DataFrame:
     """source_id and action (add, change, delete, keep) from one full outer join of hashes.
 
+    A null hash (of null content) is a hash like any other: the document is there.
     restrict: only these source ids are looked at, as for a batch of changed files.
     """
-    now, was = snapshot.select("source_id", F.col("content_hash").alias("now")), state.select("source_id", F.col("content_hash").alias("was"))
+    now = snapshot.select("source_id", F.col("content_hash").alias("now"), F.lit(True).alias("here"))
+    was = state.select("source_id", F.col("content_hash").alias("was"), F.lit(True).alias("held"))
     if restrict is not None:
         ids = restrict.select("source_id").distinct()
         now, was = now.join(ids, "source_id", "left_semi"), was.join(ids, "source_id", "left_semi")
-    action = F.when(F.col("was").isNull(), "add").when(F.col("now").isNull(), "delete").when(F.col("now") != F.col("was"), "change").otherwise("keep")
+    action = F.when(F.col("held").isNull(), "add").when(F.col("here").isNull(), "delete").when(~F.col("now").eqNullSafe(F.col("was")), "change").otherwise("keep")
     return now.join(was, "source_id", "full_outer").select("source_id", action.alias("action"))
 
 
 class Store:
-    """A Parquet table in versions.
+    """A table by key that changes: a base in buckets, and small deltas with tombstones that are merged in when read.
+
+    A write adds one delta folder and one commit (versions.CommitLog), so a row costs a
+    small file however large the table is. Deltas hold at most DELTA_ROWS rows in all:
+    beyond that, or after DELTAS of them, they are folded into the base, of which only
+    the buckets that they touch are written anew. Reading takes the newest row of each
+    key of the deltas and leaves the base rows of those keys out by a broadcast join,
+    which the bound allows: the base isn't shuffled. Data is written before the commit
+    that names it, so a writer that dies leaves the table as it was; of two that race
+    one gets versions.Conflict. The commit before the last stays readable.
+
+    Rows without a key aren't held. Of rows of one write that repeat a key one stays.
 
-    A write goes to a new folder, then a numbered pointer file is put in place by one
-    rename; readers take the highest number, so at every moment they see the table
-    before the write or after it. Of two writers that race for a number one fails.
-    The versions before the last one are removed; a reader of the last one may go on.
+    by: a column that the key determines, by which the base is dealt into buckets and
+    that of() looks up (the key itself by default).
     """
 
-    #: Versions that are kept.
-    KEEP = 2
+    #: Rows and numbers of deltas that are merged when read.
+    DELTA_ROWS, DELTAS = 20_000, 16
+    BUCKETS = 16
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, by: str | None = None) -> None:
+        self.spark, self.path, self.schema, self.key, self.by = spark, path.rstrip("/"), schema, key, by or key
+        self.log = CommitLog(spark, path)
+        self._delta = f"{schema}, _gone boolean, _seq long"
+
+    def _bucket(self, column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.BUCKETS)).cast("int")
+
+    def _parquet(self, schema: str, folders: list[str]) -> DataFrame:
+        paths = [f"{self.path}/{f}" for f in folders]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str) -> None:
-        self.spark, self.path, self.schema, self.key = spark, path, schema, key
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    def _newest(self, deltas: DataFrame) -> DataFrame:
+        """The last row of each key. Deltas that are read are few rows, so one task sees them all and nothing is shuffled."""
+        rest = [c for c in deltas.columns if c != self.key]
+        last = deltas.groupBy(self.key).agg(F.max_by(F.struct(*rest), F.struct("_seq", ~F.col("_gone"), F.xxhash64(*rest))).alias("_last"))
+        return last.select(self.key, "_last.*").select(*deltas.columns)
 
-    def _versions(self) -> list[tuple[int, str]]:
-        """(number, folder) of every version that was put in place, oldest first. The pointer's name holds both."""
-        names = [x.getPath().getName() for x in self._fs.globStatus(self._path(f"{self.path}/at-*")) or ()]
-        return sorted((int(n.split("-", 2)[1]), n.split("-", 2)[2]) for n in names)
+    def _merged(self, base: DataFrame, newest: DataFrame) -> DataFrame:
+        return base.join(newest.select(self.key), self.key, "left_anti").select(*base.columns).unionByName(newest.where(~F.col("_gone")).select(*base.columns))
 
     def read(self) -> DataFrame:
-        found = self._versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{found[-1][1]}") if found else self.spark.createDataFrame([], self.schema)
+        """The rows of the last commit."""
+        _, now = self.log.latest()
+        base = self._parquet(self.schema, list(now.get("base", {}).values()))
+        return self._merged(base, F.broadcast(self._newest(self._parquet(self._delta, now["deltas"]).coalesce(1)))) if now.get("deltas") else base  # at most DELTA_ROWS
+
+    def of(self, value: Any) -> DataFrame:
+        """The rows whose `by` is value: of the base, its bucket alone is read."""
+        _, now = self.log.latest()
+        bucket = str(self.spark.range(1).select(self._bucket(F.lit(value).cast(self._type()))).first()[0])
+        base = self._parquet(self.schema, [f for b, f in now.get("base", {}).items() if b == bucket])
+        if now.get("deltas"):
+            base = self._merged(base, F.broadcast(self._newest(self._parquet(self._delta, now["deltas"]).coalesce(1))))  # at most DELTA_ROWS
+        return base.where(F.col(self.by) == value)
+
+    def _type(self) -> str:
+        return self.spark.createDataFrame([], self.schema).schema[self.by].dataType.simpleString()
+
+    def apply(self, rows: DataFrame | None = None, gone: DataFrame | None = None) -> int:
+        """In one commit remove the keys of gone, then put rows in place of those of the same key. The number of rows of the delta."""
+        number, now = self.log.latest()
+        fields = self.spark.createDataFrame([], self.schema).schema.fields
+        names = [f.name for f in fields]
+        cast = lambda column, f: column.cast(f.dataType).alias(f.name)
+        parts = []
+        if gone is not None:
+            parts.append(gone.select(self.key).distinct().select(*[cast(F.col(f.name) if f.name == self.key else F.lit(None), f) for f in fields], F.lit(True).alias("_gone")))
+        if rows is not None:
+            parts.append(rows.select(*[cast(F.col(f.name), f) for f in fields], F.lit(False).alias("_gone")))
+        delta = reduce(DataFrame.unionByName, parts).where(F.col(self.key).isNotNull()).withColumn("_seq", F.lit(number + 1).cast("long"))
+        folder = self.log.folder("delta")
+        # Dealt out by size: a few rows are one file, many are as many as they fill.
+        delta.select(*names, "_gone", "_seq").hint("rebalance").write.parquet(f"{self.path}/{folder}")
+        n = self._parquet(self._delta, [folder]).count()
+        if n:
+            deltas, held = [*now.get("deltas", ()), folder], now.get("delta_rows", 0) + n
+            if held > self.DELTA_ROWS or len(deltas) > self.DELTAS:
+                self._fold(number, now, deltas, held)
+            else:
+                self._put(number + 1, now.get("base", {}), deltas, held, now)
+        return n
+
+    def compact(self) -> None:
+        """Fold the deltas into the base."""
+        number, now = self.log.latest()
+        if now.get("deltas"):
+            self._fold(number, now, now["deltas"], now["delta_rows"])
+
+    def _fold(self, number: int, now: dict, deltas: list[str], rows: int) -> None:
+        """A new base: the buckets that the deltas touch are written anew, the others stay where they are."""
+        base, newest = now.get("base", {}), written(self._newest(self._parquet(self._delta, deltas)), "store-newest")
+        near = F.broadcast(newest) if rows <= self.DELTA_ROWS else newest
+        if self.by == self.key:
+            touched = {str(r[0]) for r in newest.select(self._bucket(F.col(self.by)).alias("b")).distinct().collect()}  # at most BUCKETS
+        else:  # a tombstone knows its key alone
+            touched = {str(r[0]) for r in newest.where(~F.col("_gone")).select(self._bucket(F.col(self.by))).distinct().collect()}
+            held = self._parquet(self.schema, list(base.values())).join(near.where("_gone").select(self.key), self.key, "left_semi")
+            touched |= {str(r[0]) for r in held.select(self._bucket(F.col(self.by))).distinct().collect()}
+        old = self._parquet(self.schema, [f for b, f in base.items() if b in touched])
+        folder = self.log.folder("base")
+        out = self._merged(old, near).withColumn("bucket", self._bucket(F.col(self.by)))
+        out.repartitionByRange("bucket", self.by).sortWithinPartitions("bucket", self.by).write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        made = {x.split("=")[1]: f"{folder}/{x}" for x in self.log.names(f"{folder}/bucket=*")}
+        self._put(number + 1, {b: f for b, f in base.items() if b not in touched} | made, [], 0, now)
+
+    def _put(self, number: int, base: dict[str, str], deltas: list[str], rows: int, before: dict) -> None:
+        content = {"base": base, "deltas": deltas, "delta_rows": rows, "folders": [*base.values(), *deltas]}
+        self.log.put(number, content)
+        self.log.forget(number - 1, {*content["folders"], *before.get("folders", ())})
+
+    def vacuum(self) -> int:
+        """Remove folders that no kept commit names: what lost writers left. Only while nobody writes; their number."""
+        named = {f.split("/")[0] for n in self.log.numbers() for f in self.log.read(n)["folders"]}
+        lost = [x for kind in ("base-*", "delta-*") for x in self.log.names(kind) if x not in named]
+        for x in lost:
+            self.log.remove(x)
+        return len(lost)
 
     def write(self, rows: DataFrame) -> None:
-        found = self._versions()
-        number, name = found[-1][0] + 1 if found else 1, f"v-{uuid.uuid4().hex[:12]}"
-        rows.write.parquet(f"{self.path}/{name}")
-        # Creating a file that must not exist is the switch; its name says all, so it can't be half written.
-        self._fs.create(self._path(f"{self.path}/at-{number:012d}-{name}"), False).close()
-        if [n for n, _ in self._versions()].count(number) > 1:
-            self._fs.delete(self._path(f"{self.path}/at-{number:012d}-{name}"), False)
-            raise OSError(f"another writer switched {self.path} to version {number}")
-        for n, old in found[: 1 - self.KEEP]:
-            self._fs.delete(self._path(f"{self.path}/at-{n:012d}-{old}"), False)
-            self._fs.delete(self._path(f"{self.path}/{old}"), True)
+        """Replace the whole table."""
+        number, now = self.log.latest()
+        fields = self.spark.createDataFrame([], self.schema).schema.fields
+        names = [f.name for f in fields]
+        delta = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields], F.lit(False).alias("_gone"), F.lit(number + 1).cast("long").alias("_seq")).where(F.col(self.key).isNotNull())
+        folder = self.log.folder("base")
+        out = self._newest(delta).select(*names).withColumn("bucket", self._bucket(F.col(self.by)))
+        out.repartitionByRange("bucket", self.by).sortWithinPartitions("bucket", self.by).write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        self._put(number + 1, {x.split("=")[1]: f"{folder}/{x}" for x in self.log.names(f"{folder}/bucket=*")}, [], 0, now)
 
     def upsert(self, rows: DataFrame) -> int:
-        n = rows.count()
-        self.write(merge(self.read(), rows, self.key))
-        return n
+        """Put rows in place of those with the same key; how many."""
+        return self.apply(rows)
 
     def delete(self, gone: DataFrame, key: str | None = None) -> int:
+        """Remove the rows whose key (or another column) is among gone; how many there were."""
         key = key or self.key
-        n = self.read().join(gone.select(key).distinct(), key, "left_semi").count()
-        if n:
-            self.write(delete_where_in(self.read(), gone, key))
-        return n
+        held = self.read().join(gone.select(key).distinct(), key, "left_semi").select(self.key)
+        return self.apply(gone=held)
 
     def recreate(self) -> None:
         self.write(self.spark.createDataFrame([], self.schema))

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from millrace.functions import text as T
 from millrace.operators import ingest
 from millrace.operators.state import Store, sync_plan
+from millrace.session import written
 
 STATE = "source_id string, content_hash string, content string"
 #: State of a store with chunks: the ids of a source's chunks and when it was last seen.
@@ -28,7 +29,7 @@ def latest(batch: DataFrame, order: Column | None = None) -> DataFrame:
 
 
 def apply_batch(store: Store, batch: DataFrame, order: Column | None = None) -> DataFrame:
-    """Apply a batch (source_id, content, and maybe at and deleted) to a store of STATE; returns its plan. One swap per batch.
+    """Apply a batch (source_id, content, and maybe at and deleted) to a store of STATE; returns its plan. One commit per batch, of what changes alone.
 
     Of several rows of a source the last by order counts. A row with deleted true removes
     its source. What the store has already is left as it is, so a replay changes nothing.
@@ -37,10 +38,9 @@ def apply_batch(store: Store, batch: DataFrame, order: Column | None = None) ->
     gone = F.coalesce(F.col("deleted"), F.lit(False)) if "deleted" in batch.columns else F.lit(False)
     snapshot = now.where(~gone).select("source_id", T.content_hash(F.col("content")).alias("content_hash"), "content")
     held = store.read()
-    plan = sync_plan(snapshot, held, restrict=now)
+    plan = written(sync_plan(snapshot, held, restrict=now), "sync-plan")  # the store may be folded while it is in use
     fresh = snapshot.join(plan.where(F.col("action").isin("add", "change")), "source_id", "left_semi")
-    kept = held.join(plan.where(F.col("action") != "keep"), "source_id", "left_anti")
-    store.write(kept.select("source_id", "content_hash", "content").unionByName(fresh.select("source_id", "content_hash", "content")))
+    store.apply(fresh.select("source_id", "content_hash", "content"), plan.where(F.col("action") == "delete"))
     return plan
 
 
@@ -62,12 +62,11 @@ def apply_sync(
     """
     docs = snapshot.withColumn("content_hash", T.content_hash(F.col("content")))
     held = sources.read()
-    plan = sync_plan(docs, held, restrict=docs if batch_only else None)
+    plan = written(sync_plan(docs, held, restrict=docs if batch_only else None), "sync-plan")
     fresh = docs.join(plan.where(F.col("action").isin("add", "change")), "source_id", "left_semi")
     made = build(fresh.drop("content_hash"))
-    keep = chunks.read().join(plan.where(F.col("action") != "keep"), "source_id", "left_anti")
-    names = [f.name for f in chunks.read().schema]
-    chunks.write(keep.select(*names).unionByName(made.select(*names)))
+    stale = chunks.read().join(plan.where(F.col("action") != "keep"), "source_id", "left_semi")
+    chunks.apply(made, stale)
     ids = chunks.read().groupBy("source_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))  # one document's chunks
     rows = fresh.select("source_id", "content_hash", "title").unionByName(
         held.join(plan.where(F.col("action") == "keep"), "source_id", "left_semi").select("source_id", "content_hash", "title")
@@ -75,8 +74,7 @@ def apply_sync(
     now = rows.join(ids, "source_id", "left").select(
         "source_id", "content_hash", "title", F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"), F.lit(seen).alias("last_seen")
     )
-    rest = held.join(plan, "source_id", "left_anti")
-    sources.write(now.unionByName(rest.select(*now.columns)))
+    sources.apply(now, plan.where(F.col("action") == "delete"))
     return plan
 
 

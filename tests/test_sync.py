@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace import session
 from millrace.functions import secrets
-from millrace.operators import search, state
+from millrace.operators import search, state, versions
 from millrace.sources import files
 from millrace.streaming import sync
 
@@ -27,23 +27,79 @@ def test_store_switches_at_once(spark, tmp_path):
     old = store.read()
     store.upsert(made(("a", 2), ("b", 3)))
     assert rows(old, "k", "v") == [("a", 1)] and rows(store.read(), "k", "v") == [("a", 2), ("b", 3)]
-    # A writer that dies before the switch leaves the table as it was.
-    made(("z", 9)).write.parquet(f"{tmp_path}/s/v-lost")
-    assert rows(store.read(), "k", "v") == [("a", 2), ("b", 3)]
+    # A writer that dies before its commit leaves the table as it was.
+    made(("z", 9)).write.parquet(f"{tmp_path}/s/delta-lost")
+    assert rows(store.read(), "k", "v") == [("a", 2), ("b", 3)] and store.vacuum() == 1
     for i in range(4):
         store.upsert(made(("a", i)))
-    assert len(list(Path(tmp_path, "s").glob("at-*"))) == 2 and len(list(Path(tmp_path, "s").glob("v-*"))) == 3
-    store.delete(made(("b", 0)))
+    assert len(list(Path(tmp_path, "s/_log").glob("*.json"))) == 2
+    assert store.delete(made(("b", 0), ("zz", 0))) == 1
     assert rows(store.read(), "k", "v") == [("a", 3)]
-    # Two writers of one version: an error, and the table stays readable.
-    racing = state.Store(spark, store.path, store.schema, "k")
-    versions = racing._versions()
-    racing._versions = lambda at=iter([versions[:-1]]): next(at, None) or state.Store._versions(racing)
-    with pytest.raises(OSError, match="another writer"):
-        racing.write(made(("x", 1)))
+    # Two writers of one number: an error for the second, and the table stays readable.
+    number, now = store.log.latest()
+    with pytest.raises(versions.Conflict):
+        store._put(number, now["base"], [], 0, now)
     assert rows(store.read(), "k", "v") == [("a", 3)]
 
 
+def test_one_row_is_one_small_file(spark, tmp_path):
+    store = state.Store(spark, f"file://{tmp_path}/s", "k string, s string, v long", "k", by="s")
+    made = lambda *r: spark.createDataFrame(r, store.schema)
+    store.write(made(*[(f"{i}", f"s{i % 5}", i) for i in range(400)]))
+    files = lambda: {str(p) for p in Path(tmp_path, "s").rglob("*.parquet")}
+    before = files()
+    store.upsert(made(("new", "s1", -1)))
+    (fresh,) = files() - before
+    assert "delta-" in fresh and before < files() and Path(fresh).stat().st_size < 4000
+    plan = store.read()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Exchange SinglePartition" not in plan and "BroadcastExchange" in plan
+    assert sorted(r["v"] for r in store.of("s1").collect()) == [-1, *range(1, 400, 5)]
+    assert len(store.of("s1").inputFiles()) < len(store.read().inputFiles())
+
+
+def test_store_equals_a_dict_through_folds_and_crashes(spark, tmp_path, monkeypatch):
+    """Random writes, some of which die before their commit; deltas are folded every few writes."""
+    monkeypatch.setattr(state.Store, "DELTAS", 3)
+    monkeypatch.setattr(state.Store, "DELTA_ROWS", 25)
+    r = random.Random(4)
+    store = state.Store(spark, f"file://{tmp_path}/s", "k long, g long, v array<long>", "k", by="g")
+    made = lambda rows: spark.createDataFrame(rows, store.schema)
+    want: dict[int, list[int]] = {}
+    for step in range(14):
+        put = {k: [step, k] for k in r.sample(range(40), r.choice((1, 4, 30)))}
+        gone = r.sample(range(40), 3)
+        if step % 4 == 3:
+            with monkeypatch.context() as m:
+                m.setattr(store.log, "put", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+                with pytest.raises(RuntimeError, match="lost"):
+                    store.apply(made([(k, k % 7, v) for k, v in put.items()]), made([(k, None, None) for k in gone]))
+        else:
+            store.apply(made([(k, k % 7, v) for k, v in put.items()]), made([(k, None, None) for k in gone]))
+            want = {k: v for k, v in want.items() if k not in gone} | put
+        assert {x["k"]: x["v"] for x in store.read().collect()} == want, step
+    store.compact()
+    assert {x["k"]: x["v"] for x in store.read().collect()} == want
+    assert {x["k"] for x in store.of(3).collect()} == {k for k in want if k % 7 == 3}
+    assert store.vacuum() > 0 and {x["k"]: x["v"] for x in store.read().collect()} == want
+    store.upsert(made([(None, 1, [1]), (1, 1, [1]), (1, 1, [1])]))
+    assert [x["v"] for x in store.read().where("k = 1").collect()] == [[1]] and store.read().where("k is null").isEmpty()
+
+
+def test_null_content_is_there(spark, tmp_path):
+    of = lambda *r: spark.createDataFrame(r, "source_id string, content_hash string")
+    got = lambda now, was: rows(state.sync_plan(of(*now), of(*was)), "source_id", "action")
+    assert got([("a", None)], [("a", "h")]) == [("a", "change")]
+    assert got([("a", None)], [("a", None)]) == [("a", "keep")]
+    assert got([("a", None), ("b", "h")], [("b", None)]) == [("a", "add"), ("b", "change")]
+    assert got([], [("a", None)]) == [("a", "delete")]
+    store = state.Store(spark, f"file://{tmp_path}/s", sync.STATE, "source_id")
+    batch = lambda *r: spark.createDataFrame(r, "source_id string, content string")
+    sync.apply_batch(store, batch(("a", "x"), ("b", "y")))
+    sync.apply_batch(store, batch(("a", None)))
+    assert rows(store.read(), "source_id", "content") == [("a", None), ("b", "y")]
+    assert rows(sync.apply_batch(store, batch(("a", None))), "source_id", "action") == [("a", "keep")]
+
+
 def test_the_last_row_of_a_source_counts(spark, tmp_path):
     store = state.Store(spark, f"file://{tmp_path}/s", sync.STATE, "source_id")
     batch = lambda *r: spark.createDataFrame(r, "source_id string, content string, at long, deleted boolean")
