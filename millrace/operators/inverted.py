@@ -85,8 +85,8 @@ class InvertedIndex:
 
     def _read(self, kind: str, schema: str) -> DataFrame:
         _, now = self.log.latest()
-        paths = [f"{self.path}/{s}/{kind}" for s in now.get("folders", ()) if kind in now["tables"][s]]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/{s}/{kind}") for s in now.get("folders", ()) if kind in now["tables"][s]]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)  # at most MERGE_AT
 
     def blocks(self) -> DataFrame:
         return self._read("blocks", self._blocks)

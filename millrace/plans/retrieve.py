@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import chunking, cluster, graph, search
+from millrace.operators.inverted import InvertedIndex
+from millrace.operators.vectors import VectorIndex
 from millrace.session import table
 
 from .ingest import docs
@@ -68,7 +70,69 @@ SPARSE = f"""
     SELECT query_id, CAST(rank AS INT) AS rank, id, score FROM r WHERE rank <= 10""")
 def q_sparse_topk(spark: SparkSession, sf: str) -> DataFrame:
     d = docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
-    return search.lexical_topk(d, d.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "query_id"), 10, digits=6)
+    index = InvertedIndex.open(spark, d.schema["id"].dataType)
+    index.upsert(d)
+    return index.search(d.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "query_id"), 10, digits=6)
+
+
+# The last state of texts that were put in, revised in part, and deleted in part.
+REVISED = "d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'stale ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3)"
+
+
+@query(f"""WITH {REVISED}, {SPARSE.replace('FROM documents)', 'FROM d)').replace('FROM documents', 'FROM d')},
+    q AS (SELECT DISTINCT doc_id AS query_id, unnest({TOKENS}) AS token FROM documents WHERE doc_id % {EVERY} = 0),
+    s AS (SELECT query_id, id, round(sum(idf), 6) AS score FROM q JOIN post USING (token) JOIN idf USING (token) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+    SELECT query_id, CAST(rank AS INT) AS rank, id, score FROM r WHERE rank <= 10""")
+def q_index_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """An inverted index that is put in twice, the second time in part, and then loses documents."""
+    d = docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    index = InvertedIndex.open(spark, d.schema["id"].dataType)
+    index.upsert(d.withColumn("text", F.concat(F.lit("stale "), F.coalesce("text", F.lit("")))))
+    index.upsert(d.where("id % 3 <> 0"))
+    index.delete(d.where("id % 7 = 3"))
+    return index.search(d.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "query_id"), 10, digits=6)
+
+
+@query(f"""WITH {REVISED}, {SPARSE.replace('FROM documents)', 'FROM d)').replace('FROM documents', 'FROM d')}
+    SELECT token, count(*) AS docs, CAST(1 AS FLOAT) AS top FROM post GROUP BY token""")
+def q_index_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Document frequencies of the index of q_index_topk after its segments are merged."""
+    d = docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    index = InvertedIndex.open(spark, d.schema["id"].dataType)
+    index.upsert(d.withColumn("text", F.concat(F.lit("stale "), F.coalesce("text", F.lit("")))))
+    index.upsert(d.where("id % 3 <> 0"))
+    index.delete(d.where("id % 7 = 3"))
+    index.merge()
+    return index.frequencies()
+
+
+INDEXED = DENSE.replace("FROM embeddings q, embeddings v WHERE", "FROM embeddings q, embeddings v WHERE v.vec_id % 7 <> 3 AND")
+
+
+def vector_index(spark: SparkSession, sf: str) -> VectorIndex:
+    """All embeddings: put in negated, then as they are, in two parts, and every seventh deleted."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    index = VectorIndex.open(spark, e.schema["id"].dataType)
+    index.upsert(e.where("id % 2 = 0"))
+    index.upsert(e.where("id % 2 <> 0").withColumn("v", F.transform("v", lambda x: -x)))
+    index.upsert(e.where("id % 2 <> 0"))
+    index.delete(e.where("id % 7 = 3"))
+    return index
+
+
+@query(f"WITH {INDEXED} SELECT query_id, CAST(rank AS INT) AS rank, id, score FROM dense WHERE rank <= 10")
+def q_index_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """A vector index through upserts and deletes, all of its cells probed: exact."""
+    q = asked(spark, sf).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    return vector_index(spark, sf).search(q, 10, exact=True, digits=6)
+
+
+@query()
+def q_index_probed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same index, each query in the cells nearest to it: a test measures recall."""
+    q = asked(spark, sf).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    return vector_index(spark, sf).search(q, 10, digits=6)
 
 
 @query(f"""WITH t AS (SELECT doc_id, unnest({TOKENS}) AS t FROM documents), c AS (SELECT doc_id, instr('0123456789abcdef', right(md5(t), 1)) - 1 AS b, count(*) AS n FROM t GROUP BY ALL)
