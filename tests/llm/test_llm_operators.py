@@ -550,6 +550,31 @@ def test_mix(docs, real, empty):
     assert mixing.mix(empty).collect() == []
 
 
+@pytest.mark.parametrize(("low", "high", "n"), [(500_000, 1_000_000, 40), (1_000_000, 1_500_000, 60), (300_000, 1_500_000, 700)])
+def test_few_long_texts_come_near_any_budget(low, high, n):
+    r = random.Random(n)
+    lengths = sorted({r.randint(low, high) for _ in range(n)})
+    budget = sum(lengths) // 2 + r.randint(0, 999)
+    got = mixing.fit(lengths, [1] * len(lengths), budget)
+    assert set(got) <= {0, 1}
+    assert abs(sum(a * b for a, b in zip(lengths, got, strict=True)) - budget) < 0.0003 * budget
+
+
+def test_knapsack_in_grains_keeps_its_bound(monkeypatch):
+    monkeypatch.setattr(mixing, "BITS", 400)
+    monkeypatch.setattr(mixing, "SUMS", 4)
+    r = random.Random(6)
+    for _ in range(200):
+        lengths = r.sample(range(20, 900), r.randint(1, 12))
+        counts = [r.randint(1, 3) for _ in lengths]
+        budget = r.randint(1, sum(a * b for a, b in zip(lengths, counts, strict=True)))
+        words = lambda n: sum(a * b for a, b in zip(lengths, n, strict=True))
+        best, got = words(mixing.knapsack(lengths, counts, budget)), mixing.whole(lengths, counts, budget)
+        items = len(mixing.split(lengths, counts, budget))
+        assert all(0 <= g <= c for g, c in zip(got, counts, strict=True))
+        assert abs(words(got) - best) < max(1, items * mixing.grain(items, budget))
+
+
 # SimHash
 
 
