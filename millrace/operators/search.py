@@ -341,12 +341,6 @@ def on_this_day(df: DataFrame, column: str, now: datetime | str) -> DataFrame:
     return df.where(same).orderBy(F.desc(column))
 
 
-def similarity_graph(vectors: DataFrame, k: int = 5, at_least: float = 0.5, id_col: str = "vec_id", vec_col: str = "embedding", digits: int | None = None) -> DataFrame:
-    """Edges (src, dst, score) from each vector to its k nearest others whose inner product reaches at_least."""
-    found = dense_topk(vectors, vectors, k + 1, id_col, vec_col, digits).where("query_id <> id")
-    return ranked(found, k).where(F.col("score") >= at_least).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "score")
-
-
 def reranked_texts(
     chunks: DataFrame, queries: DataFrame, n: int = 10, k: int = 5, scorer: Scorer = overlap_scorer, where: dict[str, Any] | None = None, digits: int | None = None
 ) -> DataFrame:

@@ -341,3 +341,18 @@ class VectorIndex:
                     )
 
         return run
+
+
+def similarity_graph(
+    vectors: DataFrame, k: int = 5, at_least: float = 0.5, id_col: str = "vec_id", vec_col: str = "embedding", digits: int | None = None, exact: bool = True
+) -> DataFrame:
+    """Edges (src, dst, score) from each vector to its k nearest others whose inner product reaches at_least.
+
+    All vectors are queries of an index of themselves, packed where they lie: none passes
+    the driver. Not exact, each meets the cells near it, which is what large tables need.
+    """
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    index = VectorIndex.open(vectors.sparkSession, rows.schema["id"].dataType)
+    index.upsert(rows)
+    found = index.search(index.vectors().withColumnRenamed("id", "query_id"), k + 1, exact=exact, digits=digits).where("query_id <> id")
+    return search.ranked(found, k).where(F.col("score") >= at_least).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "score")

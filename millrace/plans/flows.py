@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions import timehint
-from millrace.operators import chat, chunking, graph, ingest, retrieve, search, state
+from millrace.operators import chat, chunking, graph, ingest, retrieve, search, state, vectors
 from millrace.session import table
 
 from .ingest import docs, txt_id
@@ -229,4 +229,4 @@ def q_exists_skip(spark: SparkSession, sf: str) -> DataFrame:
     b AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS n FROM a WHERE r <= 6 AND src <> dst)
     SELECT src, dst, score FROM b WHERE n <= 5 AND score >= 0.3""")
 def q_similarity_graph(spark: SparkSession, sf: str) -> DataFrame:
-    return search.similarity_graph(table(spark, sf, "embeddings"), 5, 0.3, digits=6)
+    return vectors.similarity_graph(table(spark, sf, "embeddings"), 5, 0.3, digits=6)
