@@ -145,9 +145,17 @@ def q_page_docs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query()
+#: The letters of each page's article: its content without signs of markup.
+ARTICLE = r"""SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '&quot;', ' '), '&lt;', ' '), '&gt;', ' '), '&amp;', ' '), '<[^>]*>', ' ', 'g'), '[^\p{L}]', '', 'g') AS letters, html FROM pages"""
+
+
+@query(f"""WITH a AS ({ARTICLE}) SELECT 'web:' || p.url AS source_id, coalesce(nullif(regexp_extract(p.html, '(?i)<title>([^<]+)</title>', 1), ''), p.url) AS title, left(sha1(p.url), 10) AS slug,
+    sha256(letters) AS letters_hash, '# ' AS opens FROM a JOIN pages p USING (page_id)""")
 def q_page_text(spark: SparkSession, sf: str) -> DataFrame:
-    return files.pages_as_documents(table(spark, sf, "pages")).select("source_id", "title", "slug", T.content_hash(F.col("content")).alias("content_hash"), F.length("content").alias("chars"))
+    """Main content of pages as markdown: what their articles hold, without menus, advertisements and footers."""
+    rows = files.pages_as_documents(table(spark, sf, "pages"))
+    letters = F.regexp_replace("content", r"\P{L}", "")
+    return rows.select("source_id", "title", "slug", F.sha2(letters, 256).alias("letters_hash"), F.left("content", F.lit(2)).alias("opens"))
 
 
 @query("""SELECT doc_id, v, left(md5(cast(doc_id AS VARCHAR)), 11) AS video_id FROM (

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable
 from functools import reduce
 from html.parser import HTMLParser
 from urllib.parse import unquote
+from xml.etree import ElementTree
 
 import pandas as pd
 import yaml
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.udf import arrow_udf
+from millrace.sources.pages import main_content
 
 # Folders of a vault that are passed over.
 SKIP_DIRS = (".obsidian", ".trash", "templates", ".smart-env")
@@ -184,11 +187,11 @@ def page_text(page: str | None) -> str:
 
 @arrow_udf("string")
 def extract_page(pages: pd.Series) -> pd.Series:
-    return pages.map(page_text)
+    return pages.map(main_content)
 
 
 def pages_as_documents(pages: DataFrame) -> DataFrame:
-    """Fetched pages (url, html) as documents."""
+    """Fetched pages (url, html) as documents: their main content as markdown."""
     return pages.select(
         F.concat(F.lit("web:"), "url").alias("source_id"), F.lit("web").alias("source_type"), T.page_title(F.col("html"), F.col("url")).alias("title"),
         T.page_slug(F.col("url")).alias("slug"), extract_page("html").alias("content"),
@@ -209,12 +212,22 @@ def tolerant(read: Callable[[bytes], str]) -> Callable[[bytes], str | None]:
     return run
 
 
+def epub_documents(z: zipfile.ZipFile) -> list[str]:
+    """Names of a book's documents in the order of its manifest; in that of the archive if it has none."""
+    try:
+        root = ElementTree.fromstring(z.read("META-INF/container.xml"))
+        package = next(x.attrib["full-path"] for x in root.iter() if x.tag.endswith("}rootfile"))
+        items = [x.attrib for x in ElementTree.fromstring(z.read(package)).iter() if x.tag.endswith("}item")]
+    except (KeyError, StopIteration, ElementTree.ParseError):
+        return [n for n in z.namelist() if n.lower().endswith((".xhtml", ".html", ".htm"))]
+    at = posixpath.dirname(package)
+    named = [posixpath.normpath(posixpath.join(at, unquote(x["href"]))) for x in items if x.get("media-type") == "application/xhtml+xml" and x.get("href")]
+    return [n for n in named if n in set(z.namelist())]
+
+
 def epub_text(data: bytes) -> str:
-    out = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for name in z.namelist():
-            if name.lower().endswith((".xhtml", ".html", ".htm")):
-                out.append(page_text(z.read(name).decode("utf-8", "replace")))
+        out = [page_text(z.read(name).decode("utf-8", "replace")) for name in epub_documents(z)]
     return "\n\n".join(x for x in out if x)
 
 
