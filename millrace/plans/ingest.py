@@ -12,7 +12,7 @@ from millrace.functions import text as T
 from millrace.operators import chunking, dedupe, ranking, state
 from millrace.session import shared_dir, table
 from millrace.sources import files
-from millrace.streaming import sync
+from millrace.streaming import stateful, sync
 
 from .notes import SQL, notes
 
@@ -263,3 +263,44 @@ def q_stream_sync(spark: SparkSession, sf: str) -> DataFrame:
     rows = source.parquet(path).select(txt_id().alias("source_id"), F.col("text").alias("content"))
     sync.stream_sync(rows, store, f"{at}/checkpoint").awaitTermination()
     return store.read().select("source_id", "content_hash")
+
+
+#: A feed of the documents in three parts: as they are, some revised and some the same again, and some deleted.
+FEED_SQL = """v AS (SELECT 'txt:' || doc_id AS source_id, 1 AS "at", text AS content, false AS deleted FROM documents
+    UNION ALL SELECT 'txt:' || doc_id, 2, CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') || ' v2' ELSE text END, false FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0
+    UNION ALL SELECT 'txt:' || doc_id, 3, NULL, true FROM documents WHERE doc_id % 7 = 0)"""
+
+
+def feed(spark: SparkSession, sf: str, at: str) -> DataFrame:
+    """That feed as a stream of files."""
+    d = docs(spark, sf).select(txt_id().alias("source_id"), "doc_id", F.col("text").alias("content"))
+    put = lambda df, at_: df.select("source_id", F.lit(at_).cast("long").alias("at"), "content", F.lit(at_ == 3).alias("deleted")).write.mode("append").parquet(f"{at}/in")
+    put(d, 1)
+    put(d.where("doc_id % 3 = 0 or doc_id % 5 = 0").withColumn("content", F.when(F.expr("doc_id % 3 = 0"), F.concat(F.coalesce("content", F.lit("")), F.lit(" v2"))).otherwise(F.col("content"))), 2)
+    put(d.where("doc_id % 7 = 0").withColumn("content", F.lit(None).cast("string")), 3)
+    return spark.readStream.schema("source_id string, at long, content string, deleted boolean").parquet(f"{at}/in")
+
+
+@query(f"""WITH {FEED_SQL}, w AS (SELECT *, sha256(content) AS h, lag(sha256(content)) OVER o AS was, row_number() OVER o AS n FROM v WINDOW o AS (PARTITION BY source_id ORDER BY "at"))
+    SELECT source_id, CAST("at" AS BIGINT) AS "at", CASE WHEN deleted THEN 'delete' WHEN n = 1 THEN 'add' ELSE 'change' END AS action, CASE WHEN deleted THEN NULL ELSE h END AS content_hash
+    FROM w WHERE deleted OR n = 1 OR h IS DISTINCT FROM was""")
+def q_stream_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """What changes in the feed, by a stream with a state for each source."""
+    at = f"{shared_dir(spark)}/changes-{uuid.uuid4().hex[:12]}"
+    stateful.to_files(stateful.change_events(feed(spark, sf, at)), f"{at}/out", f"{at}/cp").awaitTermination()
+    return spark.read.schema("source_id string, at long, action string, content_hash string").parquet(f"{at}/out")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, coalesce(role, '') || ': ' || coalesce(text, '') AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, coalesce(role, '') DESC, coalesce(text, '') DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS seen
+        FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
+    SELECT conv_id, seen, string_agg(said, chr(10) ORDER BY back DESC) AS history FROM t WHERE back <= 4 GROUP BY ALL""")
+def q_stream_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """The last four turns of each conversation after its turns came in three parts, out of order."""
+    at = f"{shared_dir(spark)}/turns-{uuid.uuid4().hex[:12]}"
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    for part in (2, 0, 1):
+        c.where(F.coalesce(F.col("turn") % 3, F.lit(0)) == part).write.mode("append").parquet(f"{at}/in")
+        source = spark.readStream.schema(c.schema).parquet(f"{at}/in")
+        stateful.to_files(stateful.last_turns(source, 4), f"{at}/out", f"{at}/cp").awaitTermination()
+    out = spark.read.schema("conv_id long, seen long, history string, closed boolean").parquet(f"{at}/out")
+    return out.groupBy("conv_id").agg(F.max("seen").alias("seen"), F.max_by("history", "seen").alias("history"))
