@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructField, StructType
+from pyspark.sql.types import DataType, StructType
 
 from millrace.operators import search
 from millrace.operators.versions import CommitLog
@@ -33,6 +33,8 @@ BUCKETS = 32
 MERGE_AT = 8
 #: One tile in so many is scored in full first; that gives each query a bound on its k-th score.
 SEED_EVERY = 8
+#: Tokens up to which a search names the buckets and tokens that it reads.
+FEW_TOKENS = 1000
 #: Tokens that together add less than this share of a query's bound are left for the candidates.
 SLACK = 0.5
 
@@ -160,33 +162,33 @@ class InvertedIndex:
                 rows = pa.Table.from_batches(held).combine_chunks()
                 rows = rows.take(pc.sort_indices(rows["id"]))
                 lists = rows["tokens"].combine_chunks()
-                yield _rows(base + made, [rows["id"].to_pylist()], [None], [len(rows)], [0.0], [None], [None])
+                ids = pa.array([rows["id"].to_pylist()], ids_type)
+                yield _rows(base + made, 1, [ids, pa.nulls(1, pa.string()), pa.array([len(rows)], pa.int32()), pa.array([0.0], pa.float32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())])
                 owner = np.repeat(np.arange(len(rows), dtype=np.uint16), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-                flat = lists.flatten().cast(pa.string()).dictionary_encode()
                 if not len(owner):
                     return
+                flat = lists.flatten().cast(pa.string()).dictionary_encode()
                 cell = flat.indices.to_numpy(zero_copy_only=False)
                 order = np.argsort(cell, kind="stable")
                 edge = np.flatnonzero(np.diff(cell[order], prepend=-1))
-                docs = [d.tobytes() for d in np.split(owner[order], edge[1:])]
-                given = rows["weights"].null_count < len(rows)
-                w = rows["weights"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32) if given else None
-                parts = np.split(w[order], edge[1:]) if given else None
-                top = [float(p.max()) for p in parts] if given else [1.0] * len(docs)
-                names = flat.dictionary.take(pa.array(cell[order][edge])).to_pylist()
-                for at in range(0, len(docs), 4096):
-                    cut = slice(at, at + 4096)
-                    packed = [p.tobytes() for p in parts[cut]] if given else [None] * len(docs[cut])
-                    yield _rows(base + made, [None] * len(docs[cut]), names[cut], [len(d) // 2 for d in docs[cut]], top[cut], docs[cut], packed)
-
-            def _rows(tile, ids, tokens, n, top, docs, weights):
-                return pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([tile] * len(n), pa.int64()), pa.array(ids, ids_type), pa.array(tokens, pa.string()), pa.array(n, pa.int32()),
-                        pa.array(top, pa.float32()), pa.array(docs, pa.binary()), pa.array(weights, pa.binary()),
-                    ],
-                    ["tile", "ids", "token", "n", "top", "docs", "weights"],
-                )
+                n = np.diff(edge, append=len(order))
+                names = flat.dictionary.take(pa.array(cell[order][edge]))
+                top, weights = np.ones(len(n), np.float32), pa.nulls(len(n), pa.binary())
+                if rows["weights"].null_count < len(rows):
+                    w = rows["weights"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32)[order]
+                    top, weights = np.maximum.reduceat(w, edge), _cut(w, edge)
+                made_of = [pa.nulls(len(n), ids_type), names, pa.array(n.astype(np.int32)), pa.array(top), _cut(owner[order], edge), weights]
+                for at in range(0, len(n), 4096):
+                    some = [c.slice(at, 4096) for c in made_of]
+                    yield _rows(base + made, len(some[0]), some)
+
+            def _cut(x: np.ndarray, edge: np.ndarray) -> pa.Array:
+                """The bytes of x between edges, as binary values."""
+                ends = (np.append(edge, len(x)) * x.itemsize).astype(np.int32)
+                return pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(x.tobytes())])
+
+            def _rows(tile: int, n: int, columns: list[pa.Array]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(np.full(n, tile)), *columns], ["tile", "ids", "token", "n", "top", "docs", "weights"])
 
             for batch in batches:
                 if batch.num_rows:
@@ -337,18 +339,23 @@ class InvertedIndex:
         schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {self.id_type.simpleString()}, score double"
         if tally:
             tally.of = self.blocks().count()
+        asked = written(asked, "inverted-queries")
         found = search._in_passes(self.blocks(), asked, lambda rows: self._pass(rows, k, digits, schema, tally), lambda r: len(r["t"]), search.QUERY_TOKENS, schema)
         return search.ranked(found, k)
 
+    def _named(self, tokens: list[str]) -> DataFrame:
+        """Tokens as a table: broadcast up to search.BROADCAST_ROWS."""
+        out = self.spark.createDataFrame(pa.table([pa.array(tokens, pa.string())], names=["token"]))
+        return F.broadcast(out) if len(tokens) <= search.BROADCAST_ROWS else out
+
     def _pass(self, rows: list, k: int, digits: int | None, schema: str, tally: Tally | None) -> DataFrame:
         """Hits of one block of queries, a superset of each query's k best, staged."""
-        spark = self.spark
         ask = _Asked.of(rows)
-        vocabulary = spark.createDataFrame([(t,) for t in ask.vocabulary], "token string").withColumn("bucket", bucket_of(F.col("token")))  # at most QUERY_TOKENS and one query's
-        buckets = sorted({r["bucket"] for r in vocabulary.select("bucket").distinct().collect()})
-        blocks = self.blocks().where(F.col("bucket").isin(buckets))
-        if len(ask.vocabulary) <= 1000:
-            blocks = blocks.where(F.col("token").isin(ask.vocabulary))  # pushed down to the row groups
+        vocabulary = self._named(ask.vocabulary)
+        blocks = self.blocks()
+        if len(ask.vocabulary) <= FEW_TOKENS:  # only folders of their buckets, and of these only row groups with them
+            buckets = [r["bucket"] for r in vocabulary.select(bucket_of(F.col("token")).alias("bucket")).distinct().collect()]
+            blocks = blocks.where(F.col("bucket").isin(buckets) & F.col("token").isin(ask.vocabulary))
         heads = self._read("tiles", self._tiles).join(self.gone().groupBy("tile").agg(F.collect_list("local").alias("locals")), "tile", "left")
         heads = heads.select("tile", "ids", F.coalesce("locals", F.array().cast("array<int>")).alias("locals"))
         seed = F.pmod(F.xxhash64("tile"), F.lit(SEED_EVERY)) == 0
@@ -358,7 +365,7 @@ class InvertedIndex:
 
         def part(which: Column, tokens: DataFrame) -> DataFrame:
             """Blocks of some tokens with the headers of their tiles."""
-            some = blocks.where(which).join(search.small_side(tokens), ["bucket", "token"], "left_semi").select("tile", "token", "docs", "weights")
+            some = blocks.where(which).join(tokens, "token", "left_semi").select("tile", "token", "docs", "weights")
             if tally:
                 tally.read += some.count()
             return some.unionByName(heads.where(which), allowMissingColumns=True)
@@ -366,15 +373,13 @@ class InvertedIndex:
         first = written(self._scored(part(seed, vocabulary), ask, k, digits, schema), "inverted-seeds")
         sure = search.ranked(first.select("query_id", "id", "score"), k).where(F.col("rank") == k).select("query_id", "score")
         ask.bound({r["query_id"]: r["score"] for r in sure.collect()}, digits)  # at most QUERY_ROWS rows
-        early = vocabulary.where(F.col("token").isin(ask.early())) if len(ask.early()) <= 1000 else spark.createDataFrame([(t,) for t in ask.early()], "token string").withColumn("bucket", bucket_of(F.col("token")))
-        second = written(self._scored(part(~seed, early), ask, k, digits, schema), "inverted-candidates")
+        second = written(self._scored(part(~seed, self._named(ask.early())), ask, k, digits, schema), "inverted-candidates")
         done = first.select("query_id", "id", "score").unionByName(second.where(F.col("local").isNull()).select("query_id", "id", "score"))
         open_ = second.where(F.col("local").isNotNull())
         if open_.isEmpty():
             return done
-        late = spark.createDataFrame([(t,) for t in ask.late()], "token string").withColumn("bucket", bucket_of(F.col("token")))
-        tiles = open_.select("tile").distinct()
-        rest = blocks.join(search.small_side(late), ["bucket", "token"], "left_semi").join(search.small_side(tiles), "tile", "left_semi").select("tile", "token", "docs", "weights")
+        tiles = written(open_.select("tile").distinct(), "inverted-tiles")
+        rest = blocks.join(self._named(ask.late()), "token", "left_semi").join(search.small_side(tiles), "tile", "left_semi").select("tile", "token", "docs", "weights")
         if tally:
             tally.read += rest.count()
         return done.unionByName(self._completed(rest, open_, ask, digits, schema))

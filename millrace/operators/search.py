@@ -174,7 +174,7 @@ def lexical_topk(docs: DataFrame, queries: DataFrame, k: int, weighted: bool = T
     asked = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("t")).where(F.size("t") > 0)
     schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {base.schema['id'].dataType.simpleString()}, score double"
     if weighted:
-        base = written(base, "lexical-tokens")  # read twice
+        base, asked = written(base, "lexical-tokens"), written(asked, "lexical-asked")  # read several times
         wanted = asked.select(F.explode("t").alias("token")).distinct()
         seen = base.select(F.explode("t").alias("token")).join(small_side(wanted), "token", "left_semi")
         idf = written(with_idf(seen, docs.count()), "lexical-idf")

@@ -69,10 +69,9 @@ SPARSE = f"""
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
     SELECT query_id, CAST(rank AS INT) AS rank, id, score FROM r WHERE rank <= 10""")
 def q_sparse_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """One search alone: texts are read once, without an index."""
     d = docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
-    index = InvertedIndex.open(spark, d.schema["id"].dataType)
-    index.upsert(d)
-    return index.search(d.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "query_id"), 10, digits=6)
+    return search.lexical_topk(d, d.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "query_id"), 10, digits=6)
 
 
 # The last state of texts that were put in, revised in part, and deleted in part.
