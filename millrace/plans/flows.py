@@ -128,13 +128,13 @@ def q_trim_document(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", F.sha2(T.trim_document(F.col("text"), 400), 256).alias("trimmed"))
 
 
-@query(r"""SELECT doc_id, sha256('<chunk id="0">' || chr(10) || source || chr(10) || '</chunk>' || chr(10) || '<chunk id="1">' || chr(10) || lang || chr(10) || '</chunk>') AS prompt, 'about ' || source AS context
-    FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL""")
+@query(r"""SELECT doc_id, sha256('<chunk id="0">' || chr(10) || coalesce(source, '') || chr(10) || '</chunk>' || chr(10) || '<chunk id="1">' || chr(10) || coalesce(lang, '') || chr(10) || '</chunk>') AS prompt,
+    nullif('about ' || coalesce(source, 'nothing'), '') AS context FROM documents""")
 def q_context_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """A prompt of two chunks, and a model's answer with prose and bad rows around the good one."""
-    rows = docs(spark, sf).where("source is not null and lang is not null")
-    said = F.concat(F.lit('Sure: {"contexts": [{"id": "7", "context": "first"}, {"id": "x", "context": "bad"}, {"id": 3, "context": "  "}, {"id": 7, "context": " about '), "source", F.lit(' "}]} done'))
-    return rows.select("doc_id", F.sha2(T.format_batch(F.array("source", "lang")), 256).alias("prompt"), F.try_element_at(T.parse_batch(said), F.lit(7)).alias("context"))
+    """A prompt of two chunks, and a model's answer with prose and bad rows around the good one; null chunks are empty ones."""
+    said = F.concat(F.lit('Sure: {"contexts": [{"id": "7", "context": "first"}, {"id": "x", "context": "bad"}, {"id": 3, "context": "  "}, {"id": 7, "context": " about '), F.coalesce("source", F.lit("nothing")), F.lit(' "}]} done'))
+    chunks = F.array(F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    return docs(spark, sf).select("doc_id", F.sha2(T.format_batch(chunks), 256).alias("prompt"), F.try_element_at(T.parse_batch(said), F.lit(7)).alias("context"))
 
 
 @query(f"""WITH {SQL} SELECT pos, '[' || title || ' :: A > ' || title || ']' AS deep, '[' || 'obsidian:' || title || '.md]' AS bare FROM notes""")

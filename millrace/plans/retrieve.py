@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import timehint
 from millrace.functions import text as T
 from millrace.operators import chunking, cluster, graph, search
 from millrace.operators.inverted import InvertedIndex
@@ -197,8 +200,9 @@ def _range(unit: str, base: str) -> None:
     sql = f"SELECT event_id FROM events WHERE ts >= date_trunc('{unit}', TIMESTAMP '{base}') AND ts <= date_trunc('{unit}', TIMESTAMP '{base}') + INTERVAL 1 {unit}"
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        start = F.date_trunc(unit, F.lit(base).cast("timestamp_ntz")).cast("timestamp_ntz")
-        return table(spark, sf, "events").where((F.col("ts") >= start) & (F.col("ts") <= start + F.expr(f"INTERVAL 1 {unit}"))).select("event_id")
+        start, end = timehint.date_range("today" if unit == "day" else f"this {unit}", datetime.fromisoformat(base).replace(tzinfo=timezone.utc))
+        bound = lambda t: F.lit(t.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
+        return table(spark, sf, "events").where((F.col("ts") >= bound(start)) & (F.col("ts") <= bound(end))).select("event_id")
 
     run.__name__ = f"q_time_range_{unit}"
     query(sql)(run)

@@ -68,14 +68,16 @@ def test_video_id(spark, url):
 def test_secrets(spark):
     aws, ant = "AKIA" + "A1" * 8, "sk-ant-api03-" + "x" * 24
     text = f"a {aws} b {ant} c"
-    assert secrets.redact_text(text) == "a <REDACTED:aws_access_key> b <REDACTED:openai_key> c"
+    assert one(spark, secrets.redact, text) == "a <REDACTED:aws_access_key> b <REDACTED:openai_key> c"
     df = spark.createDataFrame([("1", text), ("2", "clean"), ("3", None)], "id string, text string")
-    assert [r["text"] for r in secrets.scrub(df).orderBy("id").collect()] == [secrets.redact_text(text), "clean", None]
+    assert [r["text"] for r in secrets.scrub(df).orderBy("id").collect()] == ["a <REDACTED:aws_access_key> b <REDACTED:openai_key> c", "clean", None]
     assert [r["id"] for r in secrets.scrub(df, "block").orderBy("id").collect()] == ["2", "3"]
     assert secrets.scrub(df, "warn").collect() == df.collect()
 
 
 def test_time_hints():
+    last = datetime(2024, 1, 31, tzinfo=timezone.utc)
+    assert [timehint.parse_date(f"{n} month ago", last).date().isoformat() for n in (1, 2, 11)] == ["2023-12-31", "2023-11-30", "2023-02-28"]
     assert timehint.extract_hint("notes from last March about X") == "last March" and timehint.extract_hint("plain question") is None
     where, label = timehint.time_filter("what did I do this week", NOW)
     assert label == "this week" and where["modified_at"]["gte"] == datetime(2024, 5, 13, tzinfo=timezone.utc)
