@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from datetime import datetime
+from datetime import date, datetime
 from functools import reduce
 from typing import Any, Protocol
 
@@ -67,24 +67,46 @@ def max_sim(query: Column, text: Column) -> Column:
     return F.aggregate(best, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
 
 
+def _kind(value: Any) -> str:
+    """The SQL type by which a value of a VARIANT is compared."""
+    return "boolean" if isinstance(value, bool) else "double" if isinstance(value, (int, float)) else "timestamp" if isinstance(value, datetime) else "date" if isinstance(value, date) else "string"
+
+
+def _tests(df: DataFrame, name: str) -> tuple[Callable[[Any], Column], Callable[[Any], Column], Callable[[list], Column]]:
+    """For a column, or a key within a VARIANT column (column.key.key): its value to compare with another, whether it is or holds one, and whether any of several."""
+    root, _, path = name.partition(".")
+    if name not in df.columns and path and root in df.columns and df.schema[root].dataType.typeName() == "variant":
+        at = "$" + "".join(f"['{key}']" for key in path.split("."))
+        value = lambda want: F.try_variant_get(root, at, _kind(want))
+        among = lambda want: F.array_contains(F.try_variant_get(root, at, f"array<{_kind(want)}>"), F.lit(want).cast(_kind(want)))
+        holds = lambda want: F.coalesce(value(want) == F.lit(want), F.lit(False)) | F.coalesce(among(want), F.lit(False))
+        return value, holds, lambda wants: reduce(lambda a, b: a | b, map(holds, wants), F.lit(False))
+    col = F.col(name)
+    if df.schema[name].dataType.typeName() == "array":
+        return lambda _: col, lambda want: F.array_contains(col, want), lambda wants: F.arrays_overlap(col, F.array(*map(F.lit, wants))) if wants else F.lit(False)
+    return lambda _: col, lambda want: col == want, lambda wants: col.isin(wants) if wants else F.lit(False)
+
+
 def payload_filter(df: DataFrame, where: dict[str, Any] | None) -> DataFrame:
     """Conjunction over columns: a list is any-of, a dict of gte/gt/lte/lt a range, else equality; on arrays these mean contains.
 
-    A dict's ne leaves rows out that hold the value; rows without any value stay.
+    A dict's ne leaves rows out that hold the value; rows without any value stay. A name
+    with dots is a key within a VARIANT column, say frontmatter.status; its values are
+    compared as what the wanted value is, and one of another type is no value.
     """
     for name, want in (where or {}).items():
-        col, is_array = F.col(name), df.schema[name].dataType.typeName() == "array"
+        value, holds, holds_any = _tests(df, name)
         if isinstance(want, list):
-            df = df.where(F.lit(False) if not want else F.arrays_overlap(col, F.array(*map(F.lit, want))) if is_array else col.isin(want))
+            df = df.where(holds_any(want))
         elif isinstance(want, dict):
             for op, bound in want.items():
-                value = F.lit(bound)
                 if op == "ne":
-                    df = df.where(~F.coalesce(F.array_contains(col, bound) if is_array else col == value, F.lit(False)))
+                    df = df.where(~F.coalesce(holds(bound), F.lit(False)))
                     continue
-                df = df.where({"gte": col >= value, "gt": col > value, "lte": col <= value, "lt": col < value}[op])
+                col, limit = value(bound), F.lit(bound)
+                df = df.where({"gte": col >= limit, "gt": col > limit, "lte": col <= limit, "lt": col < limit}[op])
         else:
-            df = df.where(F.array_contains(col, want) if is_array else col == want)
+            df = df.where(holds(want))
     return df
 
 

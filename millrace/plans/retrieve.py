@@ -13,6 +13,7 @@ from millrace.operators import chunking, cluster, graph, search
 from millrace.operators.inverted import InvertedIndex
 from millrace.operators.vectors import VectorIndex
 from millrace.session import table
+from millrace.sources import files
 
 from .ingest import docs
 from .notes import EDGES_SQL, notes
@@ -326,6 +327,26 @@ def q_filter_not(spark: SparkSession, sf: str) -> DataFrame:
     return search.payload_filter(docs(spark, sf), {"source": {"ne": "src1"}}).select("doc_id")
 
 
+@query("""SELECT event_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) >= 10 AND CAST(json_extract_string(props, '$.k') AS DOUBLE) < 60 AND event_type <> 'x'""")
+def q_filter_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """A range on a key within a VARIANT column."""
+    events = table(spark, sf, "events").withColumn("props", F.try_parse_json("props"))
+    return search.payload_filter(events, {"props.k": {"gte": 10, "lt": 60}, "event_type": {"ne": "x"}}).select("event_id")
+
+
+NOTE_SQL = """n AS (SELECT doc_id, 'status: ' || CASE WHEN doc_id % 3 = 0 THEN 'done' ELSE 'open' END AS status, doc_id % 10 AS rank FROM documents)"""
+
+
+@query(f"WITH {NOTE_SQL} SELECT doc_id FROM n WHERE status = 'status: open' AND rank > 4")
+def q_filter_frontmatter(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as notes with a YAML header, found by values nested in it."""
+    k = F.col("doc_id")
+    head = F.concat(F.lit("---\ntask:\n  status: "), F.when(k % 3 == 0, "done").otherwise("open"), F.lit("\n  rank: "), (k % 10).cast("string"), F.lit("\n  labels: [a, l"), (k % 2).cast("string"), F.lit("]\n---\n"))
+    notes_ = docs(spark, sf).select("doc_id", files.front_values(F.concat(head, F.coalesce("text", F.lit("")))).alias("frontmatter"))
+    where = {"frontmatter.task.status": "open", "frontmatter.task.rank": {"gt": 4}, "frontmatter.task.labels": ["a", "zz"], "frontmatter.gone": {"ne": "x"}}
+    return search.payload_filter(notes_, where).select("doc_id")
+
+
 #: Components of a token vector where embeddings stand in for the tokens of a text.
 TOKEN_DIM = 8
 

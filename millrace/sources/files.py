@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import posixpath
 import re
 import zipfile
@@ -47,6 +48,19 @@ def _strings(value: object) -> list[str]:
     return [value] if isinstance(value, str) else [v for v in value if isinstance(v, str)] if isinstance(value, list) else []
 
 
+@arrow_udf("string")
+def _values(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda text: json.dumps({str(k): v for k, v in front_matter(text)[0].items()}, default=str, ensure_ascii=False), na_action="ignore")
+
+
+def front_values(raw: Column) -> Column:
+    """All values of a note's YAML header as a VARIANT, dates as text; an empty object without a header, null for null.
+
+    search.payload_filter compares keys within it: {"frontmatter.due": {"lt": "2024-06-01"}}.
+    """
+    return F.try_parse_json(_values(raw))
+
+
 @arrow_udf("struct<title: string, tags: array<string>, aliases: array<string>, keys: array<string>, body: string>")
 def _parse(raw: pd.Series) -> pd.DataFrame:
     rows = []

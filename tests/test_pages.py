@@ -3,6 +3,9 @@ import re
 import zipfile
 from html import unescape
 
+from pyspark.sql import functions as F
+
+from millrace.operators import search
 from millrace.sources import files, pages
 
 RUN = "some running text that goes on and on without a link in it, " * 4
@@ -53,3 +56,19 @@ def test_epub_follows_the_manifest(spark, tmp_path):
         items = "".join(f'<item href="{h}" media-type="{m}"/>' for h, m in (("b.xhtml", "application/xhtml+xml"), ("x.css", "text/css"), ("a%20b.xhtml", "application/xhtml+xml"), ("gone.xhtml", "application/xhtml+xml")))
         z.writestr("OPS/p.opf", f'<package xmlns="v"><manifest>{items}</manifest></package>')
     assert files.epub_text(data.getvalue()) == "first\n\nsecond"
+
+
+def test_values_of_headers_are_filtered(spark):
+    notes = {
+        1: "---\nstatus: open\ndue: 2024-05-01\nrank: 3\ndone: true\nmeta: {owner: {name: Ann}, tags: [x, y]}\n---\nbody",
+        2: "---\nstatus: [open, late]\ndue: 2024-07-01\nrank: 7.5\n---\nbody",
+        3: "---\n: bad : yaml\n---\nbody",
+        4: "no header",
+        5: None,
+    }
+    df = spark.createDataFrame(list(notes.items()), "id long, raw string").select("id", files.front_values(F.col("raw")).alias("frontmatter"))
+    found = lambda **where: [r["id"] for r in search.payload_filter(df, {f"frontmatter.{k.replace('__', '.')}": v for k, v in where.items()}).orderBy("id").collect()]
+    assert found(status="open") == [1, 2] and found(status=["late", "zz"]) == [2] and found(status=[]) == []
+    assert found(rank={"gt": 3}) == [2] and found(rank={"gte": 3, "lt": 7}) == [1] and found(rank="3") in ([], [1])
+    assert found(due={"lt": "2024-06-01"}) == [1] and found(done=True) == [1]
+    assert found(meta__owner__name="Ann") == [1] and found(meta__tags="y") == [1] and found(meta__none={"ne": "q"}) == [1, 2, 3, 4, 5]
