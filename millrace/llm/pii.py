@@ -81,10 +81,24 @@ _IPV6 = re.compile(
     r"|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?"
     r"|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?![\w:])"
 )
+
+
+class _Runs:
+    """A pattern of runs, without those that go on in a word. Asked after the match, so that a long run that does is read once."""
+
+    groups, _word = 0, re.compile(r"\w")
+
+    def __init__(self, pattern: re.Pattern[str]) -> None:
+        self.pattern = pattern
+
+    def finditer(self, text: str) -> Iterator[re.Match[str]]:
+        return (m for m in self.pattern.finditer(text) if not self._word.match(text, m.end()))
+
+
 #: Generators: pattern (the candidate is its group, if it has one), and a cheaper pattern that every match of it holds (None: it runs on every text).
 #: Runs have no upper length; a run that fails is tried again from few places only, so the cost stays linear.
 GENERATORS = {
-    "digits": (re.compile(r"(?<![\w.])\(?[0-9](?:[ ()./-]{0,2}[0-9]){5,}+"), re.compile(r"[0-9][ ()./-]{0,2}[0-9][ ()./-]{0,2}[0-9]")),
+    "digits": (_Runs(re.compile(r"(?<![\w.])\(?[0-9](?:[ ()./-]{0,2}[0-9]){5,}+")), re.compile(r"[0-9][ ()./-]{0,2}[0-9][ ()./-]{0,2}[0-9]")),
     "hidden_email": (re.compile(r"(?:(?<![\w.+-])[\w.+-]++|(?<![\w.])[\w.+-]{1,40}+)\s?[\[(<{ ]\s?at\s?[\])>} ]\s?[\w-]++(?:\s?[\[(<{ ]\s?dot\s?[\])>} ]\s?[\w-]++)++", re.I), re.compile("dot", re.I)),
     "key": (re.compile(r"(?<![A-Za-z0-9_])(?:[0-9a-f]{32,}+|[A-Za-z]{2,6}[-_][A-Za-z0-9_-]{16,}+|AKIA[0-9A-Z]{16}|[A-Za-z0-9+/]{40,}={0,2})(?![A-Za-z0-9_])"), None),
     "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), None),
@@ -94,8 +108,6 @@ GENERATORS = {
     "pem": (re.compile(r"-----BEGIN [A-Z0-9 ]*+-----[^-]*+(?:-(?!----)[^-]*+)*+(?:-----END [A-Z0-9 ]*+-----)?"), re.compile("-----BEGIN ")),
 }
 
-_WORDY = re.compile(r"\w")
-
 # Words that come before personal data, by the kind they point to.
 CUES = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "cell", "telefon", "anruf", "llamar", "telefono", "appel", "whatsapp"),
@@ -309,10 +321,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     out = []
     for name, (pattern, gate) in GENERATORS.items():
         if gate is None or gate.search(text):
-            spans = [m.span(pattern.groups) for m in pattern.finditer(text)]
-            if name == "digits":  # no run goes on in a word; asked here, so that a long run that does is read once
-                spans = [(a, b) for a, b in spans if not _WORDY.match(text, b)]
-            out += [(a, b, name) for a, b in spans]
+            out += [(*m.span(pattern.groups), name) for m in pattern.finditer(text)]
     return out
 
 
