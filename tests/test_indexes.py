@@ -56,13 +56,13 @@ def test_inverted_index_through_changes(spark, small_tiles):
             {i: _text(r, words) for i in range(250, 420)},
             {i: _text(r, words) for i in (1, 2, 3, 400, 900)},
         ]
-        for step in steps:
+        for number, step in enumerate(steps):
             assert index.upsert(table(list(step.items()))) == len(step)
             held |= {i: tokens(t) for i, t in step.items()}
             assert index.size() == len(held)
             tally = inverted.Tally()
-            for weighted in (True, False):
-                assert _got(index.search(queries, 6, weighted, 6, tally)) == _best(held, {q: tokens(t) for q, t in asked.items()}, 6, weighted)
+            weighted = number != 1
+            assert _got(index.search(queries, 6, weighted, 6, tally)) == _best(held, {q: tokens(t) for q, t in asked.items()}, 6, weighted)
             assert 0 < tally.read < 2 * tally.of
         gone = [(i,) for i in (0, 5, 250, 399, 12345)]
         assert index.delete(spark.createDataFrame(gone, "id long")) == 4
