@@ -204,11 +204,17 @@ def extract_page(pages: pd.Series) -> pd.Series:
     return pages.map(main_content)
 
 
-def pages_as_documents(pages: DataFrame) -> DataFrame:
-    """Fetched pages (url, html) as documents: their main content as markdown."""
+@arrow_udf("string")
+def extract_closed(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda page: main_content(page, unclosed=False))
+
+
+def pages_as_documents(pages: DataFrame, unclosed: bool = True) -> DataFrame:
+    """Fetched pages (url, html) as documents: their main content as markdown; unclosed as in main_content."""
+    extract = extract_page if unclosed else extract_closed
     return pages.select(
         F.concat(F.lit("web:"), "url").alias("source_id"), F.lit("web").alias("source_type"), T.page_title(F.col("html"), F.col("url")).alias("title"),
-        T.page_slug(F.col("url")).alias("slug"), extract_page("html").alias("content"),
+        T.page_slug(F.col("url")).alias("slug"), extract("html").alias("content"),
     )
 
 

@@ -46,6 +46,17 @@ def test_pages_keep_their_articles_and_lose_the_rest(spark):
     assert kept > 5000 and around > 500
 
 
+def test_references_without_their_semicolon(spark):
+    """A title that is cut within &amp; keeps the letters, as the SQL has them; browsers read a sign."""
+    page = f"<article><h1>Ver&amp; &lt &#65; &copy=1 &notit; &amp</h1><p>{RUN}</p></article>"
+    assert pages.main_content(page).startswith("# Ver& < A ©=1 ¬it; &\n")
+    assert pages.main_content(page, unclosed=False).startswith("# Ver& &lt A &copy=1 ¬it; &amp\n")
+    assert pages.main_content(None, unclosed=False) == ""
+    rows = spark.createDataFrame([("u", page)], "url string, html string")
+    at = lambda **how: files.pages_as_documents(rows, **how).first()["content"].split("\n")[0]
+    assert at() == "# Ver& < A ©=1 ¬it; &" and at(unclosed=False) == "# Ver& &lt A &copy=1 ¬it; &amp"
+
+
 def test_epub_follows_the_manifest(spark, tmp_path):
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
