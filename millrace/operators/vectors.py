@@ -32,6 +32,8 @@ COPIES, PROBES = 2, 0.3
 BLOCK, QUERIES = 1024, 256
 #: Packed query rows up to which they are broadcast (each up to QUERIES vectors); more are shuffled to the blocks.
 FEW_PACKS = 64
+#: Rows and bytes of one side of a tile when all pairs are multiplied, and packs of them that a task holds in memory.
+PACK_ROWS, PACK_BYTES, PACKS_HELD = 2048, 1 << 20, 16
 
 
 def fit_centroids(x: np.ndarray, cells: int, rounds: int = 12, seed: int = 42) -> np.ndarray:
@@ -55,6 +57,19 @@ def signs(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.pad(bits, ((0, 0), (0, wide - bits.shape[1])))).view(np.uint64)
 
 
+def _whole(vectors: DataFrame) -> DataFrame:
+    """id and v of vectors without null or non-finite components, the greatest one of each id."""
+    good = vectors.select("id", F.col("v").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
+    good = good.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    return good.groupBy("id").agg(F.max("v").alias("v"))
+
+
+def _commonest(vectors: DataFrame) -> tuple[int, int]:
+    """The commonest dimension, and the number of its vectors."""
+    most = vectors.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    return (most["dim"], most["count"]) if most else (0, 0)
+
+
 @dataclass
 class VectorIndex:
     """An index at a path. One writer at a time; of two that race one gets versions.Conflict.
@@ -118,15 +133,12 @@ class VectorIndex:
         upsert). Of rows that repeat an id the greatest vector stays.
         """
         number, now = self.log.latest()
-        good = vectors.select("id", F.col("v").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
-        good = good.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-        good = good.groupBy("id").agg(F.max("v").alias("v"))
+        good = _whole(vectors)
         if not now:
             good = written(good, "vectors-first")
-            most = good.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-            if not most:
+            dim, n = _commonest(good)
+            if not n:
                 return 0
-            dim, n = most["dim"], most["count"]
             sample = good.where(F.size("v") == dim).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).collect()
             cells = min(max(n // PER_CELL, LEAST_CELLS), MOST_CELLS)
             now = {"dim": dim, "centroids": fit_centroids(np.array([r["v"] for r in sample]), cells).tolist()}
@@ -348,11 +360,93 @@ def similarity_graph(
 ) -> DataFrame:
     """Edges (src, dst, score) from each vector to its k nearest others whose inner product reaches at_least.
 
-    All vectors are queries of an index of themselves, packed where they lie: none passes
-    the driver. Not exact, each meets the cells near it, which is what large tables need.
+    Exact, all pairs are multiplied in tiles (nearest_pairs), which is quadratic in time
+    alone. Else all vectors are queries of an index of themselves and each meets the
+    cells near it, which is what large tables need. No vector passes the driver.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    index = VectorIndex.open(vectors.sparkSession, rows.schema["id"].dataType)
-    index.upsert(rows)
-    found = index.search(index.vectors().withColumnRenamed("id", "query_id"), k + 1, exact=exact, digits=digits).where("query_id <> id")
+    if exact:
+        found = nearest_pairs(rows, k + 1, at_least, digits)
+    else:
+        index = VectorIndex.open(vectors.sparkSession, rows.schema["id"].dataType)
+        index.upsert(rows)
+        found = index.search(index.vectors().withColumnRenamed("id", "query_id"), k + 1, digits=digits)
+    found = found.where("query_id <> id")
     return search.ranked(found, k).where(F.col("score") >= at_least).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "score")
+
+
+def nearest_pairs(vectors: DataFrame, k: int, at_least: float, digits: int | None = None) -> DataFrame:
+    """The k vectors of largest inner product for each vector (id, v), itself counted, of those that reach at_least: query_id, rank, id, score.
+
+    Vectors are packed once; packs meet packs by a Cartesian product of partitions. A task
+    holds one tile and the k best so far of the pack that it is at, so memory and what is
+    shuffled don't grow with the number of pairs. Vectors are left out as by VectorIndex.upsert.
+    """
+    spark = small_batches(vectors.sparkSession)
+    kind = vectors.schema["id"].dataType.simpleString()
+    out = f"query_id {kind}, id {kind}, score double"
+    good = written(_whole(vectors), "graph-vectors")
+    dim, n = _commonest(good)
+    if not n:
+        return search.ranked(spark.createDataFrame([], out), k)
+    wide = max(1, min(PACK_ROWS, PACK_BYTES // (8 * dim)))
+    id_arrow = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        made, held = TaskContext.get().partitionId() << 32, []
+
+        def row(table: pa.Table) -> pa.RecordBatch:
+            table = table.sort_by("id")
+            data = table["v"].combine_chunks().flatten().to_numpy().tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), pa.array([table["id"].to_pylist()], pa.list_(id_arrow)), pa.array([data], pa.binary())], ["pack", "ids", "x"])
+
+        for batch in batches:
+            held.append(batch)
+            while sum(b.num_rows for b in held) >= wide:
+                whole = pa.Table.from_batches(held)
+                yield row(whole.slice(0, wide))
+                made, held = made + 1, whole.slice(wide).to_batches()
+        if sum(b.num_rows for b in held):
+            yield row(pa.Table.from_batches(held))
+
+    packs = written(good.where(F.size("v") == dim).mapInArrow(pack, f"pack long, ids array<{kind}>, x binary"), "graph-packs")
+    n = packs.count()
+    cores = spark.sparkContext.defaultParallelism
+    left = packs.toDF("pack", "asked", "q").repartition(min(n, max(3 * cores, n // PACKS_HELD)))
+    right = packs.select("ids", "x").repartition(-(-n // PACKS_HELD))  # so many are held in memory beside one
+    margin = 0.0 if digits is None else 10.0**-digits
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, best = None, None
+
+        def done() -> pa.RecordBatch:
+            row, ids, s = best
+            return pa.RecordBatch.from_arrays([pa.array(asked[row].tolist(), id_arrow), pa.array(ids.tolist(), id_arrow), pa.array(s)], ["query_id", "id", "score"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if batch.column(0)[i].as_py() != at:
+                    if best:
+                        yield done()
+                    at, asked = batch.column(0)[i].as_py(), search._ids(batch.column(1)[i].values)
+                    q = np.frombuffer(batch.column(2)[i].as_buffer()).reshape(len(asked), dim).copy()
+                    least, best = np.full(len(asked), at_least), (np.zeros(0, int), asked[:0], np.zeros(0))
+                ids = search._ids(batch.column(3)[i].values)
+                s = q @ np.frombuffer(batch.column(4)[i].as_buffer()).reshape(len(ids), dim).T
+                row, j = np.nonzero(s >= least[:, None] - margin)
+                found = s[row, j] if digits is None else np.round(s[row, j], digits)
+                best = tuple(np.concatenate(x) for x in zip(best, (row, ids[j], found), strict=True))
+                row, near, found = best
+                order = np.lexsort((near, -found, row))
+                row, near, found = row[order], near[order], found[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                keep = (place < k) & (found >= at_least)
+                last = place == k - 1
+                least[row[last]] = np.maximum(found[last], at_least)
+                best = row[keep], near[keep], found[keep]
+        if best:
+            yield done()
+
+    return search.ranked(left.hint("shuffle_replicate_nl").crossJoin(right).mapInArrow(score, out), k)

@@ -177,3 +177,21 @@ def test_vector_index_reads_a_part_and_finds_most(spark):
     assert pairs.select("cell").distinct().count() < len(index.centroids()) / 3
     quantised = _got(index.search(queries, 10, exact=True, quantised=True, digits=6))
     assert quantised == {(r["query_id"], r["rank"], r["id"], r["score"]) for r in search.quantised_topk(table, table.where(F.col("id").isin(list(asked))), 10, id_col="id", vec_col="v", digits=6).collect()}
+
+
+def test_exact_graph_keeps_each_vector_once(spark, monkeypatch):
+    """All pairs without an index, whose search keeps every query once for each cell; packs of three, tied and left-out vectors."""
+    monkeypatch.setattr(vectors.VectorIndex, "open", None)
+    monkeypatch.setattr(vectors, "PACK_ROWS", 3)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(40, 5)), 1)
+    x[7] = x[3] = x[21]
+    rows = [(f"v{i:02}", v.tolist()) for i, v in enumerate(x)] + [("null", None), ("nan", [float("nan")] * 5), ("short", [9.0]), (None, [9.0] * 5)]
+    want = set()
+    s = np.round(x @ x.T, 6)
+    for i in range(40):
+        first = sorted(range(40), key=lambda j: (-s[i, j], j))[:4]
+        want |= {(f"v{i:02}", f"v{j:02}", s[i, j]) for j in [j for j in first if j != i][:3] if s[i, j] >= 0.5}
+    got = vectors.similarity_graph(spark.createDataFrame(rows, "vec_id string, embedding array<double>"), 3, 0.5, digits=6).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert vectors.similarity_graph(spark.createDataFrame([], "vec_id long, embedding array<float>"), 3, 0.5).count() == 0
