@@ -68,6 +68,11 @@ def shingles(text: Column, k: int = 7) -> Column:
     return F.array_distinct(let(F.split(normalise(text), " "), windows))
 
 
+def word_hashes(text: Column) -> Column:
+    """64-bit hashes of the words of the normalised text, in order."""
+    return F.transform(F.split(normalise(text), " "), lambda w: F.xxhash64(w))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)

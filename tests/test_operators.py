@@ -1,4 +1,5 @@
 import os
+import random
 import zipfile
 from datetime import datetime, timezone
 
@@ -332,3 +333,27 @@ def test_settings(tmp_path, monkeypatch):
     got = config.load(str(tmp_path / "a.yaml"), str(tmp_path / "b.yaml"), str(tmp_path / "none.yaml"), environ={"MILLRACE_NEW__B": "true", "MILLRACE_K": "5", "OTHER": "x"})
     assert got == {"paths": {"vault": "/v/x", "data": "other"}, "k": 5, "new": {"a": 1, "b": True}}
     assert config.expand_env({"a": ["${VAULT_AT}", 3]}) == {"a": ["/v", 3]}
+
+
+def test_near_pairs_of_short_and_copied_texts_keep_prefixes_alone(spark, monkeypatch):
+    """Texts of few words, repeated words, null; ids to look at; of shingles only prefixes and those of candidates are staged."""
+    rng = random.Random(5)
+    base = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(n)) for n in (1, 2, 6, 7, 8, 40, 300, 300, 900)]
+    texts = base + [t + " end" for t in base] + [t.upper() + "  " for t in base] + ["x " * 50, "x " * 60, None, ""]
+    rows = list(enumerate(texts))
+    held = []
+    monkeypatch.setattr(dedupe, "written", lambda df, name: held.append((name, df.cache())) or held[-1][1])
+
+    def shingles(t, k=7):
+        w = " ".join(t.split()).lower().split(" ")
+        return {" ".join(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))}
+
+    sets = [(i, shingles(t)) for i, t in rows if t is not None and not 18 <= i < 27]
+    want = {(i, j) for i, s in sets for j, x in sets if i < j and len(s & x) / len(s | x) >= 0.92}
+    among = spark.createDataFrame([(i,) for i, _ in sets], "id int")
+    got = dedupe.near_pairs(spark.createDataFrame(rows, "id int, text string"), 0.92, among=among).collect()
+    assert {(r["a"], r["b"]) for r in got} == want and len(want) > 2
+    staged = dict(held)
+    for r in staged["near-prefixes"].collect():
+        assert len(r["key"]) <= dedupe.prefix_length(r["n"], 0.92)
+    assert {r["id"] for r in staged["near-sets"].collect()} <= {x for p in staged["near-candidates"].collect() for x in p}
