@@ -32,7 +32,7 @@ def contextualise(chunks: DataFrame, cache: DataFrame, model: TextModel = templa
 
     keyed = chunks.withColumn("key", T.context_key(F.col("source_id"), F.col("doc_hash"), F.col("text")))
     known = cache_lookup(keyed, cache)
-    made = known.where(~F.col("hit")).select("key", F.pandas_udf(_typed(ask), "string")("title", "text").alias("context"))
+    made = written(known.where(~F.col("hit")).select("key", F.pandas_udf(_typed(ask), "string")("title", "text").alias("context")), "contexts")  # a model is asked once
     made = made.where(F.trim("context") != "").groupBy("key").agg(F.max("context").alias("context"))
     every = cache.where(F.trim("context") != "").select("key", "context").unionByName(made)
     out = keyed.join(every, "key", "left").withColumn(
@@ -72,9 +72,10 @@ def _typed(f):
 
 
 def ingest(docs: DataFrame, policy: str = "redact", threshold: float = 0.92, cache: DataFrame | None = None, model: TextModel = template_model) -> DataFrame:
-    """Documents (source_id, title, content, …) as clean chunks: split, scrubbed, in context, without duplicates.
+    """Documents (source_id, title, content, …) as clean chunks: split, scrubbed, without duplicates, in context.
 
-    Secrets are removed from the document before any of it reaches the model.
+    Secrets are removed from the document before any of it reaches the model, which is
+    asked for no chunk that drops out. Chunks are made once and staged.
     """
     spark = docs.sparkSession
     cache = cache if cache is not None else spark.createDataFrame([], "key string, context string")
@@ -82,10 +83,10 @@ def ingest(docs: DataFrame, policy: str = "redact", threshold: float = 0.92, cac
         docs = docs.withColumn("content", secrets.redact(F.col("content")))
     base = docs.withColumn("doc_hash", T.content_hash(F.col("content")))
     chunks = secrets.scrub(chunking.chunk_documents(base), policy)
-    chunks, _ = contextualise(chunks, cache, model)
     # Input order is source, then place in it; the order gives each chunk its position.
-    placed = chunks.withColumn("pos", F.concat_ws("::", "source_id", F.lpad(F.col("chunk_index").cast("string"), 9, "0")))
-    return dedupe.dedupe(placed, threshold).drop("pos", "doc_hash")
+    placed = written(chunks.withColumn("pos", F.concat_ws("::", "source_id", F.lpad(F.col("chunk_index").cast("string"), 9, "0"))), "ingest-chunks")
+    kept, _ = contextualise(dedupe.dedupe(placed, threshold), cache, model)
+    return kept.drop("pos", "doc_hash")
 
 
 def discover_images(notes: DataFrame, images: DataFrame) -> DataFrame:

@@ -85,3 +85,17 @@ def test_stores(spark, tmp_path):
 def test_two_hop_graph(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
     assert graph.neighbours(edges, spark.createDataFrame([("a",)], "start string"), 2).count() == 2
+
+
+def test_ingest_asks_the_model_once_for_each_chunk_that_stays(spark, tmp_path):
+    log = tmp_path / "asked"
+
+    def model(prompt: str) -> str:
+        with open(log, "a") as f:
+            f.write("x")
+        return f"about {len(prompt)}"
+
+    rows = [(f"d{i}", "t", " ".join(f"w{i % 5}x{j}" for j in range(400))) for i in range(10)]
+    got = ingest.ingest(spark.createDataFrame(rows, "source_id string, title string, content string"), model=model).collect()
+    assert {r["source_id"] for r in got} == {f"d{i}" for i in range(5)} and all(r["contextualized_text"].startswith("about ") for r in got)
+    assert len(log.read_text()) == len(got)
