@@ -183,9 +183,7 @@ class InvertedIndex:
                     yield _rows(base + made, len(some[0]), some)
 
             def _cut(x: np.ndarray, edge: np.ndarray) -> pa.Array:
-                """The bytes of x between edges, as binary values."""
-                ends = (np.append(edge, len(x)) * x.itemsize).astype(np.int32)
-                return pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(x.tobytes())])
+                return _binary(x, np.append(edge, len(x)))
 
             def _rows(tile: int, n: int, columns: list[pa.Array]) -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array(np.full(n, tile)), *columns], ["tile", "ids", "token", "n", "top", "docs", "weights"])
@@ -242,20 +240,24 @@ class InvertedIndex:
             self.merge()
         return n if docs is not None else dead
 
+    def _masks(self, gone: DataFrame) -> DataFrame:
+        """tile and its gone documents as bits, which a join can carry to each block."""
+        lists = gone.groupBy("tile").agg(F.collect_list("local").alias("locals"))  # at most a tile's documents
+        return written(lists.mapInArrow(_packed, "tile long, mask binary"), "inverted-masks")
+
     def _held_by(self, gone: DataFrame) -> DataFrame:
         """token and minus the number of documents of gone that hold it: read from the blocks of their tiles."""
-        masks = gone.groupBy("tile").agg(F.collect_list("local").alias("locals"))  # at most a tile's documents
-        near = self.blocks().select("token", "tile", "docs").join(search.small_side(masks), "tile")
+        near = self.blocks().select("token", "tile", "docs").join(search.small_side(self._masks(gone)), "tile")
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = []
-                for docs, dead in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    found.append(-int(np.isin(np.frombuffer(docs, np.uint16), np.array(dead, np.uint16)).sum()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), pa.nulls(len(found), pa.float32())], ["token", "docs", "top"])
+                if batch.num_rows:
+                    hit, owner = _dead(batch.column(1), batch.column(2))[:2]
+                    found = -np.bincount(owner[hit], minlength=batch.num_rows)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), pa.nulls(len(found), pa.float32())], ["token", "docs", "top"])
 
         small_batches(self.spark)
-        return near.select("token", "docs", "locals").mapInArrow(count, self._words).where("docs <> 0")
+        return near.select("token", "docs", "mask").mapInArrow(count, self._words).where("docs <> 0")
 
     def _rewrite(self) -> None:
         """One segment of all live documents: dead ones leave the blocks; tiles keep their numbers of documents."""
@@ -264,30 +266,33 @@ class InvertedIndex:
             return
         folder = self.log.folder("seg")
         at = f"{self.path}/{folder}"
-        masks = self.gone().groupBy("tile").agg(F.collect_list("local").alias("locals"))
+        masks = self._masks(self.gone())
         blocks = self.blocks().join(search.small_side(masks), "tile", "left")
 
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = batch.to_pylist()
-                out = []
-                for r in rows:
-                    if r["locals"]:
-                        docs = np.frombuffer(r["docs"], np.uint16)
-                        keep = ~np.isin(docs, np.array(r["locals"], np.uint16))
-                        if not keep.any():
-                            continue
-                        r["docs"], r["n"] = docs[keep].tobytes(), int(keep.sum())
-                        if r["weights"] is not None:
-                            w = np.frombuffer(r["weights"], np.float32)[keep]
-                            r["weights"], r["top"] = w.tobytes(), float(w.max())
-                    out.append(r)
-                yield pa.RecordBatch.from_pylist([{k: r[k] for k in names} for r in out], schema=kept)
+                if not batch.num_rows:
+                    continue
+                at = {name: batch.column(i) for i, name in enumerate([*names, "mask"])}
+                dead, owner, docs = _dead(at["docs"], at["mask"])
+                left = np.bincount(owner[~dead], minlength=batch.num_rows)
+                ends = np.append(0, np.cumsum(left))
+                at["docs"], at["n"] = _binary(docs[~dead], ends), pa.array(left.astype(np.int32))
+                if at["weights"].null_count < batch.num_rows:
+                    given = pc.is_valid(at["weights"]).to_numpy(zero_copy_only=False)
+                    w = np.ones(len(docs), np.float32)
+                    w[given[owner]] = np.frombuffer(b"".join(x for x in at["weights"].to_pylist() if x is not None), np.float32)
+                    w, some = w[~dead], left > 0
+                    top = np.zeros(batch.num_rows, np.float32)
+                    top[some] = np.maximum.reduceat(w, ends[:-1][some]) if some.any() else 0
+                    at["top"] = pc.if_else(pa.array(given), pa.array(top), at["top"])
+                    at["weights"] = pc.if_else(pa.array(given), _binary(w, ends), pa.scalar(None, pa.binary()))
+                yield pa.RecordBatch.from_arrays([at[name].cast(t) for name, t in zip(names, kept.types, strict=True)], schema=kept).filter(pa.array(left > 0))
 
         names = ["bucket", "token", "tile", "n", "top", "docs", "weights"]
         kept = pa.schema([("bucket", pa.int32()), ("token", pa.string()), ("tile", pa.int64()), ("n", pa.int32()), ("top", pa.float32()), ("docs", pa.binary()), ("weights", pa.binary())])
         small_batches(self.spark)
-        cleaned = blocks.select(*names, "locals").mapInArrow(clean, self._blocks)
+        cleaned = blocks.select(*names, "mask").mapInArrow(clean, self._blocks)
         cleaned.repartitionByRange("bucket", "token", "tile").sortWithinPartitions("bucket", "token", "tile").write.partitionBy("bucket").parquet(f"{at}/blocks")
         tiles, tables = self._read("tiles", self._tiles), ["blocks", "tiles", "words"]
         tiles.write.parquet(f"{at}/tiles")
@@ -450,6 +455,34 @@ class InvertedIndex:
         return blocks.groupBy("tile").cogroup(pairs.groupBy("tile")).applyInArrow(run, schema)
 
 
+def _binary(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of x between ends, as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * x.itemsize).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+
+
+def _dead(docs: pa.Array, masks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every posting of a batch of blocks whether its document's bit is set in the block's mask, its block's row, and the document."""
+    sizes = lambda x: pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lambda x: b"".join(v for v in x.to_pylist() if v)
+    every, bits, size = np.frombuffer(flat(docs), np.uint16), np.frombuffer(flat(masks) + b"\0", np.uint8), sizes(masks)
+    owner = np.repeat(np.arange(len(docs)), sizes(docs) // 2)
+    byte = (every >> 3).astype(np.int64)
+    inside = byte < size[owner]
+    byte = np.where(inside, byte + (np.cumsum(size) - size)[owner], 0)
+    return inside & (bits[byte] >> (every & 7) & 1).astype(bool), owner, every
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of numbers of a tile's documents as bits."""
+    for batch in batches:
+        masks = []
+        for some in batch.column(1).to_pylist():
+            bits = np.zeros(max(some) + 1, bool)
+            bits[some] = True
+            masks.append(np.packbits(bits, bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(masks, pa.binary())], ["tile", "mask"])
+
+
 def _arrow_types(schema: str) -> list[pa.DataType]:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -195,3 +195,17 @@ def test_exact_graph_keeps_each_vector_once(spark, monkeypatch):
     got = vectors.similarity_graph(spark.createDataFrame(rows, "vec_id string, embedding array<double>"), 3, 0.5, digits=6).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert vectors.similarity_graph(spark.createDataFrame([], "vec_id long, embedding array<float>"), 3, 0.5).count() == 0
+
+
+def test_dead_postings_are_told_by_bits():
+    """Masks of a tile's dead documents are bits that a block carries; null and short masks, empty blocks."""
+    pa = inverted.pa
+    docs = [[0, 3, 9], [], [1, 2000], [7, 8, 40]]
+    gone = [[3, 4], [1], None, [0, 8]]
+    lists = pa.RecordBatch.from_arrays([pa.array([0, 1, 3], pa.int64()), pa.array([g for g in gone if g], pa.list_(pa.int32()))], ["tile", "locals"])
+    made = next(inverted._packed(iter([lists]))).column(1).to_pylist()
+    assert max(map(len, made)) <= 2
+    masks = pa.array([made[0], made[1], None, made[2]], pa.binary())
+    dead, owner, every = inverted._dead(pa.array([np.array(d, np.uint16).tobytes() for d in docs], pa.binary()), masks)
+    assert owner.tolist() == [0, 0, 0, 2, 2, 3, 3, 3] and every.tolist() == sum(docs, [])
+    assert dead.tolist() == [False, True, False, False, False, False, True, False]
