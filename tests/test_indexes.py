@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import inverted, search, vectors, versions
+from millrace.operators import inverted, search, tiles, vectors, versions
 
 LONG = __import__("pyspark.sql.types", fromlist=["LongType"]).LongType()
 
@@ -209,3 +209,50 @@ def test_dead_postings_are_told_by_bits():
     dead, owner, every = inverted._dead(pa.array([np.array(d, np.uint16).tobytes() for d in docs], pa.binary()), masks)
     assert owner.tolist() == [0, 0, 0, 2, 2, 3, 3, 3] and every.tolist() == sum(docs, [])
     assert dead.tolist() == [False, True, False, False, False, False, True, False]
+
+
+def _pack(r, asked, held, n_tokens):
+    """Random queries and a pack of texts, and their scores by plain loops."""
+    queries = [{t: r.choice([1.0, 2.5]) for t in range(n_tokens) if r.random() < 0.6 / (1 + t % 9)} for _ in range(asked)]
+    texts = [{t: float(np.float32(r.uniform(0.5, 2))) for t in range(n_tokens) if r.random() < 0.9 / (1 + t % 7)} for _ in range(held)]
+    post = [[i for i, x in enumerate(texts) if t in x] for t in range(n_tokens)]
+    edges = np.append(0, np.cumsum([len(p) for p in post]))
+    given = np.array([texts[i][t] for t, p in enumerate(post) for i in p], np.float32)
+    start = np.append(0, np.cumsum([len(q) for q in queries]))
+    token, weight = np.array([t for q in queries for t in q]), np.array([w for q in queries for w in q.values()])
+    return queries, texts, (start, token, weight, np.arange(n_tokens), edges, np.array(sum(post, []), np.uint16), held), given
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 2.0])
+def test_scores_of_packs(monkeypatch, share):
+    """Tokens multiplied as matrices, counted up, or in part either: equal to plain loops; ties go to the smaller id."""
+    monkeypatch.setattr(tiles, "DENSE_SHARE", share)
+    monkeypatch.setattr(tiles, "CELLS", 150)
+    queries, texts, pack, given = _pack(random.Random(9), 11, 70, 40)
+    for mine, stored in ((pack, given), (pack, None), ((*pack[:2], np.ones(len(pack[1])), *pack[3:]), None)):
+        ones = stored is None and mine[2].max() == 1
+        want = [[sum((1.0 if ones else w) * (1.0 if stored is None else x[t]) for t, w in q.items() if t in x) for x in texts] for q in queries]
+        got = np.concatenate([s for _, s in tiles.scores(*mine, stored)])
+        assert np.allclose(got, want, atol=1e-9)
+        best, ids = tiles.Best(np.arange(11), 4, None if ones else 6, 0.0), np.arange(70) * 3
+        for half in (slice(0, 35), slice(35, 70)):
+            best.offer(0, got[:, half], ids[half])
+            best.settle()
+        hits = best.rows([tiles.id_type("bigint")] * 2).to_pylist()
+        rank = lambda row: sorted(((-round(s, 6), i * 3) for i, s in enumerate(row) if s > 0))[:4]
+        assert [(h["query_id"], -round(h["score"], 6), h["id"]) for h in hits] == [(q, *x) for q, row in enumerate(want) for x in rank(row)]
+
+
+def test_a_task_keeps_the_best_hits_of_its_packs(spark, monkeypatch):
+    """Rows that a search shuffles don't grow with the number of batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    rows, whole = [], search.ranked
+    monkeypatch.setattr(search, "ranked", lambda hits, k, *a: rows.append(hits.count()) or whole(hits, k, *a))
+    try:
+        docs = spark.range(2000).select("id", F.concat_ws(" ", F.lit("the of"), F.concat(F.lit("w"), F.expr("id % 97"))).alias("text")).coalesce(1)
+        for weighted in (True, False):
+            got = search.lexical_topk(docs, docs.where("id < 3").withColumnRenamed("id", "query_id"), 4, weighted, 6)
+            assert {(r["query_id"], r["rank"]): r["id"] for r in got.collect()} == {(q, n + 1): q + 97 * n for q in range(3) for n in range(4)}
+        assert rows == [12, 12]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
