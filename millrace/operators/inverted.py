@@ -21,12 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from millrace.operators import search
+from millrace.operators import search, tiles
 from millrace.operators.versions import CommitLog
 from millrace.session import fresh_path, small_batches, until_exit, written
 
 #: Documents and postings of one tile; a tile ends with the Arrow batch that reaches either.
-TILE_DOCS, TILE_POSTINGS = 2048, 1 << 20
+TILE_DOCS, TILE_POSTINGS = 1 << 14, 1 << 22
 #: Buckets of tokens.
 BUCKETS = 32
 #: Segments after which an upsert merges them.
@@ -322,7 +322,7 @@ class InvertedIndex:
         queries: query_id and text, or query_id, tokens and weights. The score is the sum,
         over tokens that query and document share, of the product of their weights, times
         the token's idf if weighted. Documents that share nothing are no hits. digits:
-        scores are rounded before they are ranked.
+        scores are rounded before they are ranked, to 9 at most, since sums in another order differ.
 
         One tile in SEED_EVERY is scored in full, which bounds each query's k-th score
         from below. In the other tiles only blocks of tokens are read that may still
@@ -331,6 +331,7 @@ class InvertedIndex:
         taken some thousands at a time (search.QUERY_ROWS, QUERY_TOKENS).
         """
         spark = small_batches(self.spark)
+        digits = 9 if digits is None else digits
         if "tokens" in queries.columns:
             asked = queries.select("query_id", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("weights").cast("array<double>").alias("w"))))
             asked = asked.groupBy("query_id", "token").agg(F.max("w").alias("w"))
@@ -353,7 +354,7 @@ class InvertedIndex:
         out = self.spark.createDataFrame(pa.table([pa.array(tokens, pa.string())], names=["token"]))
         return F.broadcast(out) if len(tokens) <= search.BROADCAST_ROWS else out
 
-    def _pass(self, rows: list, k: int, digits: int | None, schema: str, tally: Tally | None) -> DataFrame:
+    def _pass(self, rows: list, k: int, digits: int, schema: str, tally: Tally | None) -> DataFrame:
         """Hits of one block of queries, a superset of each query's k best, staged."""
         ask = _Asked.of(rows)
         vocabulary = self._named(ask.vocabulary)
@@ -389,10 +390,11 @@ class InvertedIndex:
             tally.read += rest.count()
         return done.unionByName(self._completed(rest, open_, ask, digits, schema))
 
-    def _scored(self, part: DataFrame, ask: _Asked, k: int, digits: int | None, schema: str) -> DataFrame:
+    def _scored(self, part: DataFrame, ask: _Asked, k: int, digits: int, schema: str) -> DataFrame:
         """query_id, id, score, and tile and local where the score lacks the late tokens."""
         shared = self.spark.sparkContext.broadcast(ask)
         plain = _arrow_types(schema)
+        kind = tiles.id_type(self.id_type.simpleString())
 
         def run(table: pa.Table) -> pa.Table:
             ask = shared.value
@@ -401,30 +403,26 @@ class InvertedIndex:
             ids, dead = table["ids"][head].as_py(), table["locals"][head].as_py()
             tile = table["tile"][head].as_py()
             known = [(ask.row[t], d, w) for t, d, w in zip(token, table["docs"].to_pylist(), table["weights"].to_pylist(), strict=True) if t is not None]
-            out: list[list] = [[], [], [], [], []]
-            for a, b, s, mine in ask.tiles(known, len(ids)):
+            ids, out = tiles.ids_of(pa.array(ids, kind)), []
+            for a, s in ask.scores(known, len(ids)):
                 s[:, dead] = 0
-                for x in range(a, b):
-                    row = s[x - a]
-                    slack = mine[x - a]
-                    if slack == 0:
-                        full = row if digits is None else np.round(row, digits)
-                        _, hit = search.best_of(full[None], k, 0.0)
-                        values, local = full[hit], [None] * len(hit)
-                    else:
-                        best = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else 0.0
-                        hit = np.flatnonzero((row > 0) & (row + slack >= max(ask.least[x], best) - ask.margin))
-                        values, local = row[hit], hit.tolist()
-                    out[0] += [ask.ids[x]] * len(hit)
-                    out[1] += [ids[h] for h in hit]
-                    out[2] += values.tolist()
-                    out[3] += [tile if slack else None] * len(hit)
-                    out[4] += local
-            return pa.table([pa.array(c, t) for c, t in zip(out, [*plain, pa.int64(), pa.int32()], strict=True)], names=["query_id", "id", "score", "tile", "local"])
+                slack, some = ask.slack[a : a + len(s)], slice(a, a + len(s))
+                least = np.maximum(ask.least[some], tiles.kth_at_least(s, k)) - ask.margin - slack
+                i, j = np.nonzero((s > 0) & (s >= least[:, None]))
+                found, open_ = s[i, j].astype(np.float64), slack[i] > 0
+                found = np.where(open_, found, np.round(found, digits))
+                order = np.lexsort((j, -found, i))
+                i, j, found, open_ = i[order], j[order], found[order], open_[order]
+                keep = open_ | (np.arange(len(i)) - np.searchsorted(i, i) < k)
+                out.append((a + i[keep], j[keep], found[keep], open_[keep]))
+            i, j, found, open_ = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, t) for t in (int, int, float, bool))
+            columns = [pa.array([ask.ids[x] for x in i.tolist()], plain[0]), pa.array(ids[j].tolist(), plain[1]), pa.array(found)]
+            columns += [pa.array(np.full(len(i), tile), pa.int64(), mask=~open_), pa.array(j, pa.int32(), mask=~open_)]
+            return pa.table(columns, names=["query_id", "id", "score", "tile", "local"])
 
         return part.groupBy("tile").applyInArrow(run, f"{schema}, tile long, local int")
 
-    def _completed(self, blocks: DataFrame, candidates: DataFrame, ask: _Asked, digits: int | None, schema: str) -> DataFrame:
+    def _completed(self, blocks: DataFrame, candidates: DataFrame, ask: _Asked, digits: int, schema: str) -> DataFrame:
         """Candidates with the weights of their queries' late tokens added."""
         shared = self.spark.sparkContext.broadcast(ask)
         plain = _arrow_types(schema)
@@ -448,7 +446,7 @@ class InvertedIndex:
                         score[lo:hi] += weight * dense[local[lo:hi]]
                         dense[docs] = 0.0
                 lo = hi
-            score = score if digits is None else np.round(score, digits)
+            score = np.round(score, digits)
             return pa.table([pa.array(q, plain[0]), right["id"].cast(plain[1]), pa.array(score)], names=["query_id", "id", "score"])
 
         pairs = candidates.select("tile", "query_id", "id", "score", "local")
@@ -518,9 +516,9 @@ class _Asked:
         out.margin = 0.0
         return out
 
-    def bound(self, least: dict, digits: int | None) -> None:
+    def bound(self, least: dict, digits: int) -> None:
         """Given a lower bound of each query's k-th score, leave its lightest tokens for later, as long as they add little."""
-        self.margin = 1e-9 if digits is None else 10.0**-digits
+        self.margin = 10.0**-digits
         for i, q in enumerate(self.ids):
             self.least[i] = least.get(q, 0.0)
             mine = slice(self.start[i], self.start[i + 1])
@@ -539,34 +537,16 @@ class _Asked:
         light = ~self.heavy[mine]
         return list(zip(self.token[mine][light].tolist(), self.weight[mine][light].tolist(), strict=True))
 
-    def tiles(self, blocks: list, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(a, b, scores of queries a to b by document, their slack) from a tile's blocks, by heavy tokens."""
+    def scores(self, blocks: list, n: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Scores of the queries by document, some queries after others, from a tile's blocks, by heavy tokens."""
         if not blocks:
             return
         row_of = np.full(len(self.vocabulary), -1)
         row_of[[r for r, _, _ in blocks]] = np.arange(len(blocks))
-        docs = [np.frombuffer(d, np.uint16) for _, d, _ in blocks]
-        cell = np.repeat(np.arange(len(blocks)), [len(d) for d in docs])
-        owner = np.concatenate(docs).astype(np.int64)
+        edges = np.append(0, np.cumsum([len(d) // 2 for _, d, _ in blocks]))
+        docs = np.frombuffer(b"".join(d for _, d, _ in blocks), np.uint16)
         given = None
         if any(w is not None for _, _, w in blocks):
-            given = np.concatenate([np.ones(len(d)) if w is None else np.frombuffer(w, np.float32) for d, (_, _, w) in zip(docs, blocks, strict=True)]).astype(np.float64)
-        by = np.argsort(owner, kind="stable")
-        cell, owner = cell[by], owner[by]
-        given = None if given is None else given[by]
-        step = max(1, min(search.TILE // len(blocks), search.TILE // n))
-        for a in range(0, len(self.ids), step):
-            b = min(a + step, len(self.ids))
-            mine = slice(self.start[a], self.start[b])
-            held = self.heavy[mine] & (row_of[self.token[mine]] >= 0)
-            table = np.zeros((len(blocks), b - a))
-            table[row_of[self.token[mine][held]], self.owner[mine][held] - a] = self.weight[mine][held]
-            s = np.zeros((n, b - a))
-            piece = max(1, search.TILE // (b - a))
-            for lo in range(0, len(cell), piece):
-                here, first = np.unique(owner[lo : lo + piece], return_index=True)
-                rows = table[cell[lo : lo + piece]]
-                if given is not None:
-                    rows *= given[lo : lo + piece, None]
-                s[here] += np.add.reduceat(rows, first, axis=0)
-            yield a, b, np.ascontiguousarray(s.T), self.slack[a:b]
+            given = np.concatenate([np.ones(len(d) // 2) if w is None else np.frombuffer(w, np.float32) for _, d, w in blocks]).astype(np.float64)
+        start = np.searchsorted(self.owner[self.heavy], np.arange(len(self.ids) + 1))
+        yield from tiles.scores(start, self.token[self.heavy], self.weight[self.heavy], row_of, edges, docs, n, given)

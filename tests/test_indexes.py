@@ -256,3 +256,9 @@ def test_a_task_keeps_the_best_hits_of_its_packs(spark, monkeypatch):
         assert rows == [12, 12]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def test_a_token_is_one_block_of_many_documents(spark):
+    index = inverted.InvertedIndex.open(spark, LONG)
+    index.upsert(spark.range(3000).select("id", F.concat_ws(" ", F.lit("the"), F.concat(F.lit("w"), F.expr("id % 7"))).alias("text")).coalesce(1))
+    assert index.blocks().count() == 8
