@@ -262,3 +262,18 @@ def test_a_token_is_one_block_of_many_documents(spark):
     index = inverted.InvertedIndex.open(spark, LONG)
     index.upsert(spark.range(3000).select("id", F.concat_ws(" ", F.lit("the"), F.concat(F.lit("w"), F.expr("id % 7"))).alias("text")).coalesce(1))
     assert index.blocks().count() == 8
+
+
+def test_a_task_keeps_the_nearest_vectors_of_its_batches(spark, monkeypatch):
+    """As above, for vectors: k hits of each query and task, and ties to the smaller id."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    rows, whole = [], search.ranked
+    monkeypatch.setattr(search, "ranked", lambda hits, k, *a: rows.append(hits.count()) or whole(hits, k, *a))
+    monkeypatch.setattr(search, "TILE", 800)
+    try:
+        e = spark.range(600).select(F.col("id").alias("vec_id"), F.array(F.expr("double(id % 50)"), F.lit(-1.0)).alias("embedding")).coalesce(1)
+        got = search.dense_topk(e, e.where("vec_id < 3"), 4, digits=6).collect()
+        assert {(r["query_id"], r["rank"]): r["id"] for r in got if r["query_id"]} == {(q, n + 1): 49 + 50 * n for q in (1, 2) for n in range(4)}
+        assert sorted(r["id"] for r in got if r["query_id"] == 0) == [0, 1, 2, 3] and rows == [12]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
