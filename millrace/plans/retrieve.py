@@ -223,11 +223,10 @@ for _unit in ("day", "week", "month", "year"):
     f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY in_pool DESC, rr DESC NULLS LAST, rank, id) AS final_rank FROM p)
     SELECT query_id, id, CAST(final_rank AS INT) AS final_rank, rr AS rerank_score FROM f WHERE final_rank <= 8""")
 def q_rerank_pool(spark: SparkSession, sf: str) -> DataFrame:
-    d = docs(spark, sf)
-    q = d.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
-    pool = q_sparse_topk(spark, sf).join(d.select(F.col("doc_id").alias("id"), "text"), "id").join(q, "query_id")
-    scorer = lambda a, b: F.round(search.overlap_scorer(a, b), 6)
-    return search.rerank(pool, scorer, F.col("query"), F.col("text"), 5, 8).select("query_id", "id", "final_rank", "rerank_score")
+    d = docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    pool = search.with_tokens(q_sparse_topk(spark, sf), d, d.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "query_id"), 5)
+    scorer = lambda a, b: F.round(search.token_overlap(a, b), 6)
+    return search.rerank(pool, scorer, F.col("query_tokens"), F.col("text_tokens"), 5, 8).select("query_id", "id", "final_rank", "rerank_score")
 
 
 NOW = "2024-06-01 00:00:00"

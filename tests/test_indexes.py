@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,6 +244,67 @@ def test_scores_of_packs(monkeypatch, share):
         assert [(h["query_id"], -round(h["score"], 6), h["id"]) for h in hits] == [(q, *x) for q, row in enumerate(want) for x in rank(row)]
 
 
+@pytest.mark.parametrize("share", [0.0, 0.6, 0.99])
+def test_texts_over_a_bound(monkeypatch, share):
+    """Tokens left out, added as rows or counted up: all texts over the bound have their whole score, and few others are looked at."""
+    monkeypatch.setattr(tiles, "LEFT_SHARE", share)
+    queries, texts, pack, _ = _pack(random.Random(4), 11, 70, 40)
+    for weight in (pack[2], np.ones(len(pack[1]))):
+        held = weight.max() == 1
+        want = np.array([[sum((1.0 if held else w) for t, w in q.items() if t in x) for x in texts] for q in queries])
+        for wide in (1, 1 << 26):
+            monkeypatch.setattr(tiles, "HELD", wide)
+            for least in (np.full(11, -np.inf), np.sort(want, axis=1)[:, -4], want.max(axis=1) + 1):
+                seen = {i: dict(zip(found.tolist(), s.tolist(), strict=True)) for i, found, s in tiles.over(pack[0], pack[1], weight, *pack[3:], least)}
+                for i, row in enumerate(want):
+                    hits = {j: x for j, x in enumerate(row) if x > 0 and x >= least[i]}
+                    assert {j: x for j, x in seen.get(i, {}).items() if x >= least[i]} == pytest.approx(hits)
+                    assert all(x == pytest.approx(row[j]) for j, x in seen.get(i, {}).items())
+                if share < 0.9 and least[0] > want[0].max():
+                    assert sum(map(len, seen.values())) < 70
+    edges, some, n = tiles.longest(*pack[4:], 9)
+    sizes = np.array([len(x) for x in texts])
+    most = np.sort(np.argsort(-sizes, kind="stable")[:9])
+    assert n == 9 and [some[a:b].tolist() for a, b in zip(edges, edges[1:])] == [[i for i, j in enumerate(most) if t in texts[j]] for t in range(40)]
+
+
+def test_packs_of_texts_are_merged(monkeypatch):
+    """Texts in packs, repeated words and spaces at the ends; packs become one, up to its bounds."""
+    texts = {7: " a b\t a", 3: "b c", 9: "", 1: "c\x0b a c \n", 4: "d"}
+    rows = [pa.RecordBatch.from_pydict({"id": pa.array([i], pa.int64()), "t": [t]}) for i, t in texts.items()]
+
+    def holds(packs):
+        out = {}
+        for p in packs:
+            ids, words, at = p.column(0)[0].as_py(), tiles.opened(p.column(1)[0]), np.frombuffer(p.column(2)[0].as_py(), np.uint16)
+            assert ids == sorted(ids)
+            for t, part in zip(words["word"].to_pylist(), np.split(at, np.cumsum(words["n"].to_numpy())[:-1]), strict=True):
+                assert sorted(set(part.tolist())) == part.tolist()
+                for i in part:
+                    out.setdefault(ids[i], set()).add(t)
+        return out
+
+    monkeypatch.setattr(tiles, "PACK_BYTES", 1)
+    want = {i: set(t.split()) for i, t in texts.items() if t.split()}
+    parts = list(tiles.pack_texts("bigint")(iter(rows)))
+    merged = list(tiles.merge_packs("bigint")(iter(parts)))
+    assert (len(parts), len(merged)) == (5, 1) and holds(parts) == holds(merged) == want
+    monkeypatch.setattr(tiles, "PACK_TEXTS", 2)
+    halves = list(tiles.merge_packs("bigint")(iter(parts)))
+    assert len(halves) == 3 and holds(halves) == want
+
+
+def test_a_pool_has_the_tokens_of_its_first_texts(spark):
+    docs = spark.createDataFrame([(1, "B a a"), (2, "a c"), (3, "x"), (4, None)], "id long, text string")
+    hits = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 1, 2)], "query_id long, rank int, id long")
+    got = search.with_tokens(hits, docs, docs.withColumnRenamed("id", "query_id"), 2)
+    assert {(r["query_id"], r["id"]): (r["query_tokens"], r["text_tokens"]) for r in got.collect()} == {
+        (1, 1): (["b", "a"], ["b", "a"]), (1, 2): (["b", "a"], ["a", "c"]), (1, 3): (None, None), (2, 2): (["a", "c"], ["a", "c"])
+    }
+    score = search.token_overlap(F.col("query_tokens"), F.col("text_tokens"))
+    assert {(r["query_id"], r["id"]): r["s"] for r in got.select("query_id", "id", score.alias("s")).collect() if r["s"]} == {(1, 1): 1.0, (1, 2): 0.5, (2, 2): 1.0}
+
+
 def test_a_task_keeps_the_best_hits_of_its_packs(spark, monkeypatch):
     """Rows that a search shuffles don't grow with the number of batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
